@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from loomdoc.llm import mixing, sharding
+from loomdoc.llm import mixing, quality, sharding, token_counts
 
 QUERIES = {
     "op2_sharding": sharding.query,
+    "op3_token_counts": token_counts.query,
     "op7_source_mixing": mixing.query,
+    "op9_quality_rules": quality.query,
 }
 
 #: DuckDB SQL by query.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality.SQL}
