@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loomdoc.llm import mixing, quality, sharding, token_counts
+from loomdoc.llm import mixing, quality, sharding, substrings, token_counts
 
 QUERIES = {
     "op2_sharding": sharding.query,
     "op3_token_counts": token_counts.query,
     "op7_source_mixing": mixing.query,
     "op9_quality_rules": quality.query,
+    "op10_substring_dedup": substrings.query,
 }
 
 #: DuckDB SQL by query.
