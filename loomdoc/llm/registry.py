@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomdoc.llm import mixing, quality, sharding, substrings, token_counts
+from loomdoc.llm import jaccard_join, mixing, quality, sharding, substrings, token_counts
 
 QUERIES = {
     "op2_sharding": sharding.query,
     "op3_token_counts": token_counts.query,
+    "op5_ngram_jaccard_join": jaccard_join.query,
     "op7_source_mixing": mixing.query,
     "op9_quality_rules": quality.query,
     "op10_substring_dedup": substrings.query,
