@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from loomdoc.llm import jaccard_join, mixing, quality, sharding, substrings, token_counts
+from loomdoc.llm import jaccard_join, licenses, mixing, quality, secrets, sharding, substrings, token_counts
 
 QUERIES = {
+    "op1_license_scan": licenses.query,
     "op2_sharding": sharding.query,
     "op3_token_counts": token_counts.query,
     "op5_ngram_jaccard_join": jaccard_join.query,
+    "op6_secret_scan": secrets.query,
     "op7_source_mixing": mixing.query,
     "op9_quality_rules": quality.query,
     "op10_substring_dedup": substrings.query,
 }
 
 #: DuckDB SQL by query.
-ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.SQL, "op9_quality_rules": quality.SQL}
