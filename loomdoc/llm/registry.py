@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomdoc.llm import jaccard_join, licenses, mixing, quality, secrets, sharding, substrings, token_counts
+from loomdoc.llm import decontamination, jaccard_join, licenses, mixing, quality, secrets, sharding, substrings, token_counts
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_ngram_jaccard_join": jaccard_join.query,
     "op6_secret_scan": secrets.query,
     "op7_source_mixing": mixing.query,
+    "op8_decontamination": decontamination.query,
     "op9_quality_rules": quality.query,
     "op10_substring_dedup": substrings.query,
 }
