@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomdoc.llm import decontamination, jaccard_join, licenses, mixing, quality, secrets, sharding, substrings, token_counts
+from loomdoc.llm import decontamination, jaccard_join, licenses, mixing, quality, secrets, sharding, substrings, token_counts, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.query,
     "op2_sharding": sharding.query,
     "op3_token_counts": token_counts.query,
+    "op4_toxicity": toxicity.query,
     "op5_ngram_jaccard_join": jaccard_join.query,
     "op6_secret_scan": secrets.query,
     "op7_source_mixing": mixing.query,
