@@ -2,9 +2,9 @@
 
 Learning uses a bounded sample of labelled rows: up to ``TRAIN_DOCS`` of each class, those
 of least hash, with texts of up to ``TRAIN_CHARS``; rows with crc32(doc_id) mod 5 = 0 are never
-used. Spark counts in how many sampled texts of each class a word occurs; up to ``LEXICON`` words that
-are much more frequent in the toxic class become features. Labels are of documents,
-so tokens are labelled at a distance: a feature word in a toxic text is toxic, other tokens are not.
+used. Near copies among them count once. Spark counts in how many sampled texts of each class a word or a part of one
+occurs; up to ``LEXICON`` that are much more frequent in the toxic class become features. Labels are of documents,
+so tokens are labelled at a distance: a word with a feature in a toxic text is toxic, other tokens are not.
 The field learns emissions and transitions from these, and a logistic curve
 on the marginals of the sample turns a text's into its score, at the true class rates.
 
@@ -20,9 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -40,18 +40,42 @@ LEXICON = 2_000
 LEAST_TEXTS = 4
 #: Characters of text that are scored at once.
 BATCH_CHARS = 4_000_000
+#: Words whose feature a task remembers.
+REMEMBERED = 400_000
 TOKEN = re.compile(r"\w+")
 
 
+def parts(word: str) -> list[str]:
+    """The features of a word: itself, and its runs of 4 and 5 characters with marks for its ends, as words of one stem share them."""
+    marked = f"^{word}$"
+    return [word, *(marked[i : i + k] for k in (4, 5) for i in range(len(marked) - k + 1))]
+
+
+class Features(dict):
+    """word -> its strongest feature's number, 0 if it has none; remembers up to ``REMEMBERED`` words."""
+
+    def __init__(self, numbers: dict[str, int]):
+        super().__init__()
+        self.numbers = numbers
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = n = min((k for x in parts(word) if (k := self.numbers.get(x))), default=0)
+        return n
+
+
 @dataclass(frozen=True)
 class Model:
-    words: dict[str, int]
+    """features: number by name, the strongest first, from 1."""
+
+    features: Features
     chain: Chain
     curve: np.ndarray
 
     def encode(self, text: str | None) -> np.ndarray:
         tokens = TOKEN.findall((text or "").lower())
-        return np.fromiter(map(self.words.get, tokens, repeat(0)), np.int32, len(tokens))
+        return np.fromiter(map(self.features.__getitem__, tokens), np.int32, len(tokens))
 
     def spans(self, text: str, marginals: np.ndarray) -> str:
         """start:end of runs of toxic tokens. Lower case can change lengths, so places are taken in the text as it is."""
@@ -97,29 +121,41 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DO
     rates = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     least = lambda c: usable.filter(F.col("toxic") == c).orderBy(F.xxhash64(F.lit(4), "doc_id"), "doc_id").limit(train_docs)
     ids = least(0).unionByName(least(1))
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    return cut(rows.select("text", "toxic")), rates
+    rows = docs.select("doc_id", "text").filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(ids), "doc_id")
+    # copies and near copies say the same thing over again: one text stays for each least hash of long words
+    long_words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{8,}"), 0)
+    key = F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("text"))
+    return cut(rows.select("text", "toxic", key.alias("key")).dropDuplicates(["toxic", "key"]).select("text", "toxic")), rates
 
 
 def lexicon(sample: DataFrame, size: int = LEXICON) -> list[str]:
-    """Words that occur in more sampled toxic texts than chance and the other class explain."""
+    """Words and parts of words that occur in more sampled toxic texts than chance and the other class explain, the strongest first."""
     counts = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return []
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}\p{M}_]+"), 0))
-    seen = sample.select("toxic", F.explode(tokens).alias("word")).groupBy("word")
-    seen = seen.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).filter(F.col("t") >= LEAST_TEXTS)
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            t, n = Counter(), Counter()
+            for text, toxic in zip(batch["text"], batch["toxic"]):
+                found = {x for w in set(TOKEN.findall(text.lower())) for x in parts(w)}
+                n.update(found)
+                if toxic:
+                    t.update(found)
+            yield pd.DataFrame({"feature": list(n), "t": [t[x] for x in n], "n": list(n.values())})
+
+    found = sample.mapInPandas(seen, "feature string, t long, n long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     p = (F.col("t") + 0.1) / (counts[1] + 1.0)
     q = (F.col("n") - F.col("t") + 0.5) / (counts[0] + 1.0)
     z = (p - q) / F.sqrt(F.greatest(p * (1 - p) / counts[1] + q * (1 - q) / counts[0], F.lit(1e-12)))
-    chosen = seen.withColumn("z", z).filter((F.col("z") > 4.0) & (p > 3.0 * q)).orderBy(F.col("z").desc(), "word").limit(size)
-    return [r["word"] for r in chosen.collect()]
+    chosen = found.withColumn("z", z).filter((F.col("t") >= LEAST_TEXTS) & (F.col("z") > 4.0) & (p > 3.0 * q))
+    return [r["feature"] for r in chosen.orderBy(F.col("z").desc(), "feature").limit(size).collect()]
 
 
 def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     sample, rates = training_rows(docs, labels, train_docs)
     words = {w: k for k, w in enumerate(lexicon(sample), 1)}
-    empty = Model(words, Chain(np.full(len(words) + 1, -30.0), np.zeros((2, 2)), 0.0), np.array([-30.0, 0.0, 0.0]))
+    empty = Model(Features(words), Chain(np.full(len(words) + 1, -30.0), np.zeros((2, 2)), 0.0), np.array([-30.0, 0.0, 0.0]))
     if not words:
         return empty
     encode = empty.encode
@@ -137,7 +173,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     tags = [((s > 0) & (toxic[k] == 1)).astype(np.int64) for k, s in enumerate(sequences)]
     chain = fit([sequences[k] for k in part], [tags[k] for k in part], len(words) + 1)
     weight = np.where(toxic == 1, rates[1] / max(1, (toxic == 1).sum()), rates[0] / max(1, (toxic == 0).sum()))
-    return Model(words, chain, _logistic(features(chain.marginals(sequences)), toxic, weight))
+    return Model(Features(words), chain, _logistic(features(chain.marginals(sequences)), toxic, weight))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
