@@ -4,10 +4,10 @@ A window of ``WINDOW`` words is repeated if its words also start anywhere else.
 get a rolling hash, Spark counts where each occurs, and the repeated ones of a text merge
 into maximal intervals, whose words go.
 
-Only windows that can repeat are sent to be counted. Each window picks the 16 words of
+Only windows that can repeat are sent to be counted. Each window picks the 8 words of
 least hash in it as its anchor; equal windows pick equal anchors, so a window can be
-repeated only if its anchor occurs at two places. About one word in ten begins an anchor,
-so counting anchors first is a tenth of the shuffle, and loses no window.
+repeated only if its anchor occurs at two places. About one word in 15 begins an anchor,
+so counting anchors first is a small part of the shuffle, and loses no window.
 
 Equal texts are one text with a count. A text that occurs twice loses all its windows
 at once, so a hot group of copies costs one row. Keys with many rows (a passage that
@@ -24,17 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.llm.hashing import joined, rolling, slices
 from loomdoc.llm.text import whole
-from loomdoc.session import cut, table
+from loomdoc.session import cut, stored, table
 
 WINDOW = 35
-ANCHOR = 16
+ANCHOR = 8
 #: Keys of texts, 16 bytes each, that may be broadcast; more go through a shuffle.
-BROADCAST_KEYS = 500_000
+BROADCAST_KEYS = 2_000_000
 
 
 def _anchors(starts: np.ndarray, hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -59,6 +59,12 @@ def _texts(batch: pd.DataFrame) -> list[bytes]:
     return [(t or "").encode() for t in batch["text"]]
 
 
+def _at_two_places(found: DataFrame, key: str, place: Column) -> DataFrame:
+    """The rows of ``found`` whose key has two places at least. Rows of equal place are copies."""
+    twice = found.groupBy(key).agg(F.min(place).alias("a"), F.max(place).alias("z")).filter("a != z").select(key)
+    return found.join(twice, key)
+
+
 def repeated_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """t, ranges: the windows of a text, as [first, last] pairs, whose anchor occurs at two places of distinct texts or of one."""
 
@@ -70,10 +76,9 @@ def repeated_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 of, gram, first, last = _anchors(starts, hashes, window, anchor)
                 yield pd.DataFrame({"t": keys[begin:end][of], "gram": gram, "first": first, "last": last})
 
-    found = cut(docs.select("t", "text").mapInPandas(find, "t long, gram long, first int, last int"))
-    place = F.struct("t", "first")
-    twice = found.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("z")).filter("a != z").select("gram")
-    return found.join(twice, "gram").groupBy("t").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("ranges"))
+    with stored(docs.select("t", "text").mapInPandas(find, "t long, gram long, first int, last int")) as found:
+        kept = _at_two_places(found, "gram", F.xxhash64("t", "first"))
+        return cut(kept.groupBy("t").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("ranges")))
 
 
 def repeated_windows(candidates: DataFrame, window: int) -> DataFrame:
@@ -94,10 +99,9 @@ def repeated_windows(candidates: DataFrame, window: int) -> DataFrame:
                 at = np.concatenate(at)
                 yield pd.DataFrame({"t": np.concatenate(keys), "window": grams[firsts + at].view(np.int64), "at": at})
 
-    found = cut(candidates.select("t", "text", "ranges").mapInPandas(hash_all, "t long, window long, at int"))
-    place = F.struct("t", "at")
-    twice = found.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("z")).filter("a != z").select("window")
-    return found.join(twice, "window").groupBy("t").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    with stored(candidates.select("t", "text", "ranges").mapInPandas(hash_all, "t long, window long, at int")) as found:
+        kept = _at_two_places(found, "window", F.xxhash64("t", "at"))
+        return cut(kept.groupBy("t").agg(F.sort_array(F.collect_set("at")).alias("at")))
 
 
 def intervals(at: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -112,7 +116,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     """``docs`` (doc_id, text and any more columns) with n_words, n_removed and kept_text."""
     keyed = docs.withColumn("t", F.xxhash64(F.lit(window), whole(F.col("text"))))
     texts = cut(keyed.groupBy("t").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one")))
-    ranges = cut(repeated_anchors(keyed, window, anchor))
+    ranges = repeated_anchors(keyed, window, anchor)
     keys = ranges.select("t").join(texts, "t").select("t", F.col("one").alias("doc_id"))
     if ranges.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
@@ -138,8 +142,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
             yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text"])
 
     cut_out = F.pandas_udf(rest, "n_words long, n_removed long, kept_text string")
-    joined_ = keyed.join(facts, "t", "left")
-    return joined_.withColumn("_r", cut_out("text", F.coalesce("all", F.lit(False)), "at")).select(*[keyed[c] for c in docs.columns], "_r.*")
+    facts = cut(facts)
+    if facts.count() <= BROADCAST_KEYS:  # texts that lose nothing need not move
+        hit = F.broadcast(facts.select("t"))
+        none = keyed.join(hit, "t", "left_anti").withColumn("all", F.lit(None).cast("boolean")).withColumn("at", F.lit(None).cast("array<int>"))
+        known = keyed.join(hit, "t", "left_semi").join(facts, "t").unionByName(none)
+    else:
+        known = keyed.join(facts, "t", "left")
+    return known.withColumn("_r", cut_out("text", F.coalesce("all", F.lit(False)), "at")).select(*docs.columns, "_r.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
