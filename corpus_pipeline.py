@@ -1,10 +1,77 @@
-"""The corpus pipeline: each stage reads what its predecessor kept."""
+"""The corpus pipeline: toxicity, near duplicates, decontamination, mixing, sharding.
+
+Each stage works on all that its predecessor kept. STAGES can be run one by one, each result
+written as Parquet and read again, or all together by ``run``.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomdoc.llm import decontamination, jaccard_join, mixing, sharding, toxicity
+from loomdoc.session import cut, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near duplicates here: five-word shingles, similarity 0.8.
+WIDTH, NUM, DEN = 5, 80, 100
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field scores below 1/2. The labels are those of the corpus."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).filter(F.col("_score") < 0.5).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the least doc_id. Rows without a doc_id stay."""
+    groups = jaccard_join.components(docs, WIDTH, NUM, DEN)
+    gone = groups.filter(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
+    gone = cut(gone)
+    if gone.count() <= jaccard_join.BROADCAST_NODES:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, "doc_id", "left_anti")
+    return kept.select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, 0 to 3 times."""
+    keys = ["doc_id", "source", "size"]
+    # rows of equal keys are numbered on both sides, so that each gets copies of its own
+    nth = lambda df, by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0))))
+    sized = docs.withColumn("_size", mixing.n_words(F.col("text")))
+    taken = mixing.mix(docs).select(*[F.col(k).alias(f"_{k}") for k in keys], "copies")
+    taken = nth(taken, [f"_{k}" for k in keys])
+    sized = nth(sized, ["doc_id", "source", "_size"])
+    same = sized["doc_id"].eqNullSafe(taken["_doc_id"]) & sized["source"].eqNullSafe(taken["_source"]) & (sized["_size"] == taken["_size"]) & (sized["_n"] == taken["_n"])
+    out = sized.join(taken.filter("copies > 0"), same)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*[sized[c] for c in docs.columns])
+
+
+def place(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, size, text_crc32, shard, slot of each row."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near copies", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("sharding", place),
+]
+
+#: Learned scores and similarity components aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    for _, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir))
+    return docs
