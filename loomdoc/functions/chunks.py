@@ -145,7 +145,7 @@ def semantic(text: str, embed: Callable[[list[str]], list[list[float]]], size: i
 
 def parents_and_children(text: str, parent: int = 800, child: int = 200, overlap: int = 50) -> list[tuple[int, str, int, str]]:
     """(parent index, parent, child index, child)."""
-    return [(i, p, j, c) for i, p in enumerate(sentence(p_ if (p_ := text) else "", parent, 0)) for j, c in enumerate(sentence(p, child, overlap))]
+    return [(i, p, j, c) for i, p in enumerate(sentence(text, parent, 0)) for j, c in enumerate(sentence(p, child, overlap))]
 
 
 STRATEGIES: dict[str, Callable[..., list[str]]] = {"sentence": sentence, "recursive": recursive, "law-article": article, "markdown": markdown}
