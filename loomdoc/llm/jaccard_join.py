@@ -9,7 +9,8 @@ num / den. The result is each document's set size and the least document of its
    of two such sets are equal; a cell is sent as the hash of its content. If a set has so
    many empty cells that the equal ones might all be empty, it sends these too, so the
    guarantee holds for every set. A set also sends the cells of the next classes, as far
-   as its partners reach.
+   as its partners reach. K - D cells at least are equal, so a set that shares fewer
+   (less its empty ones) has no link; such sets go.
 3. Nodes that share a cell form clusters (connected components of hub edges).
 4. A cluster is joined by a signature tree: see ``signature_tree``. A cluster of more than
    a block of sets is split; each block is joined with a few pivots of the cluster, which
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from loomdoc.llm.hashing import LOWER, joined, mixed, rolling, slices
 from loomdoc.llm.signature_tree import SignatureTree
 from loomdoc.operators.components import connected_components
-from loomdoc.session import cut, table
+from loomdoc.session import cut, stored, table
 
 WIDTH = 4
 NUM, DEN = 85, 100
@@ -65,19 +66,20 @@ def set_hash(tokens: np.ndarray) -> int:
     return int(mixed(np.sum(mixed(tokens + np.uint64(11)), dtype=np.uint64, keepdims=True) + np.uint64(len(tokens)))[0] >> np.uint64(1))
 
 
-def size_classes(num: int, den: int, most: int) -> list[int]:
+def size_classes(most: int) -> list[int]:
     """The largest size of each class."""
     tops = [1]
     while tops[-1] < most:
-        tops.append(tops[-1] * 5 // 4 + 1)
+        tops.append(tops[-1] * 8 // 5 + 1)
     return tops
 
 
-def cells(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The cell signatures of a set (sorted hashes): of its class of sizes and of those of larger partners."""
-    n, out = len(tokens), []
+def cells(tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """The cell signatures of a set (sorted hashes), of its class of sizes and of those of larger partners;
+    and how many of them it shares at least with any set that it links with."""
+    n, out, need = len(tokens), [], []
     reach = n * den // num
-    tops = size_classes(num, den, reach)
+    tops = size_classes(reach)
     for c, top in enumerate(tops):
         if top < n:
             continue
@@ -86,7 +88,7 @@ def cells(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
         apart = (den - num) * 2 * top // (den + num)
         if not apart:
             continue  # only equal sets link
-        spare = apart // 7 + 2
+        spare = apart // 8 + 2
         k = apart + 1 + spare
         cell = ((tokens >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
         first = np.flatnonzero(np.diff(cell, prepend=np.uint64(k)))
@@ -94,9 +96,11 @@ def cells(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
         full = cell[first]
         name = np.uint64(c << 40)
         out.append(mixed(content ^ mixed(full + name)))
-        if k - len(full) > spare:
+        empty = k - len(full)
+        need.append(max(1, spare + 1 - empty))
+        if empty > spare:
             out.append(mixed(np.setdiff1d(np.arange(k, dtype=np.uint64), full) + name + np.uint64(1 << 60)))
-    return (np.concatenate(out) if out else np.empty(0, np.uint64)).view(np.int64)
+    return (np.concatenate(out) if out else np.empty(0, np.uint64)).view(np.int64), min(need, default=1)
 
 
 def _lowered(batch: pd.DataFrame) -> list[bytes]:
@@ -104,7 +108,7 @@ def _lowered(batch: pd.DataFrame) -> list[bytes]:
 
 
 def describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, node, n, cells of each document. A task sends the cells of equal sets once."""
+    """doc_id, node, n, need, cells of each document. A task sends the cells of equal sets once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -112,18 +116,29 @@ def describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             rows = []
             for tokens in _sets(_lowered(batch), width):
                 node = set_hash(tokens)
-                rows.append((node, len(tokens), None if node in seen or not len(tokens) else cells(tokens, num, den)))
+                found, need = (None, 1) if node in seen or not len(tokens) else cells(tokens, num, den)
+                rows.append((node, len(tokens), need, found))
                 seen.add(node)
-            yield pd.DataFrame(rows, columns=["node", "n", "cells"]).assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", "node", "n", "cells"]]
+            yield pd.DataFrame(rows, columns=["node", "n", "need", "cells"]).assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", "node", "n", "need", "cells"]]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, node long, n int, cells array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, node long, n int, need int, cells array<long>")
+
+
+def _hubs(held: DataFrame) -> DataFrame:
+    """cell, hub (its least node) of the cells that two nodes share."""
+    return held.groupBy("cell").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("cell", "hub")
 
 
 def _clusters(sets: DataFrame) -> DataFrame:
-    """node, cluster: nodes that share a cell with others."""
-    held = sets.select("node", F.explode("cells").alias("cell"))
-    shared = held.groupBy("cell").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("cell", "hub")
-    edges = held.join(shared, "cell").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    """node, cluster: nodes that may link. A node that shares fewer cells than any link needs has none, and goes; so do, once more, those that needed it."""
+    held = sets.filter("cells is not null").select("node", "need", F.explode("cells").alias("cell"))
+    held = cut(held.join(_hubs(held), "cell").select("node", "need", "cell").distinct())
+    for _ in range(2):
+        enough = held.groupBy("node").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("_need")).filter("shared >= _need").select("node")
+        held = held.join(enough, "node")
+        held = cut(held.join(_hubs(held), "cell"))
+        edges = held.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        held = held.drop("hub")
     return connected_components(edges).withColumnRenamed("component", "cluster")
 
 
@@ -188,9 +203,11 @@ def _links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int)
 
 def components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
-    sets = cut(describe(docs, width, num, den))
+    with stored(describe(docs, width, num, den)) as described:
+        sets = cut(described.select("doc_id", "node", "n"))
+        clusters = _clusters(described)
     nodes = cut(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
-    members = cut(_clusters(sets).join(nodes, "node").filter("doc_id is not null"))
+    members = cut(clusters.join(nodes, "node").filter("doc_id is not null"))
     linked = connected_components(_links(docs, members, width, num, den))
     of = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("least"))
