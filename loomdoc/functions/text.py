@@ -69,9 +69,12 @@ def file_type(name: Column, mime: Column) -> Column:
 
 def ngrams(word: Column, least: int = 2, most: int = 3) -> Column:
     """Distinct character n-grams, shorter ones first, each size from the left."""
-    runs = [F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i, n=n: F.substring(word, i, F.lit(n))) for n in range(least, most + 1)]
-    usable = [F.when(F.length(word) >= n, r).otherwise(F.array().cast("array<string>")) for n, r in zip(range(least, most + 1), runs)]
-    return F.array_distinct(F.concat(*usable))
+
+    def of(n: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, F.lit(n)))
+        return F.when(F.length(word) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of(n) for n in range(least, most + 1)]))
 
 
 def tokens(text: Column, least: int = 2) -> Column:

@@ -26,3 +26,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     from loomdoc.plans import graphs, mutations, relational, search, texts, windows  # noqa: F401
+load()
