@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdoc.functions.text import count_of, ngrams, tokens
+from loomdoc.functions.text import count_of, ngrams
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -111,14 +113,19 @@ def rrf(vector_hits: DataFrame, text_hits: DataFrame, k: int, id_: str = "id", c
     return both.orderBy(F.desc("rrf_score"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("fts_rank"), id_).limit(k)
 
 
-def hashed_embedding(text: Column, dims: int = 64) -> Column:
+def embed_text(text: str, dims: int = 64) -> np.ndarray:
     """The offline default: each trigram of each word adds 1 or -1 to a place that its hash names."""
-    grams = F.flatten(F.transform(tokens(text), lambda w: ngrams(w, 3, 3)))
-    hashes = F.transform(grams, lambda g: F.xxhash64(g))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda d: F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dims)) == d, F.when(h.bitwiseAND(F.lit(1 << 20)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)),
-    )
+    grams = [w[i : i + 3] for w in re.findall(r"\w{3,}", text.lower()) for i in range(len(w) - 2)]
+    hashes = np.fromiter((zlib.crc32(g.encode()) for g in grams), np.int64, len(grams))
+    return np.bincount(hashes % dims, np.where(hashes & (1 << 20), -1.0, 1.0), dims)
+
+
+def hashed_embedding(text: Column, dims: int = 64) -> Column:
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: embed_text(t or "", dims))
+
+    return run(text)
 
 
 def jaccard3(a: Column, b: Column) -> Column:
@@ -167,7 +174,7 @@ def dedupe_first(hits: DataFrame, key: Column, order: list[Column]) -> DataFrame
 def hybrid(chunks: DataFrame, q: str, k: int = 10, post_filter: Column | None = None) -> DataFrame:
     """Both lists of 2k, fused; ``chunks``: id, text, embedding. Filters belong below the lists; ``post_filter`` is for parity with filtering after."""
     words = query_words(q)
-    probe = chunks.sparkSession.range(1).select(hashed_embedding(F.lit(q)).alias("v")).first()["v"]
+    probe = embed_text(q).tolist()
     fused = rrf(vector_top_k(chunks, probe, 2 * k), bm25(chunks, words, 2 * k), 2 * k)
     out = chunks.select("id", "text").join(F.broadcast(fused), "id")  # 2k rows
     out = out if post_filter is None else out.filter(post_filter)
