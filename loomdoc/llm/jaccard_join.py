@@ -26,6 +26,7 @@ a component that has other documents. Repeated rows: copies. Empty table: no row
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pandas as pd
@@ -124,21 +125,22 @@ def describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, node long, n int, need int, cells array<long>")
 
 
-def _hubs(held: DataFrame) -> DataFrame:
-    """cell, hub (its least node) of the cells that two nodes share."""
-    return held.groupBy("cell").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("cell", "hub")
+def _shared(held: DataFrame) -> DataFrame:
+    """``held`` and hub: the rows whose cell two nodes have, with the least of these nodes. Rows go to their cell once, for the sum and for the join."""
+    held = held.repartition("cell")
+    hubs = held.groupBy("cell").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub <> other").select("cell", "hub")
+    return held.join(hubs, "cell")
 
 
 def _clusters(sets: DataFrame) -> DataFrame:
     """node, cluster: nodes that may link. A node that shares fewer cells than any link needs has none, and goes; so do, once more, those that needed it."""
-    held = sets.filter("cells is not null").select("node", "need", F.explode("cells").alias("cell"))
-    held = cut(held.join(_hubs(held), "cell").select("node", "need", "cell").distinct())
-    for _ in range(2):
-        enough = held.groupBy("node").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("_need")).filter("shared >= _need").select("node")
-        held = held.join(enough, "node")
-        held = cut(held.join(_hubs(held), "cell"))
-        edges = held.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        held = held.drop("hub")
+    all_cells = sets.filter("cells is not null").select("node", "need", F.explode("cells").alias("cell"))
+    with ExitStack() as tables:
+        held = tables.enter_context(stored(_shared(all_cells).select("node", "need", "cell").distinct()))
+        for _ in range(2):
+            enough = held.groupBy("node").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("_need")).filter("shared >= _need").select("node")
+            held = tables.enter_context(stored(_shared(held.select("node", "need", "cell").join(enough, "node"))))
+        edges = cut(held.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     return connected_components(edges).withColumnRenamed("component", "cluster")
 
 
