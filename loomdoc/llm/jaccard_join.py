@@ -9,13 +9,15 @@ num / den. The result is each document's set size and the least document of its
    of two such sets are equal; a cell is sent as the hash of its content. If a set has so
    many empty cells that the equal ones might all be empty, it sends these too, so the
    guarantee holds for every set. A set also sends the cells of the next classes, as far
-   as its partners reach. K - D cells at least are equal, so a set that shares fewer
-   (less its empty ones) has no link; such sets go.
+   as its partners reach. It and its largest partner differ in d <= D shingles at most,
+   so K - d of their cells are equal; a set that shares fewer with all others together
+   (less its empty ones) has no link, and goes.
 3. Nodes that share a cell form clusters (connected components of hub edges).
 4. A cluster is joined by a signature tree: see ``signature_tree``. A cluster of more than
-   a block of sets is split; each block is joined with a few pivots of the cluster, which
-   makes large groups of near copies one class, and then each pair of blocks that
-   still holds two classes is joined too.
+   a block of sets is split by size, into bands so wide that links reach the next band at
+   most, and these into blocks; each block is joined with a few pivots of its band, which
+   makes large groups of near copies one class, and then each pair of blocks of a band or
+   of neighbouring bands that still holds two classes is joined too.
 5. Components of the links, and their least document.
 
 Null or empty text, or no words: an empty set, linked with nothing. Fewer words than a
@@ -25,12 +27,13 @@ a component that has other documents. Repeated rows: copies. Empty table: no row
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from contextlib import ExitStack
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.llm.hashing import LOWER, joined, mixed, rolling, slices
@@ -97,9 +100,11 @@ def cells(tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
         full = cell[first]
         name = np.uint64(c << 40)
         out.append(mixed(content ^ mixed(full + name)))
-        empty = k - len(full)
-        need.append(max(1, spare + 1 - empty))
-        if empty > spare:
+        # a partner of this class differs in so many shingles, and so many cells, at most
+        own = (den - num) * (n + min(top, reach)) // (den + num)
+        equal, empty = k - own, k - len(full)
+        need.append(max(1, equal - empty))
+        if empty >= equal:
             out.append(mixed(np.setdiff1d(np.arange(k, dtype=np.uint64), full) + name + np.uint64(1 << 60)))
     return (np.concatenate(out) if out else np.empty(0, np.uint64)).view(np.int64), min(need, default=1)
 
@@ -157,6 +162,21 @@ def _join_groups(sets: DataFrame, keys: list[str], num: int, den: int) -> DataFr
     return sets.groupBy(*keys).applyInPandas(run, "a long, b long")
 
 
+def _parts(sets: str, shingles_: str) -> Column:
+    """Blocks that so many sets, with so many shingles in all, are split into."""
+    return F.greatest(F.ceil(F.col(sets) / BLOCK_SETS), F.ceil(F.col(shingles_) / BLOCK_SHINGLES), F.lit(1).cast("long"))
+
+
+def _banded(members: DataFrame, num: int, den: int) -> DataFrame:
+    """``members`` with blocks (of the cluster), band and parts (of the band). Sets that link are of one band of sizes or of two neighbouring ones."""
+    total = lambda df, *keys: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sets"), F.sum("n").alias("_all"))
+    blocks = total(members, "cluster").select("cluster", _parts("_sets", "_all").alias("blocks"))
+    band = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * max(math.log(den / num), 1e-3)))
+    banded = cut(members.join(blocks, "cluster").withColumn("band", F.when(F.col("blocks") > 1, band).otherwise(0)))
+    parts = total(banded, "cluster", "band").select("cluster", "band", _parts("_sets", "_all").alias("parts"))
+    return cut(banded.join(parts, ["cluster", "band"]))
+
+
 def _links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links a, b within the clusters of ``members`` (node, cluster, doc_id, n)."""
 
@@ -164,45 +184,56 @@ def _links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int)
         for batch in batches:
             tokens = list(_sets(_lowered(batch), width))
             own = np.fromiter(map(set_hash, tokens), np.int64, len(tokens)) == batch["node"].to_numpy()  # a doc_id may have two texts
-            out = pd.DataFrame({"node": batch["node"], "cluster": batch["cluster"], "tokens": [t.view(np.int64) for t in tokens]})
+            out = batch[["node", "cluster", "band", "parts"]].assign(tokens=[t.view(np.int64) for t in tokens])
             yield out[own]
 
+    members = _banded(members, num, den)
     few = members.count() <= BROADCAST_NODES
-    ids = F.broadcast(members) if few else members
-    text = docs.select("doc_id", "text").join(ids.select("doc_id", "node", "cluster"), "doc_id")
-    tokens = text.select("node", "cluster", "text").mapInPandas(run, "node long, cluster long, tokens array<long>")
-    size = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    tokens = tokens.join(F.broadcast(size) if few else size, "cluster").withColumn("label", F.col("node"))
-    tokens = cut(tokens)
-    # pivots: the nodes of least hash; a threshold picks about PIVOT_SETS of a cluster
-    spread = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    pivot = (F.col("blocks") > 1) & (spread * F.col("blocks") * BLOCK_SETS < PIVOT_SETS)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    at = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))
-    first = cut(_join_groups(tokens.withColumn("block", F.explode(at)), ["cluster", "block"], num, den))
-    large = members.join(size.filter("blocks > 1"), "cluster")
-    if large.isEmpty():
-        return first
-    # what is left: pairs of blocks that hold two classes
-    of = connected_components(first)
-    large = large.join(of, "node", "left").select("node", "cluster", "n", F.coalesce("component", "node").alias("label"))
-    classes = large.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("all"))
-    parts = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("all") / BLOCK_SHINGLES))
-    classes = classes.withColumn("parts", parts).withColumn("small", F.col("sets") * 2 <= BLOCK_SETS)
-    rest = classes.filter("small").groupBy("cluster").agg(F.greatest(F.ceil(F.sum("sets") / BLOCK_SETS), F.ceil(F.sum("all") / BLOCK_SHINGLES)).alias("bins"))
-    placed = large.join(classes.select("cluster", "label", "parts", "small"), ["cluster", "label"]).join(rest, "cluster", "left")
-    placed = placed.withColumn("class", F.when(F.col("small"), F.lit(-1)).otherwise(F.col("label")))
-    placed = placed.withColumn("part", F.when(F.col("small"), F.pmod(F.xxhash64("label"), F.col("bins"))).otherwise(F.pmod(F.xxhash64("node"), F.col("parts"))))
-    placed = cut(placed.select("node", "cluster", "label", "class", "part"))
-    blocks = placed.select("cluster", F.struct("class", "part").alias("block")).distinct()
-    pairs = blocks.join(blocks.withColumnRenamed("block", "with"), "cluster").filter("block <= with")
-    pairs = pairs.filter((F.col("block.class") != F.col("with.class")) | (F.col("block.class") == -1))
-    ends = pairs.select("cluster", "block", F.struct("block", "with").alias("pair")).union(pairs.filter("block <> with").select("cluster", F.col("with"), F.struct("block", "with")))
-    sent = placed.withColumn("block", F.struct("class", "part")).join(ends, ["cluster", "block"]).select("node", "label", "pair")
-    second = _join_groups(sent.join(tokens.select("node", "tokens"), "node"), ["pair"], num, den)
+    ids = members.select("doc_id", "node", "cluster", "band", "parts")
+    text = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id")
+    tokens = text.select("node", "cluster", "band", "parts", "text").mapInPandas(run, "node long, cluster long, band long, parts long, tokens array<long>")
+    with stored(tokens.withColumn("label", F.col("node"))) as tokens:
+        # pivots: the nodes of least hash; a threshold picks about PIVOT_SETS of a band
+        spread = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        pivot = (F.col("parts") > 1) & (spread * F.col("parts") * BLOCK_SETS < PIVOT_SETS)
+        own = F.pmod(F.xxhash64("node"), F.col("parts"))
+        at = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(own))
+        first = cut(_join_groups(tokens.withColumn("block", F.explode(at)), ["cluster", "band", "block"], num, den))
+        large = members.filter("blocks > 1")
+        if large.isEmpty():
+            return first
+        sent = _undecided(large, first)
+        second = cut(_join_groups(sent.join(tokens.select("node", "tokens"), "node"), ["pair"], num, den))
     return first.unionByName(second)
 
 
+def _undecided(large: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label, pair: the sets of each pair of blocks that may still link two classes; ``links`` has those within blocks.
+
+    A class is what the links join. A class of many sets has blocks of its own, the others of a band share theirs.
+    """
+    large = cut(large.join(connected_components(links), "node", "left").select("node", "cluster", "band", "parts", "n", F.coalesce("component", "node").alias("label")))
+    several = large.groupBy("cluster").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).filter("_a <> _z").select("cluster")
+    large = large.join(several, "cluster")
+    classes = large.groupBy("cluster", "band", "label").agg(F.count(F.lit(1)).alias("_sets"), F.sum("n").alias("_all"))
+    classes = cut(classes.withColumn("own_parts", _parts("_sets", "_all")).withColumn("small", F.col("_sets") * 2 <= BLOCK_SETS))
+    rest = classes.filter("small").groupBy("cluster", "band").agg(F.sum("_sets").alias("_sets"), F.sum("_all").alias("_all"))
+    rest = rest.select("cluster", "band", _parts("_sets", "_all").alias("bins"))
+    placed = large.join(classes.select("cluster", "band", "label", "own_parts", "small"), ["cluster", "band", "label"]).join(rest, ["cluster", "band"], "left")
+    class_ = F.when(F.col("small"), F.lit(-1)).otherwise(F.col("label"))
+    part = F.when(F.col("small"), F.pmod(F.xxhash64("label"), F.col("bins"))).otherwise(F.pmod(F.xxhash64("node"), F.col("own_parts")))
+    placed = placed.withColumn("block", F.struct("band", class_.alias("class"), part.alias("part")))
+    placed = cut(placed.select("node", "cluster", "band", "label", "block", (F.col("parts") == 1).alias("decided")))
+    blocks = placed.select("cluster", "band", "block", "decided").distinct()
+    near = blocks.select("cluster", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("block").alias("with"))
+    pairs = blocks.join(near, ["cluster", "band"]).filter("block <= with")
+    pairs = pairs.filter((F.col("block.band") != F.col("with.band")) | ~F.col("decided"))
+    pairs = cut(pairs.filter((F.col("block.class") != F.col("with.class")) | (F.col("block.class") == -1)))
+    pair = F.struct(F.col("block").alias("x"), F.col("with").alias("y"))
+    ends = pairs.select("cluster", "block", pair.alias("pair")).unionByName(pairs.filter("block <> with").select("cluster", F.col("with").alias("block"), pair.alias("pair")))
+    return placed.join(ends, ["cluster", "block"]).select("node", "label", F.struct("cluster", "pair").alias("pair"))
+
+
 def components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
     with stored(describe(docs, width, num, den)) as described:
