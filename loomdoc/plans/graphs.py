@@ -1,4 +1,7 @@
-"""Graph queries. Edges are customers' and orders' keys folded to a few hundred nodes."""
+"""Graph queries. Edges are customers' and orders' keys folded to a few hundred nodes, from one order of 97.
+
+Those named ``whole_`` take every order with its keys unfolded. Recursive ones have no SQL.
+"""
 
 from __future__ import annotations
 
@@ -68,6 +71,52 @@ def graph_modularity(spark: SparkSession, sf: str) -> DataFrame:
     return ops.modularity(ops.weighted_edges(rows, "a", "b", "w"), of).select(F.round("q", 8).alias("q"))
 
 
+def _whole_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").selectExpr("o_custkey a", "o_custkey * 7 + o_orderkey b").distinct()
+
+
+_W = "SELECT DISTINCT o_custkey AS a, o_custkey * 7 + o_orderkey AS b FROM orders"
+
+
+@query(None)
+def whole_graph_bfs(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.reach(_whole_edges(spark, sf), _starts(spark), hops=3)
+
+
+@query(None)
+def whole_graph_components(spark: SparkSession, sf: str) -> DataFrame:
+    return connected_components(_whole_edges(spark, sf))
+
+
+@query(None)
+def whole_graph_chains(spark: SparkSession, sf: str) -> DataFrame:
+    edges = _whole_edges(spark, sf).withColumn("confidence", 0.5 + (F.col("b") % 5) / 10.0)
+    found = ops.chains(edges, _starts(spark), hops=3)
+    return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.round("confidence", 6).alias("confidence"), "depth")
+
+
+@query(f"""WITH e AS ({_W}) SELECT a, b FROM e WHERE a IN (SELECT c_custkey FROM customer) AND b IN (SELECT c_custkey FROM customer)""")
+def whole_graph_induced(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.induced(_whole_edges(spark, sf), table(spark, sf, "customer").select(F.col("c_custkey").alias("node")))
+
+
+@query(f"""WITH e AS ({_W}) SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node""")
+def whole_graph_degrees(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.degrees(_whole_edges(spark, sf))
+
+
+@query("""
+WITH e AS (SELECT least(o_custkey, o_custkey * 7 + o_orderkey) AS a, greatest(o_custkey, o_custkey * 7 + o_orderkey) AS b, sum(0.5 + o_orderkey % 2 / 2.0) AS w FROM orders
+WHERE o_custkey <> o_custkey * 7 + o_orderkey GROUP BY 1, 2),
+k AS (SELECT node, sum(w) AS k FROM (SELECT a AS node, w FROM e UNION ALL SELECT b, w FROM e) GROUP BY node), c AS (SELECT node % 7 AS c, sum(k) AS k FROM k GROUP BY 1)
+SELECT round((SELECT sum(w) FROM e WHERE a % 7 = b % 7) / (SELECT sum(w) FROM e) - (SELECT sum(k * k) FROM c) / (4 * (SELECT sum(w) FROM e) * (SELECT sum(w) FROM e)), 8) AS q""")
+def whole_graph_modularity(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").selectExpr("o_custkey a", "o_custkey * 7 + o_orderkey b", "0.5 + o_orderkey % 2 / 2.0D w")
+    edges = ops.weighted_edges(rows, "a", "b", "w")
+    of = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node") % 7)
+    return ops.modularity(edges, of).select(F.round("q", 8).alias("q"))
+
+
 @query(None)
 def graph_communities(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").selectExpr("o_orderkey % 5 g", "o_custkey % 211 a", "(o_custkey * 7 + o_orderkey) % 211 b")

@@ -152,8 +152,17 @@ def relational_division(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT l_orderkey AS orderkey, l_linenumber AS line, p_name AS product_name, p_retailprice AS product_price FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1""")
 def nested_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _nested(spark, sf, table(spark, sf, "lineitem").filter("l_linenumber = 1"))
+
+
+@query("""SELECT l_orderkey AS orderkey, l_linenumber AS line, p_name AS product_name, p_retailprice AS product_price FROM lineitem JOIN part ON l_partkey = p_partkey""")
+def whole_nested_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _nested(spark, sf, table(spark, sf, "lineitem"))
+
+
+def _nested(spark: SparkSession, sf: str, items: DataFrame) -> DataFrame:
     parts = table(spark, sf, "part").select("p_partkey", F.struct(F.col("p_name").alias("name"), F.col("p_retailprice").alias("price")).alias("product"))
-    rows = table(spark, sf, "lineitem").filter("l_linenumber = 1").join(parts, F.expr("l_partkey = p_partkey"))
+    rows = items.join(parts, F.expr("l_partkey = p_partkey"))
     return rows.select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("line"), F.col("product.name").alias("product_name"), F.col("product.price").alias("product_price"))
 
 
