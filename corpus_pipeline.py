@@ -24,14 +24,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least doc_id. Rows without a doc_id stay."""
-    groups = jaccard_join.components(docs, WIDTH, NUM, DEN)
-    gone = groups.filter(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    gone = cut(gone)
-    if gone.count() <= jaccard_join.BROADCAST_NODES:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    """One row of each group of near copies: of the least doc_id, null last, then of the text with the least key.
+
+    Repeated rows of this text: that of the least hash of the row. Rows without words stay.
+    """
+    rows = jaccard_join.grouped(docs, WIDTH, NUM, DEN).filter("component is not null")
+    texts = cut(rows.groupBy("component", "doc_id", "key").agg(F.count(F.lit(1)).alias("copies")))
+    first = texts.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("_f"))
+    first = first.select(F.col("_f.doc_id").alias("_id"), F.col("_f.key").alias("_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    texts = texts.join(first, same, "left").select("doc_id", "key", "copies", F.col("_key").isNotNull().alias("first"))
+    out = cut(texts.filter("not first or copies > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "first"))
+    few = out.count() <= jaccard_join.BROADCAST_NODES
+    held = lambda df: F.broadcast(df) if few else df
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (jaccard_join.text_key(docs["text"]) == F.col("_key"))
+    kept = docs.join(held(out), same, "left_anti").select(*docs.columns)
+    again = out.filter("first")
+    if again.isEmpty():
+        return kept
+    # each task hands on one row of each repeated text
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")
+    one = docs.join(held(again), same).groupBy("_id", "_key").agg(row).select("_row.*")
+    return kept.unionByName(one)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

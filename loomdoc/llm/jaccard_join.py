@@ -21,8 +21,8 @@ num / den. The result is each document's set size and the least document of its
 5. Components of the links, and their least document.
 
 Null or empty text, or no words: an empty set, linked with nothing. Fewer words than a
-shingle: the whole sequence is the one shingle. Null doc_id: kept, and never the name of
-a component that has other documents. Repeated rows: copies. Empty table: no rows.
+shingle: the whole sequence is the one shingle. Null doc_id: kept, linked as any
+other, and never the name of a component that has other documents. Repeated rows: copies. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -109,12 +109,17 @@ def cells(tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
     return (np.concatenate(out) if out else np.empty(0, np.uint64)).view(np.int64), min(need, default=1)
 
 
+def text_key(text: Column) -> Column:
+    """With the doc_id it names a text, also where the doc_id is null or has two texts."""
+    return F.xxhash64(text)
+
+
 def _lowered(batch: pd.DataFrame) -> list[bytes]:
     return [(t or "").encode().translate(LOWER) for t in batch["text"]]
 
 
 def describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, node, n, need, cells of each document. A task sends the cells of equal sets once."""
+    """doc_id, key (of the text), node, n, need, cells of each document. A task sends the cells of equal sets once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -125,9 +130,9 @@ def describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 found, need = (None, 1) if node in seen or not len(tokens) else cells(tokens, num, den)
                 rows.append((node, len(tokens), need, found))
                 seen.add(node)
-            yield pd.DataFrame(rows, columns=["node", "n", "need", "cells"]).assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", "node", "n", "need", "cells"]]
+            yield pd.DataFrame(rows, columns=["node", "n", "need", "cells"]).assign(doc_id=batch["doc_id"].to_numpy(), key=batch["key"].to_numpy())[["doc_id", "key", "node", "n", "need", "cells"]]
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, node long, n int, need int, cells array<long>")
+    return docs.select("doc_id", "text", text_key(F.col("text")).alias("key")).mapInPandas(run, "doc_id long, key long, node long, n int, need int, cells array<long>")
 
 
 def _shared(held: DataFrame) -> DataFrame:
@@ -178,19 +183,22 @@ def _banded(members: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links a, b within the clusters of ``members`` (node, cluster, doc_id, n)."""
+    """Links a, b within the clusters of ``members`` (node, cluster, doc_id, key, n). A task sends the shingles of repeated rows once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for batch in batches:
             tokens = list(_sets(_lowered(batch), width))
-            own = np.fromiter(map(set_hash, tokens), np.int64, len(tokens)) == batch["node"].to_numpy()  # a doc_id may have two texts
+            nodes = batch["node"].tolist()
+            own = [set_hash(t) == node and node not in seen and not seen.add(node) for t, node in zip(tokens, nodes)]  # two texts may have one key
             out = batch[["node", "cluster", "band", "parts"]].assign(tokens=[t.view(np.int64) for t in tokens])
             yield out[own]
 
     members = _banded(members, num, den)
     few = members.count() <= BROADCAST_NODES
-    ids = members.select("doc_id", "node", "cluster", "band", "parts")
-    text = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id")
+    ids = members.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "node", "cluster", "band", "parts")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key"))
+    text = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, same)
     tokens = text.select("node", "cluster", "band", "parts", "text").mapInPandas(run, "node long, cluster long, band long, parts long, tokens array<long>")
     with stored(tokens.withColumn("label", F.col("node"))) as tokens:
         # pivots: the nodes of least hash; a threshold picks about PIVOT_SETS of a band
@@ -234,19 +242,27 @@ def _undecided(large: DataFrame, links: DataFrame) -> DataFrame:
     return placed.join(ends, ["cluster", "block"]).select("node", "label", F.struct("cluster", "pair").alias("pair"))
 
 
-def components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
+def grouped(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, key, n, component (its name among the sets; null for an empty set), least (its least doc_id) of each row of ``docs`` (doc_id, text)."""
     with stored(describe(docs, width, num, den)) as described:
-        sets = cut(described.select("doc_id", "node", "n"))
+        sets = cut(described.select("doc_id", "key", "node", "n"))
         clusters = _clusters(described)
-    nodes = cut(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
-    members = cut(clusters.join(nodes, "node").filter("doc_id is not null"))
+    # any one text stands for a set; rows without a doc_id stand for it where no other does
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("_first")
+    nodes = sets.filter("n > 0").groupBy("node").agg(first, F.first("n").alias("n"))
+    nodes = cut(nodes.select("node", F.col("_first.doc_id").alias("doc_id"), F.col("_first.key").alias("key"), "n"))
+    members = cut(clusters.join(nodes, "node"))
     linked = connected_components(_links(docs, members, width, num, den))
     of = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("least"))
-    of = of.join(least, "component").select("node", "least")
-    out = sets.select("doc_id", "node", "n").join(of, "node", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("least")), "doc_id").alias("component_id"))
+    of = of.join(least, "component").select("node", "component", "least")
+    return sets.join(of, "node", "left").select("doc_id", "key", "n", *[F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("component", "least")])
+
+
+def components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
+    out = grouped(docs, width, num, den)
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -373,6 +373,45 @@ def test_pipeline_stages(spark, tmp_path):
     assert p.run(spark, str(tmp_path)).count() == at.count()
 
 
+def test_one_row_of_each_group_of_near_copies_stays(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    text = lambda k=80: " ".join("w%d" % rng.randrange(5000) for _ in range(k))
+    hot, alone, twin, chain = text(), text(), text(), text().split()
+    near = " ".join([*hot.split()[:-1], "edited"])
+    bridge, far = " ".join([*chain[6:], *["x%d" % i for i in range(6)]]), " ".join([*chain[12:], *["x%d" % i for i in range(12)]])
+    rows = [(7, hot, "en")] * 20 + [(7, hot, "de")] * 3  # repeated rows of one doc_id
+    rows += [(3, alone, "en"), (9, near, "en"), (9, text(), "en")]  # a doc_id with a near copy and a clean text
+    rows += [(None, twin, "en")] * 4 + [(None, twin.upper(), "en")]  # copies without a doc_id
+    rows += [(20, " ".join(chain), "en"), (None, bridge, "en"), (21, far, "en")]  # linked through a row without a doc_id only
+    rows += [(None, None, "en"), (None, "", "en"), (30, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = [tuple(r) for r in p.drop_near_copies(spark, docs, "").collect()]
+    link = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    sets = [sets_of(r[1], 5) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and link(a, sets[j]):
+                root[find(i)] = find(j)
+    groups = collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[find(i)].append(r)
+    assert not link(sets[rows.index((20, " ".join(chain), "en"))], sets_of(far, 5)) and len(groups) == 8
+    assert len(kept) == len(groups)
+    for group in groups.values():
+        here = [r for r in kept if r in group]
+        best = min((r[0] is None, r[0] or 0) for r in group)
+        assert group[0][1] in (None, "") or len(here) == 1 and (here[0][0] is None, here[0][0] or 0) == best
+    linked = {r["doc_id"]: r["component_id"] for r in jaccard_join.components(docs, 5, 80, 100).collect() if r["doc_id"] in (20, 21)}
+    assert linked == {20: 20, 21: 20}
+
+
 def test_kept_text_digest_is_plain_sha256(docs):
     r = substrings.remove_repeats(docs.limit(1)).select(F.sha2("kept_text", 256).alias("h"), "kept_text").first()
     assert r["h"] == hashlib.sha256(r["kept_text"].encode()).hexdigest()
