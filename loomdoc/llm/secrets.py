@@ -1,12 +1,16 @@
 """Operator 6: secrets, by fixed patterns and by a battery of randomness tests.
 
 Base spans: see ``PATTERNS``. The method adds spans of kind ``random``: runs of 20 or more
-characters that encoders use. For a run the encoding is inferred (decimal, hexadecimal,
+characters of one of the alphabets that encoders use (with + and /, or with - and _), with
+their padding; an = before more characters parts a name from its value, and each is a run.
+Of reported runs one within another is left out. For a run the encoding is inferred (decimal, hexadecimal,
 base 32, base 64), and in its alphabet three tests ask whether the characters look drawn at random:
 chi-squared for uniformity, the number of runs of character classes (lower, upper, digit,
 other), and the serial correlation of neighbouring codes. A run that fails one of them
 (Bonferroni over the three, at ``ALPHA``) is no secret. For the rest the opposite question
-gets a p-value: how likely has ordinary text so many changes of class in this length. The
+gets a p-value: how likely has ordinary text so many changes of class in this length; as
+digits are of one class, for decimals: how likely have ordinary numbers so many jumps, which
+are neighbours that neither are equal nor follow each other. The
 Benjamini-Hochberg rule, in each stratum of encoding and length, keeps the share of
 ordinary runs among the reported ones below ``FDR``. Its counts cover all documents, in
 p-value bins of 1/100 of a decade; at most ``len(ENCODINGS) * len(LENGTHS)`` thresholds
@@ -40,7 +44,8 @@ GUARDS = {
     "hex": r"[0-9a-f]{32}",
     "random": r"[A-Za-z0-9+/_=-]{20}",
 }
-RANDOM = (r"()([A-Za-z0-9+/_=-]{20,})", "all", 20)
+# padding counts among the 20 characters
+RANDOM = [(rf"()([{chars}]{{14,}}(?:=+(?![A-Za-z0-9+/_=-]))?)", "all", 20) for chars in ("A-Za-z0-9+/", "A-Za-z0-9_-")]
 KINDS = [*PATTERNS, "random"]
 #: encoding -> (pattern, size of the alphabet); the first that fits is inferred.
 ENCODINGS = {"decimal": (r"^[0-9]+$", 10), "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", 16), "base32": (r"^[A-Z2-7]+$", 32), "base64": (r"^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)$", 64)}
@@ -49,6 +54,8 @@ ALPHA = 0.001
 FDR = 0.01
 #: In ordinary text a character differs in class from the one before it with this chance.
 TEXT_CHANGES = 0.08
+#: In ordinary numbers (counters, fills, round amounts) a digit jumps with this chance; in random ones with 0.7.
+NUMBER_JUMPS = 0.3
 _OPEN, _MID, _CLOSE = "\ue000", "\ue001", "\ue002"
 
 
@@ -105,7 +112,10 @@ def battery(body: Column) -> Column:
     spread = F.aggregate(dev, F.lit(0.0), lambda a, x: a + x * x)
     serial = F.when(spread > 0, lag / spread * F.sqrt(n)).otherwise(F.lit(99.0))
     least = F.least(_upper_tail(chi), 2.0 * _upper_tail(F.abs(runs)), 2.0 * _upper_tail(F.abs(serial)))
-    as_text = (changes - 0.5 - (n - 1.0) * TEXT_CHANGES) / F.sqrt((n - 1.0) * TEXT_CHANGES * (1.0 - TEXT_CHANGES))
+    step = lambda i: F.pmod(F.get(codes, i + 1) - F.get(codes, i) + 1.0, F.lit(10.0))
+    jumps = F.aggregate(F.sequence(F.lit(0), (n - 2).cast("int")), F.lit(0.0), lambda a, i: a + F.when(step(i) > 2.0, 1.0).otherwise(0.0))
+    above = lambda count, chance: (count - 0.5 - (n - 1.0) * chance) / F.sqrt((n - 1.0) * chance * (1.0 - chance))
+    as_text = F.when(name == "decimal", above(jumps, NUMBER_JUMPS)).otherwise(above(changes, TEXT_CHANGES))
     bin_ = F.floor(-100.0 * F.log10(_upper_tail(as_text))).cast("int")
     stratum = F.concat_ws(":", name, F.lit(0).cast("string"))
     for least_length in LENGTHS:
@@ -126,8 +136,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id and found: array of (start, kind, end), in order, of each row of ``docs`` (doc_id, text)."""
     text = F.translate(whole(F.col("text")), _OPEN + _MID + _CLOSE, "???")
     rows = docs.select("doc_id", text.alias("_text"))
-    for kind, spec in {**PATTERNS, "random": RANDOM}.items():
+    for kind, spec in PATTERNS.items():
         rows = rows.withColumn(kind, _matches(F.col("_text"), kind, *spec))
+    rows = rows.withColumn("random", F.array_distinct(F.concat(*[_matches(F.col("_text"), "random", *spec) for spec in RANDOM])))
     rows = rows.withColumn("base", F.concat(*PATTERNS)).select("doc_id", "base", "random")
     rows = cut(rows)
     apart = F.filter("random", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"])))
@@ -137,7 +148,10 @@ def scan(docs: DataFrame) -> DataFrame:
     limits = thresholds(tests)
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]) if limits else F.create_map().cast("map<string,int>")
     kept = F.filter("random", lambda r: r["test"]["random"] & (r["test"]["bin"] >= F.element_at(limit, r["test"]["stratum"])))
-    added = F.transform(kept, lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end")))
+    wider = lambda o, r: (o["start"] <= r["start"]) & (o["end"] >= r["end"]) & (o["end"] - o["start"] > r["end"] - r["start"])
+    rows = rows.withColumn("random", kept)
+    widest = F.filter("random", lambda r: ~F.exists("random", lambda o: wider(o, r)))
+    added = F.transform(widest, lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end")))
     return rows.select("doc_id", F.array_sort(F.concat("base", added)).alias("found"))
 
 

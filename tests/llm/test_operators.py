@@ -238,6 +238,23 @@ def test_secrets_base_and_random(spark):
     assert not any(s[1] == 3 for i in [*range(3), 6, *range(10, 40)] for s in found[i])
 
 
+def test_secrets_after_names_and_decimals(spark):
+    rng = random.Random(19)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "export DB_KEY={} end", "see https://h.example/a_b/c?x_y=1&sig={}&z=2", "a_long_name_of_a_setting={}==", "in /srv/some_where/{} here"]
+    cases = [(f, draw(b64.rstrip("+/") if "/srv" in f else b64, 43)) for f in forms for _ in range(5)]
+    cases += [("pin {} end", draw("0123456789", 30)) for _ in range(8)]
+    plain = ["n %s end" % t for t in ("0" * 24, "1234567890" * 3, "1000000000000000000000", "7" * 29)]
+    texts = [f.format(x) for f, x in cases] + plain
+    found = {r["doc_id"]: [t for t in r["found"] if t["kind"] == 3] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    hit = lambda i: [texts[i][s["start"] : s["end"]] for s in found[i]]
+    for k, form in enumerate([*forms, "decimal"]):
+        own = range(25, 33) if form == "decimal" else range(5 * k, 5 * k + 5)
+        assert sum(any(cases[i][1] in h and "_" not in h and len(h) < 55 for h in hit(i)) for i in own) >= len(own) * 3 // 5, (form, [hit(i) for i in own])
+    assert [hit(len(cases) + i) for i in range(len(plain))] == [[]] * len(plain)
+
+
 def test_licenses(spark):
     mit = licenses.TEXTS["MIT"][0]
     texts = [mit, "MIT Licence\nCopyright (c) 2020 Someone\n\n" + mit.upper().replace(" ", "\n ").replace("SUBLICENSE", "SUB-LICENSE"), mit + " more", "hello\nReleased under the MIT Licence!\nx", None, "", "© 2021 me\nAll rights reserved."]
