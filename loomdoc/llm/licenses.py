@@ -9,7 +9,8 @@ known notice cannot match, so it is not sent on.
 
 Result: one row for each distinct (doc_id, text_digest). Null text: as empty; the digest
 is that of the empty text, and nothing matches. Repeated rows: one result row. Empty table: no rows.
-The known texts are the parameter ``known``; they are a bounded table and are broadcast.
+The known texts and notices are parameters, each a dict or a table (license_id, text); they are bounded and broadcast.
+``query`` has those that its SQL has; ``query_all`` has all that are held here.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm.known_licenses import EQUIVALENT, NOTICES, TEXTS
+from loomdoc.llm.known_licenses import ALL_NOTICES, ALL_TEXTS, EQUIVALENT, NOTICES, TEXTS
 from loomdoc.llm.text import whole
 from loomdoc.session import table
 
@@ -36,14 +37,18 @@ def one_line(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
 
 
-def digests(spark: SparkSession, known: dict[str, list[str]]) -> DataFrame:
-    """license_id, digest, length of the known texts."""
-    rows = spark.createDataFrame([(k, t) for k, texts in known.items() for t in texts], "license_id string, text string")
+Known = dict[str, list[str]] | DataFrame
+
+
+def digests(spark: SparkSession, known: Known) -> DataFrame:
+    """license_id, digest, length of the known texts; ids of one digest are comma-joined."""
+    rows = known if isinstance(known, DataFrame) else spark.createDataFrame([(k, t) for k, texts in known.items() for t in texts], "license_id string, text string")
     rows = rows.select("license_id", one_line(canonical_lines(F.col("text"))).alias("text"))
-    return rows.select("license_id", F.sha2("text", 256).alias("digest"), F.length("text").alias("length"))
+    rows = rows.filter("text <> ''").groupBy(F.sha2("text", 256).alias("digest"), F.length("text").alias("length"))
+    return rows.agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("license_id")).select("license_id", "digest", "length")
 
 
-def scan(docs: DataFrame, texts: dict[str, list[str]] = TEXTS, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
+def scan(docs: DataFrame, texts: Known = TEXTS, notices: Known = NOTICES) -> DataFrame:
     """doc_id, text_digest, license_id of the whole text (or null), notices found on lines (sorted, comma-joined)."""
     spark = docs.sparkSession
     whole_known = digests(spark, texts).select(F.col("digest").alias("text_digest"), "license_id")
@@ -62,6 +67,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def query_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"), ALL_TEXTS, ALL_NOTICES)
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

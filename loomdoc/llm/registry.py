@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontamination.query,
     "op9_quality_rules": quality.query,
     "op10_substring_dedup": substrings.query,
+    "op1_license_scan_all": licenses.query_all,
 }
 
 #: DuckDB SQL by query.
