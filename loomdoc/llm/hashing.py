@@ -8,9 +8,8 @@ import numpy as np
 
 _MIX = np.random.default_rng(35)
 _BYTE = _MIX.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Odd, so that it has an inverse mod 2**64.
-BASE = 0x9E37_79B9_7F4A_7C15
-INVERSE = pow(BASE, -1, 2**64)
+#: Odd, so that they have an inverse mod 2**64. Two polynomials together tell windows apart at any size of corpus.
+BASE, SECOND_BASE = 0x9E37_79B9_7F4A_7C15, 0xD1B5_4A32_D192_ED03
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -60,14 +59,14 @@ def word_hashes(data: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
-def rolling(words: np.ndarray, width: int) -> np.ndarray:
+def rolling(words: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
     """Rabin-Karp hashes mod 2**64 of all windows of ``width`` words, from one running sum."""
     n = len(words)
     if n < width:
         return np.empty(0, np.uint64)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * powers(INVERSE, n), out=total[1:])
-    return mixed((total[width:] - total[:-width]) * powers(BASE, n - width + 1))
+    np.cumsum(words * powers(pow(base, -1, 2**64), n), out=total[1:])
+    return mixed((total[width:] - total[:-width]) * powers(base, n - width + 1))
 
 
 def slices(texts: list[bytes], most: int = PIECE) -> Iterator[tuple[int, int]]:

@@ -11,10 +11,17 @@ so counting anchors first is a small part of the shuffle, and loses no window.
 
 Equal texts are one text with a count. A text that occurs twice loses all its windows
 at once, so a hot group of copies costs one row. Keys with many rows (a passage that
-many texts share) are first reduced within each task to their first and last place.
+many texts share) are first reduced within each task to their first and last place. Rows
+are then kept by their key: those of the few keys that hold the most rows by a broadcast of
+these keys (``HOT_KEYS`` at most, as each has that share of all rows), the rest by a shuffle.
+
+Texts are told apart by 96 bits and windows by 96 bits of two polynomials, so no chance
+clash is to be expected. Anchors have 64 bits; a clash there is only a candidate more.
 
 Null or empty text, or fewer than ``WINDOW`` words: nothing is removed. Repeated rows are
-copies of one another, so their windows repeat. Empty table: no rows.
+copies of one another, so their windows repeat. Very long texts: one text's word hashes are
+held at a time. Empty table: no rows. More columns are kept as they are; those named
+n_words, n_removed or kept_text are replaced by the results.
 """
 
 from __future__ import annotations
@@ -27,14 +34,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm.hashing import joined, rolling, slices
-from loomdoc.llm.text import whole
+from loomdoc.llm.hashing import SECOND_BASE, joined, rolling, slices
+from loomdoc.llm.text import identity
 from loomdoc.session import cut, stored, table
 
 WINDOW = 35
 ANCHOR = 8
-#: Keys of texts, 16 bytes each, that may be broadcast; more go through a shuffle.
-BROADCAST_KEYS = 2_000_000
+#: Keys of texts, 12 bytes each, that may be broadcast; more go through a shuffle.
+BROADCAST_KEYS = 200_000
+#: A key with this share of all rows or more is a hot one, so there are at most so many.
+HOT_KEYS = 20_000
+TEXT = ["_t", "_u"]
+RESULTS = ["n_words", "n_removed", "kept_text"]
 
 
 def _anchors(starts: np.ndarray, hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -59,49 +70,54 @@ def _texts(batch: pd.DataFrame) -> list[bytes]:
     return [(t or "").encode() for t in batch["text"]]
 
 
-def _at_two_places(found: DataFrame, key: str, place: Column) -> DataFrame:
-    """The rows of ``found`` whose key has two places at least. Rows of equal place are copies."""
-    twice = found.groupBy(key).agg(F.min(place).alias("a"), F.max(place).alias("z")).filter("a != z").select(key)
-    return found.join(twice, key)
+def _once(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[bytes], np.ndarray, np.ndarray]]:
+    """Slices of the batches with their texts' bytes, word hashes and bounds; a task takes equal texts once."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        new = [k not in seen and not seen.add(k) for k in zip(batch["_t"].tolist(), batch["_u"].tolist())]
+        batch = batch[new].reset_index(drop=True)
+        texts = _texts(batch)
+        for begin, end in slices(texts):
+            yield batch.iloc[begin:end], *joined(texts[begin:end])
+
+
+def _at_two_places(found: DataFrame, key: list[str], place: Column) -> DataFrame:
+    """The rows of ``found``, a stored table, whose key has two places at least. Rows of equal place are copies."""
+    many = max(2, found.count() // HOT_KEYS)
+    by_key = found.groupBy(*key).agg(F.min(place).alias("_a"), F.max(place).alias("_z"), F.count(F.lit(1)).alias("_n"))
+    twice = cut(by_key.filter("_a != _z").select(*key, (F.col("_n") >= many).alias("_hot")))
+    hot, rest = F.broadcast(twice.filter("_hot").select(*key)), twice.filter("not _hot").select(*key)
+    return found.join(hot, key, "left_semi").unionByName(found.join(hot, key, "left_anti").join(rest, key, "left_semi"))
 
 
 def repeated_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """t, ranges: the windows of a text, as [first, last] pairs, whose anchor occurs at two places of distinct texts or of one."""
+    """_t, _u, ranges: the windows of a text, as [first, last] pairs, whose anchor occurs at two places of distinct texts or of one."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, keys = _texts(batch), batch["t"].to_numpy()
-            for begin, end in slices(texts):
-                hashes, starts = joined(texts[begin:end])
-                of, gram, first, last = _anchors(starts, hashes, window, anchor)
-                yield pd.DataFrame({"t": keys[begin:end][of], "gram": gram, "first": first, "last": last})
+        for rows, hashes, starts in _once(batches):
+            of, gram, first, last = _anchors(starts, hashes, window, anchor)
+            yield pd.DataFrame({"_t": rows["_t"].to_numpy()[of], "_u": rows["_u"].to_numpy()[of], "gram": gram, "first": first, "last": last})
 
-    with stored(docs.select("t", "text").mapInPandas(find, "t long, gram long, first int, last int")) as found:
-        kept = _at_two_places(found, "gram", F.xxhash64("t", "first"))
-        return cut(kept.groupBy("t").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("ranges")))
+    with stored(docs.select(*TEXT, "text").mapInPandas(find, "_t long, _u int, gram long, first int, last int")) as found:
+        kept = _at_two_places(found, ["gram"], F.xxhash64(*TEXT, "first"))
+        return cut(kept.groupBy(*TEXT).agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("ranges")))
 
 
 def repeated_windows(candidates: DataFrame, window: int) -> DataFrame:
-    """t, at: the starts of the windows of a text that occur at two places. ``candidates``: t, text, ranges."""
+    """_t, _u, at: the starts of the windows of a text that occur at two places. ``candidates``: _t, _u, text, ranges."""
 
     def hash_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = _texts(batch)
-            for begin, end in slices(texts):
-                hashes, starts = joined(texts[begin:end])
-                grams = rolling(hashes, window)
-                keys, at = [], []
-                for k, ranges in enumerate(batch["ranges"].iloc[begin:end]):
-                    inside = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in ranges])
-                    at.append(inside)
-                    keys.append(np.full(len(inside), batch["t"].iloc[begin + k]))
-                firsts = np.repeat(starts[:-1], [len(x) for x in at])
-                at = np.concatenate(at)
-                yield pd.DataFrame({"t": np.concatenate(keys), "window": grams[firsts + at].view(np.int64), "at": at})
-
-    with stored(candidates.select("t", "text", "ranges").mapInPandas(hash_all, "t long, window long, at int")) as found:
-        kept = _at_two_places(found, "window", F.xxhash64("t", "at"))
-        return cut(kept.groupBy("t").agg(F.sort_array(F.collect_set("at")).alias("at")))
+        for rows, hashes, starts in _once(batches):
+            inside = [np.concatenate([np.arange(r["first"], r["last"] + 1) for r in ranges]) for ranges in rows["ranges"]]
+            sizes, at = [len(x) for x in inside], np.concatenate(inside)
+            places = np.repeat(starts[:-1], sizes) + at
+            check = (rolling(hashes, window, SECOND_BASE)[places] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            of = {c: np.repeat(rows[c].to_numpy(), sizes) for c in TEXT}
+            yield pd.DataFrame(of | {"window": rolling(hashes, window)[places].view(np.int64), "check": check, "at": at})
+
+    with stored(candidates.select(*TEXT, "text", "ranges").mapInPandas(hash_all, "_t long, _u int, window long, check int, at int")) as found:
+        kept = _at_two_places(found, ["window", "check"], F.xxhash64(*TEXT, "at"))
+        return cut(kept.groupBy(*TEXT).agg(F.sort_array(F.collect_set("at")).alias("at")))
 
 
 def intervals(at: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -114,16 +130,17 @@ def intervals(at: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``docs`` (doc_id, text and any more columns) with n_words, n_removed and kept_text."""
-    keyed = docs.withColumn("t", F.xxhash64(F.lit(window), whole(F.col("text"))))
-    texts = cut(keyed.groupBy("t").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one")))
+    own = [c for c in docs.columns if c not in RESULTS]
+    keyed = docs.select(F.struct(*own).alias("_row"), "doc_id", "text", *identity(F.col("text")))
+    texts = cut(keyed.groupBy(*TEXT).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one")))
     ranges = repeated_anchors(keyed, window, anchor)
-    keys = ranges.select("t").join(texts, "t").select("t", F.col("one").alias("doc_id"))
+    keys = ranges.select(*TEXT).join(texts, TEXT).select(*[F.col(c).alias(f"{c}1") for c in TEXT], "one")
     if ranges.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    same = keyed["doc_id"].eqNullSafe(keys["doc_id"]) & (keyed["t"] == keys["t"])
-    candidates = keyed.join(keys, same, "left_semi").select("t", "text").join(ranges, "t")
+    same = keyed["doc_id"].eqNullSafe(keys["one"]) & (keyed["_t"] == keys["_t1"]) & (keyed["_u"] == keys["_u1"])
+    candidates = keyed.join(keys, same, "left_semi").select(*TEXT, "text").join(ranges, TEXT)
     found = repeated_windows(candidates, window)
-    facts = texts.filter("copies > 1").select("t", F.lit(True).alias("all")).join(found, "t", "full_outer")
+    facts = texts.filter("copies > 1").select(*TEXT, F.lit(True).alias("all")).join(found, TEXT, "full_outer")
 
     def rest(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for text, every, at in batches:
@@ -139,17 +156,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                         begin = z
                     words = out + words[begin:]
                 rows.append((n, n - len(words), b" ".join(words).decode()))
-            yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text"])
+            yield pd.DataFrame(rows, columns=RESULTS)
 
     cut_out = F.pandas_udf(rest, "n_words long, n_removed long, kept_text string")
     facts = cut(facts)
     if facts.count() <= BROADCAST_KEYS:  # texts that lose nothing need not move
-        hit = F.broadcast(facts.select("t"))
-        none = keyed.join(hit, "t", "left_anti").withColumn("all", F.lit(None).cast("boolean")).withColumn("at", F.lit(None).cast("array<int>"))
-        known = keyed.join(hit, "t", "left_semi").join(facts, "t").unionByName(none)
+        hit = F.broadcast(facts.select(*TEXT))
+        none = keyed.join(hit, TEXT, "left_anti").withColumn("all", F.lit(None).cast("boolean")).withColumn("at", F.lit(None).cast("array<int>"))
+        known = keyed.join(hit, TEXT, "left_semi").join(facts, TEXT).unionByName(none)
     else:
-        known = keyed.join(facts, "t", "left")
-    return known.withColumn("_r", cut_out("text", F.coalesce("all", F.lit(False)), "at")).select(*docs.columns, "_r.*")
+        known = keyed.join(facts, TEXT, "left")
+    return known.withColumn("_r", cut_out("text", F.coalesce("all", F.lit(False)), "at")).select("_row.*", "_r.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

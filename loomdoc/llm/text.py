@@ -33,6 +33,11 @@ def unit(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(2**53))
 
 
+def identity(text: Column, of: str = "") -> list[Column]:
+    """``_t<of>`` and ``_u<of>``: 96 bits of two hash families that stand for a text, so that no two texts share them at any size of corpus."""
+    return [F.xxhash64(F.lit(96), whole(text)).alias(f"_t{of}"), F.hash(F.lit(96), whole(text)).alias(f"_u{of}")]
+
+
 def slice_of(hashed: Column, parts: int | Column) -> Column:
     """The part, of ``parts`` equal ones, of the hash range; rises with the hash (as a signed long)."""
     top = F.shiftrightunsigned(hashed.bitwiseXOR(F.lit(-(2**63))), 33)
