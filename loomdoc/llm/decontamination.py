@@ -1,35 +1,43 @@
 """Operator 8: benchmark passages in documents, by SimHash over item-sized windows.
 
 Words are lower-cased and lose ASCII punctuation; shingles are five words. A window has as
-many words as its item. Every word position of every text is looked up among the items'
-shingles; a position that hits gives the window that lines it up with the item (a window without any
-hit has similarity 0). A window's shingles, weighted by rarity among the items, give a 64-bit
-SimHash. Items are found by multi-index: the fingerprint is cut into ``RADIUS + 1`` blocks, and a
-pair within the radius agrees in one of them at least, so the join on (item, block, value)
-misses none. Pairs within the radius are verified by the exact weighted Jaccard similarity
-of their shingle sets, ``SIMILARITY`` or more.
-
-The result has one row for each distinct doc_id and item: the best window. Equal texts
-are searched once. Items or documents of fewer than five words, null or empty texts: never matched, as a
-shingle needs five. Items of null id are left out. Repeated rows: one result. Empty tables: no rows.
-The items' shingles are broadcast up to ``BROADCAST_ROWS``, the candidates' keys too;
-beyond that Spark shuffles.
+many words as an item. A window without any shingle of an item has similarity 0, so windows
+are made where a word position of a text holds an item's shingle: the window that lines the
+two up. A window's shingles, weighted by rarity among the items, give a 64-bit SimHash.
+
+Candidates come from a multi-index alone. A fingerprint is cut into ``BLOCKS`` parts; a pair
+within the radius differs in radius / BLOCKS bits at most in one of them. So the index holds
+each item's parts with all flips of so many bits, and a window looks up its own parts as they
+are: every item within the radius is found, whichever shingle made the window. These
+pairs are verified by the exact weighted Jaccard similarity of their shingle sets, ``SIMILARITY`` or more.
+The radius is where this can lose: a pair of similarity 0.8 differs in 9.7 bits on average with a
+deviation of 2.9, so about 2 % of the pairs at the very limit are farther apart than 15.
+
+The result has one row for each distinct doc_id and item: the best window, the first one of equal
+ones. Equal texts are searched once; texts are told apart by 96 bits. Items or documents of fewer than five
+words, null or empty texts: never matched, as a shingle needs five. Items of null id are left
+out; a null doc_id is reported as any other. Repeated rows, or several texts of one id: one result. Very long
+texts: their shingles are one array, the windows are cut from it. Empty tables: no rows. More
+columns of any name are ignored, and kept by ``clean``.
+The index, the items' shingles and the candidates' keys are broadcast up to ``BROADCAST_ROWS``; beyond that Spark shuffles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.llm.text import words
+from loomdoc.llm.text import identity, words
 from loomdoc.session import cut, table
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: A pair of similarity 0.8 differs in about 10 of 64 bits, with a deviation of 3.
-RADIUS = 19
+RADIUS = 15
+#: Parts of a fingerprint, of 64 / BLOCKS bits.
+BLOCKS = 4
 BROADCAST_ROWS = 500_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+TEXT = ["_t", "_u"]
 
 
 def _words(text: Column) -> Column:
@@ -61,81 +69,80 @@ def fingerprint(shingles: Column) -> Column:
     return out
 
 
-def blocks(print_: Column, radius: int = RADIUS) -> Column:
-    """(block, value) of the radius + 1 blocks of a fingerprint."""
-    n = radius + 1
-    edges = [64 * k // n for k in range(n + 1)]
-    return F.array(
-        *[
-            F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(print_, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value"))
-            for k, (lo, hi) in enumerate(zip(edges, edges[1:]))
-        ]
-    )
+def parts(print_: Column, blocks: int = BLOCKS) -> Column:
+    """(block, value) of the equal parts of a fingerprint."""
+    bits = 64 // blocks
+    return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(print_, bits * k).bitwiseAND(F.lit((1 << bits) - 1)).alias("value")) for k in range(blocks)])
 
 
-def _weighted(shingles: Column, weights: Column, rarest: Column) -> Column:
-    """Distinct (h, w) of an array of hashes; a shingle of no item weighs as the rarest."""
-    return F.transform(F.array_distinct(shingles), lambda h: F.struct(h.alias("h"), F.coalesce(F.element_at(weights, h), rarest).alias("w")))
+def flips(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
+    """The masks of a part that a fingerprint within the radius may differ by in one part at least."""
+    return [m for m in range(1 << (64 // blocks)) if m.bit_count() <= radius // blocks]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """t (hash of the text), item_id, at (word), similarity, distance: the best window of each text and item that is similar."""
-    items = benchmark.filter("item_id is not null").select("item_id", _words(F.col("text")).alias("w")).filter(F.size("w") >= WIDTH)
-    items = cut(items.select("item_id", F.size("w").alias("length"), _shingles(F.col("w")).alias("shingles")))
+    """_t, _u (of the text), item_id, at (word), similarity, distance: the best window of each text and item that is similar."""
+    items = benchmark.filter("item_id is not null").select("item_id", _words(F.col("text")).alias("w")).filter(F.size("w") >= WIDTH).distinct()
+    items = items.select(F.xxhash64("item_id", "w").alias("item"), "item_id", F.size("w").alias("length"), _shingles(F.col("w")).alias("shingles"))
+    items = cut(items)
     n_items = items.count()
-    placed = items.select("item_id", "length", F.posexplode("shingles").alias("offset", "h"))
-    rarity = placed.groupBy("h").agg(_weight(1.0 + n_items / F.count_distinct("item_id")).alias("w"))
-    placed = cut(placed.join(rarity, "h"))
+    placed = items.select("item", "length", F.posexplode("shingles").alias("offset", "h"))
+    rarity = cut(placed.groupBy("h").agg(_weight(1.0 + n_items / F.count_distinct("item")).alias("w")))
     rarest = _weight(F.lit(1.0 + n_items))
     # an item's own weights by shingle, as large as the item
-    own = placed.groupBy("item_id", "length").agg(F.map_from_entries(F.collect_set(F.struct("h", "w"))).alias("weights"))
-    own = own.withColumn("print", fingerprint(F.transform(F.map_entries("weights"), lambda e: F.struct(e["key"].alias("h"), e["value"].alias("w")))))
-    own = cut(own)
-
-    texts = docs.select(F.xxhash64(F.lit(8), F.coalesce("text", F.lit(""))).alias("t"), _words(F.col("text")).alias("w"))
-    found = texts.select("t", F.size("w").alias("n"), F.posexplode_outer(_shingles(F.col("w"))).alias("pos", "h"))
-    n_placed = placed.count()
-    found = found.join(_small(placed.select("h", "item_id", "length", "offset"), n_placed), "h")
+    own = placed.join(rarity, "h").groupBy("item").agg(F.map_from_entries(F.collect_set(F.struct("h", "w"))).alias("weights"))
+    own = own.withColumn("item_print", fingerprint(F.transform(F.map_entries("weights"), lambda e: F.struct(e["key"].alias("h"), e["value"].alias("w")))))
+    own = cut(own.join(items.select("item", "item_id", "length"), "item"))
+    n_placed, n_shingles = placed.count(), rarity.count()
+
+    texts = docs.select(*identity(F.col("text")), _words(F.col("text")).alias("w"))
+    found = texts.select(*TEXT, F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"))).alias("pos", "h"))
+    found = found.join(_small(placed.select("h", "length", "offset").distinct(), n_placed), "h")
     begin = F.greatest(F.least(F.col("pos") - F.col("offset"), F.col("n") - F.col("length")), F.lit(0))
-    windows = cut(found.select("t", "item_id", "length", begin.alias("at")).distinct())
-
-    keys = windows.select("t").distinct()
-    chosen = texts.join(_small(keys, keys.count()), "t", "left_semi").dropDuplicates(["t"]).select("t", _shingles(F.col("w")).alias("shingles"))
-    cut_out = F.slice("shingles", F.col("at") + 1, F.col("length") - (WIDTH - 1))
-    pairs = windows.join(cut(chosen), "t").select("t", "item_id", "at", cut_out.alias("shingles"))
-    own_ = _small(own, n_placed)
-    pairs = pairs.join(own_.select("item_id", "weights"), "item_id").withColumn("window", _weighted(F.col("shingles"), F.col("weights"), rarest))
-    pairs = cut(pairs.select("t", "item_id", "at", "window").withColumn("print", fingerprint(F.col("window"))))
-    probes = pairs.select("t", "item_id", "at", "print", F.explode(blocks(F.col("print"), radius)).alias("b")).select("t", "item_id", "at", "print", "b.*")
-    index = own.select("item_id", F.col("print").alias("item_print"), F.explode(blocks(F.col("print"), radius)).alias("b")).select("item_id", "item_print", "b.*")
-    near = probes.join(_small(index, n_items * (radius + 1)), ["item_id", "block", "value"])
+    windows = cut(found.select(*TEXT, "length", begin.alias("at")).distinct())
+
+    keys = windows.select(*TEXT).distinct()
+    chosen = texts.join(_small(keys, keys.count()), TEXT, "left_semi").select(*TEXT, _shingles(F.col("w")).alias("shingles")).dropDuplicates(TEXT)
+    weighed = chosen.select(*TEXT, F.posexplode("shingles").alias("pos", "h")).join(_small(rarity, n_shingles), "h", "left")
+    weighed = weighed.groupBy(*TEXT).agg(F.sort_array(F.collect_list(F.struct("pos", "h", F.coalesce("w", rarest).alias("w")))).alias("shingles"))
+    run = F.slice("shingles", F.col("at") + 1, F.col("length") - (WIDTH - 1))
+    pairs = windows.join(cut(weighed), TEXT).select(*TEXT, "at", "length", F.array_distinct(F.transform(run, lambda s: F.struct(s["h"].alias("h"), s["w"].alias("w")))).alias("window"))
+    pairs = cut(pairs.withColumn("print", fingerprint(F.col("window"))))
+
+    masks = F.array(*[F.lit(m) for m in flips(radius)])
+    flipped = F.transform(masks, lambda m: F.col("b.value").bitwiseXOR(m))
+    index = own.select("item", "length", "item_print", F.explode(parts(F.col("item_print"))).alias("b"))
+    index = index.select("item", F.col("length").alias("item_length"), "item_print", "b.block", F.explode(flipped).alias("value"))
+    probes = pairs.select(*TEXT, "at", "length", "print", F.explode(parts(F.col("print"))).alias("b")).select(*TEXT, "at", "length", "print", "b.*")
+    near = probes.join(_small(index, n_items * BLOCKS * len(flips(radius))), ["block", "value"]).filter("length = item_length")
     near = near.withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).filter(F.col("distance") <= radius)
-    near = near.select("t", "item_id", "at", "distance").distinct()
+    near = near.select(*TEXT, "at", "length", "item", "distance").distinct()
 
     total = lambda c, of: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + of(x))
-    both = pairs.join(near, ["t", "item_id", "at"]).join(own_.select("item_id", "weights"), "item_id")
+    both = near.join(pairs.select(*TEXT, "at", "length", "window"), [*TEXT, "at", "length"]).join(_small(own.select("item", "item_id", "weights"), n_placed), "item")
     common = total(F.col("window"), lambda x: F.coalesce(F.element_at("weights", x["h"]), F.lit(0).cast("long")))
     union = total(F.col("window"), lambda x: x["w"]) + total(F.map_values("weights"), lambda x: x) - common
-    scored = cut(both.select("t", "item_id", "at", "distance", (common / union).alias("similarity"))).filter(F.col("similarity") >= similarity)
-    best = Window.partitionBy("t", "item_id").orderBy(F.col("similarity").desc(), "at")
-    return scored.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
+    scored = both.select(*TEXT, "item_id", "at", "distance", (common / union).alias("similarity")).filter(F.col("similarity") >= similarity)
+    return _best(scored, *TEXT, "item_id")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_t", F.xxhash64(F.lit(8), F.coalesce("text", F.lit(""))))
+def _best(found: DataFrame, *keys: str) -> DataFrame:
+    best = F.max(F.struct("similarity", (-F.col("at")).alias("before"), (-F.col("distance")).alias("near"))).alias("_b")
+    return found.groupBy(*keys).agg(best).select(*keys, (-F.col("_b.before")).alias("at"), "_b.similarity", (-F.col("_b.near")).alias("distance"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, at, similarity, distance of the documents that hold an item."""
-    found = cut(matches(docs, benchmark, similarity, radius).withColumnRenamed("t", "_t"))
-    ids = _keyed(docs).select("doc_id", "_t").join(_small(found, found.count()), "_t")
-    return ids.drop("_t").dropDuplicates(["doc_id", "item_id"])
+    found = cut(matches(docs, benchmark, similarity, radius))
+    ids = docs.select("doc_id", *identity(F.col("text"))).join(_small(found, found.count()), TEXT)
+    return _best(ids, "doc_id", "item_id")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    found = cut(matches(docs, benchmark, similarity, radius).select(F.col("t").alias("_t")).distinct())
-    return _keyed(docs).join(_small(found, found.count()), "_t", "left_anti").drop("_t")
+    found = cut(matches(docs, benchmark, similarity, radius).select(*TEXT).distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *identity(F.col("text")))
+    return rows.join(_small(found, found.count()), TEXT, "left_anti").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
