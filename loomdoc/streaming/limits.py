@@ -40,7 +40,10 @@ def batch(events: DataFrame, key: str, event: str, at: str, seconds: int, limit:
 
 
 def stream(events: DataFrame, key: str, at: str, seconds: int, limit: int) -> DataFrame:
-    """The same on a stream (``at``: a timestamp with a watermark): a row for each key and batch; idle keys leave the state."""
+    """The same on a stream (``at``: a timestamp with a watermark): a row for each key and batch; idle keys leave the state.
+
+    Spark drops rows that are not after the watermark, the first one (0) included, so late rows change no count.
+    """
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

@@ -42,6 +42,14 @@ def test_markdown_paths():
     assert parts == ["intro", "[A]\nx", "[A > B]\ny", "[A > B > C]\nz", "[D]\nw"]
 
 
+def test_few_splits_are_spread(spark):
+    from loomdoc.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == cores
+    assert spread(spark.range(10, numPartitions=cores + 3)).rdd.getNumPartitions() == cores + 3
+
+
 def test_breaks():
     assert ch.breaks([0.1, 0.9, 0.2, 0.3, 0.1]) == [1]
     assert ch.breaks([]) == []
