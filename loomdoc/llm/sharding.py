@@ -1,16 +1,18 @@
 """Operator 2: shards by proportional stratified interleaving.
 
 Rows are shuffled by a seeded hash and ranked within their source; the fractional
-rank (rank - 1/2) / rows of the source orders all rows, and that order is cut into
-shards of equal row counts. So each shard holds each source in proportion, within
+rank (rank - u) / rows of the source orders all rows, and that order is cut into
+shards of equal row counts. u is a number of the source's own between 0 and 1, so that
+sources of a few rows don't meet at one place. So each shard holds each source in proportion, within
 one row or so.
 
 No task holds a whole source: a source is ranked in slices of the hash range, and
 the slices' counts, a small table, give the offsets. The global order is numbered
 the same way, in slices of the fractional rank.
 
-Null source: a stratum of its own. Null text: size 16. Repeated rows are placed one
-by one. Empty table: no rows. Columns other than those named are ignored.
+Null source: a stratum of its own. Null or empty text: size 16. Very long texts: only their size and
+checksum go on. Repeated rows, ties of all columns among them, are placed one
+by one. Empty table: no rows. Columns other than those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomdoc.llm.text import n_bytes, slice_of, whole
+from loomdoc.llm.text import n_bytes, slice_of, unit, whole
 from loomdoc.session import cut, table
 
 SHARDS = 40
 SEED = 20_240
-#: Rows that one window partition gets to sort, on average.
+#: Rows that one window partition gets to sort, on average; there are ``LEAST_SLICES`` at least.
 SLICE_ROWS = 50_000
+LEAST_SLICES = 64
 
 
 def _numbered(df: DataFrame, group: list[str], part: str, order: list[str], name: str, totals: str | None = None) -> DataFrame:
@@ -52,10 +55,10 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED, slice_rows:
     ).withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "text_crc32"))
     rows = cut(rows)
     n = rows.count()
-    slices = max(1, math.ceil(n / slice_rows))
+    slices = max(LEAST_SLICES, math.ceil(n / slice_rows))
     order = ["_hash", "doc_id", "text_crc32", "size"]
     ranked = _numbered(rows.withColumn("_slice", slice_of(F.col("_hash"), slices)), ["_stratum"], "_slice", order, "_rank", "_of")
-    ranked = ranked.withColumn("_at", (F.col("_rank") - 0.5) / F.col("_of")).withColumn("_part", F.floor(F.col("_at") * slices))
+    ranked = ranked.withColumn("_at", (F.col("_rank") - unit(F.lit(seed), F.col("_stratum"))) / F.col("_of")).withColumn("_part", F.floor(F.col("_at") * slices))
     ranked = cut(ranked.select("doc_id", "source", "size", "text_crc32", "_stratum", "_hash", "_at", "_part"))
     placed = _numbered(ranked, [], "_part", ["_at", "_stratum", *order], "_place").withColumn("_place", F.col("_place") - 1)
     to = F.floor(F.col("_place") * n_shards / F.lit(max(n, 1)))
