@@ -12,15 +12,19 @@ The tree: blocks of about ``fan_in`` documents of one source and of nearly one s
 to one fractional document each; ``fan_in`` neighbouring blocks fold again, until one is
 left for each source and size, and these fold from long to short. As partners have nearly
 one size, the taken words stay near the target, within about the longest document. A
-hot source is only more blocks. Random numbers are hashes of the two documents,
+hot source is only more blocks: rows learn their source's number of blocks from a broadcast
+of up to ``BROADCAST_KEYS`` counts (beyond that by a join), and are then dealt by block. Random numbers are hashes of the two documents,
 so reruns agree.
 
-Null source: a source of its own, the last. Null or empty text: size 0, takes no words.
-Repeated rows are rounded one by one. Empty table: no rows.
+Null source: a source of its own, the last. Null or empty text: size 0, takes no words. Very long
+texts: only their number of words goes on. Repeated rows and ties are rounded one by one; null doc_ids
+as any other. Empty table: no rows. Other columns are ignored, but for those named in ``keep``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +37,7 @@ FAN_IN = 32
 SEED = 7_001
 #: Documents of a block differ in size by at most this many parts of an octave.
 PER_OCTAVE = 8
+BROADCAST_KEYS = 100_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT) -> DataFrame:
@@ -75,34 +80,41 @@ def _meet(seed: int, depth: int):
 
 def _fold(rows: DataFrame, keys: list[str], seed: int, depth: int) -> DataFrame:
     """The rows of each block: all settled (q is 0 or 1) but the last, which carries the rest."""
-    fields = ["minus_size", "h", "doc_id", "size", "q"]
-    blocks = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
-    item = "struct<minus_size:bigint,h:bigint,doc_id:bigint,size:bigint,q:double>"
+    fields = F.struct(*[c for c in rows.columns if c not in ("s", "octave", "block")])
+    item = rows.select(fields.alias("r")).schema["r"].dataType.simpleString()
+    blocks = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(fields)).alias("rows"))
     start = F.struct(F.lit(None).cast(item).alias("carry"), F.array().cast(f"array<{item}>").alias("done"))
     folded = blocks.withColumn("acc", F.aggregate("rows", start, _meet(seed, depth)))
     out = folded.select(*keys, F.explode(F.concat(F.col("acc.done"), F.array(F.col("acc.carry")))).alias("r"))
     return out.select(*keys, "r.*")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT, seed: int = SEED, fan_in: int = FAN_IN) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of each row of ``docs`` (doc_id, text, source)."""
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_crc"))
+def _known(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT, seed: int = SEED, fan_in: int = FAN_IN, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of each row of ``docs`` (doc_id, text, source), and its columns ``keep`` (of an ordered type)."""
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_crc"), *keep)
     rows = cut(rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "_crc")).drop("_crc"))
-    sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat).withColumn("s", F.row_number().over(Window.partitionBy().orderBy(F.col("source").asc_nulls_last()))))
-    wants = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).select(
-        rows["doc_id"], "s", "size", "h", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_want")
+    sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat)
+    sources = cut(sources.withColumn("s", F.row_number().over(Window.partitionBy().orderBy(F.col("source").asc_nulls_last()))))
+    wants = rows.join(_known(sources), rows["source"].eqNullSafe(sources["source"])).select(
+        rows["doc_id"], "s", "size", "h", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_want"), *keep
     )
-    wants = wants.withColumn("base", F.floor("_want")).withColumn("q", F.col("_want") - F.col("base"))
+    wants = wants.withColumn("q", F.col("_want") - F.floor("_want"))
     octave = F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double")) * PER_OCTAVE).cast("int")
     wants = wants.withColumn("octave", octave).withColumn("minus_size", -F.col("size")).drop("_want")
-    counts = wants.groupBy("s", "octave").agg(F.ceil(F.count(F.lit(1)) / F.lit(fan_in)).alias("_blocks"))
-    rest = wants.join(counts, ["s", "octave"]).withColumn("block", F.pmod("h", F.col("_blocks"))).select("s", "octave", "block", "minus_size", "h", "doc_id", "size", "q")
+    counts = cut(wants.groupBy("s", "octave").agg(F.ceil(F.count(F.lit(1)) / F.lit(fan_in)).alias("_blocks")))
+    rest = wants.join(_known(counts), ["s", "octave"]).withColumn("block", F.pmod("h", F.col("_blocks")))
+    keys = ["s", "octave", "block"]
+    rest = rest.select(*keys, "minus_size", "h", "doc_id", "size", "q", *keep).repartition(*keys)  # by block, also after a join by source and size
     most = (counts.agg(F.max("_blocks")).first()[0]) or 1
-    done, depth, keys = [], 0, ["s", "octave", "block"]
+    done, depth = [], 0
     while True:
         folded = cut(_fold(rest, keys, seed, depth))
         open_ = (F.col("q") > 0) & (F.col("q") < 1)
-        done.append(folded.filter(~open_).select("s", "doc_id", "size", (F.col("q") == 1).cast("long").alias("one")))
+        done.append(folded.filter(~open_).select("s", "doc_id", "size", (F.col("q") == 1).cast("long").alias("one"), *keep))
         rest = folded.filter(open_)
         if len(keys) == 1:
             break
@@ -110,16 +122,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: float =
             rest, most, depth = rest.withColumn("block", F.floor(F.col("block") / fan_in)), -(-most // fan_in), depth + 1
         else:
             keys, depth = ["s"], depth + 1
+            rest = rest.drop("octave", "block")
     last = F.when(unit(F.lit(seed), F.lit(depth + 1), "h", "doc_id") < F.col("q"), 1).otherwise(0).cast("long")
-    done.append(rest.select("s", "doc_id", "size", last.alias("one")))
+    done.append(rest.select("s", "doc_id", "size", last.alias("one"), *keep))
     settled = done[0]
     for more in done[1:]:
         settled = settled.unionByName(more)
     whole_copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     return (
-        settled.join(F.broadcast(sources) if sources.count() <= 100_000 else sources, "s")
+        settled.join(_known(sources), "s")
         .withColumn("copies", (whole_copies + F.col("one")).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
     )
 
 
