@@ -6,15 +6,18 @@ written as Parquet and read again, or all together by ``run``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.llm import decontamination, jaccard_join, mixing, sharding, toxicity
+from loomdoc.llm.text import identity
 from loomdoc.session import cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near duplicates here: five-word shingles, similarity 0.8.
 WIDTH, NUM, DEN = 5, 80, 100
+#: Copies of one row that are made at once.
+RUN = 1_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,17 +57,19 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, 0 to 3 times."""
-    keys = ["doc_id", "source", "size"]
-    # rows of equal keys are numbered on both sides, so that each gets copies of its own
-    nth = lambda df, by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0))))
-    sized = docs.withColumn("_size", mixing.n_words(F.col("text")))
-    taken = mixing.mix(docs).select(*[F.col(k).alias(f"_{k}") for k in keys], "copies")
-    taken = nth(taken, [f"_{k}" for k in keys])
-    sized = nth(sized, ["doc_id", "source", "_size"])
-    same = sized["doc_id"].eqNullSafe(taken["_doc_id"]) & sized["source"].eqNullSafe(taken["_source"]) & (sized["_size"] == taken["_size"]) & (sized["_n"] == taken["_n"])
-    out = sized.join(taken.filter("copies > 0"), same)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*[sized[c] for c in docs.columns])
+    """Each document as often as the mix takes it, 0 to 3 times. Rows that are equal in all columns share their copies; null doc_ids, texts and sources are mixed as any other."""
+    keys = ["_t", "_u", "_w"]
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source", *identity(F.col("text")), F.xxhash64(*docs.columns).alias("_w"))
+    taken = mixing.mix(rows, keep=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_copies"))
+    taken = cut(taken.filter("_copies > 0"))
+    one = rows.select("_row", *keys).join(taken.filter("_rows = 1"), keys).select("_row", "_copies")
+    repeated = taken.filter("_rows > 1")
+    if not repeated.isEmpty():
+        # one row stands for its equals, and its copies are dealt out in runs
+        first = rows.select("_row", *keys).join(repeated, keys).groupBy(*keys, "_copies").agg(F.first("_row").alias("_row"))
+        runs = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / RUN)), lambda k: F.least(F.lit(RUN), F.col("_copies") - k * RUN))
+        one = one.unionByName(first.select("_row", F.explode(runs).alias("_copies")).repartition(spark.sparkContext.defaultParallelism))
+    return one.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")
 
 
 def place(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
