@@ -3,27 +3,37 @@
 Base spans: see ``PATTERNS``. The method adds spans of kind ``random``: runs of 20 or more
 characters of one of the alphabets that encoders use (with + and /, or with - and _), with
 their padding; an = before more characters parts a name from its value, and each is a run.
-Of reported runs one within another is left out. For a run the encoding is inferred (decimal, hexadecimal,
-base 32, base 64), and in its alphabet three tests ask whether the characters look drawn at random:
-chi-squared for uniformity, the number of runs of character classes (lower, upper, digit,
-other), and the serial correlation of neighbouring codes. A run that fails one of them
-(Bonferroni over the three, at ``ALPHA``) is no secret. For the rest the opposite question
-gets a p-value: how likely has ordinary text so many changes of class in this length; as
-digits are of one class, for decimals: how likely have ordinary numbers so many jumps, which
-are neighbours that neither are equal nor follow each other. The
-Benjamini-Hochberg rule, in each stratum of encoding and length, keeps the share of
-ordinary runs among the reported ones below ``FDR``. Its counts cover all documents, in
-p-value bins of 1/100 of a decade; at most ``len(ENCODINGS) * len(LENGTHS)`` thresholds
-come to the driver.
+Of reported runs one within another is left out.
+
+For a run the encoding is inferred (``ENCODINGS``), and in its alphabet three statistics are taken:
+chi-squared of the characters' counts, the number of runs of character classes (low and high digits,
+vowels and consonants, or lower case, upper case, digits and others), and the serial correlation of
+neighbouring codes. They are used twice. A run that the battery tells from a random one
+(Bonferroni over the three, at ``ALPHA``) is no secret. For the rest the battery asks whether the run
+is as ordinary text is, which is the null hypothesis here: concentrated on few characters and
+slow (or, for vowels, quick) to change its class, by at least the encoding's margins, or correlated by at
+least ``SERIAL``. The first two give one normal score, weighted by how well each separates in this
+encoding and length; the larger of its p-value and that of the serial test is the run's p-value.
+
+The Benjamini-Hochberg rule on these p-values, in each stratum of encoding and length, keeps the share of
+ordinary runs among the reported ones below ``FDR``; shorter runs have larger p-values, so they
+need more of their kind. Its counts cover all documents, in
+p-value bins of 1/100 of a decade; at most ``len(ENCODINGS) * (len(LENGTHS) + 1)`` thresholds
+come to the driver. The values of base spans of 20 characters or more are tested with the others: base spans stay
+whatever the verdict, which is given beside them.
 
 Null or empty text: no spans. Repeated rows: one result each, and each counts in the rates.
-Empty table: no rows. Positions are code points. A character that marks matches inside
+Very long texts: matches are placed in blocks, so the work grows with the text; only where one text has
+very many base spans and very many runs, these are compared pair by pair. Empty table: no rows.
+Other columns are ignored, whatever their names. Positions are code points. A character that marks matches inside
 (U+E000 to U+E002) counts as any other outside the patterns.
 """
 
 from __future__ import annotations
 
-
+import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,18 +57,50 @@ GUARDS = {
 # padding counts among the 20 characters
 RANDOM = [(rf"()([{chars}]{{14,}}(?:=+(?![A-Za-z0-9+/_=-]))?)", "all", 20) for chars in ("A-Za-z0-9+/", "A-Za-z0-9_-")]
 KINDS = [*PATTERNS, "random"]
-#: encoding -> (pattern, size of the alphabet); the first that fits is inferred.
-ENCODINGS = {"decimal": (r"^[0-9]+$", 10), "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", 16), "base32": (r"^[A-Z2-7]+$", 32), "base64": (r"^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)$", 64)}
+
+
+@dataclass(frozen=True)
+class Encoding:
+    """size: of the alphabet; changes: how often neighbours of a random run differ in class.
+
+    The margins of ordinary text: repeat is the chance that two of its characters are equal, triple that
+    three are, and ordinary_changes how often its neighbours differ in class.
+    """
+
+    pattern: str
+    size: int
+    changes: float
+    repeat: float
+    triple: float
+    ordinary_changes: float
+
+
+#: The first that fits is inferred. The margins lie between random runs and prose, counters, identifiers and paths.
+ENCODINGS = {
+    "decimal": Encoding(r"^[0-9]+$", 10, 0.5, 0.2, 0.06, 0.3),
+    "hex": Encoding(r"^([0-9a-f]+|[0-9A-F]+)$", 16, 0.46875, 0.13, 0.025, 0.2),
+    "letters": Encoding(r"^([a-z]+|[A-Z]+)$", 26, 0.3107, 0.058, 0.005, 0.5),
+    "base32": Encoding(r"^[A-Z2-7]+$", 32, 0.3047, 0.055, 0.0045, 0.12),
+    "base36": Encoding(r"^([a-z0-9]+|[A-Z0-9]+)$", 36, 0.4012, 0.055, 0.0045, 0.18),
+    "base52": Encoding(r"^[A-Za-z]+$", 52, 0.5, 0.055, 0.0045, 0.32),
+    "base64": Encoding(r"^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)$", 64, 0.6447, 0.055, 0.0045, 0.38),
+}
 LENGTHS = (20, 28, 36, 52, 84)
+LEAST = 20
 ALPHA = 0.001
 FDR = 0.01
-#: In ordinary text a character differs in class from the one before it with this chance.
-TEXT_CHANGES = 0.08
-#: In ordinary numbers (counters, fills, round amounts) a digit jumps with this chance; in random ones with 0.7.
-NUMBER_JUMPS = 0.3
+#: Counters and walks along an alphabet are correlated at least so much.
+SERIAL = 0.8
+#: Pieces of a text whose places are found together.
+BLOCK = 512
 _OPEN, _MID, _CLOSE = "\ue000", "\ue001", "\ue002"
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _matches(text: Column, kind: str, pattern: str, counted: str, least: int) -> Column:
     """Array of (start, end, kind, body) of the pattern's matches whose counted part is long enough."""
     marked = F.regexp_replace(text, pattern, f"{_OPEN}$1{_MID}$2{_CLOSE}")
@@ -74,58 +116,105 @@ def _matches(text: Column, kind: str, pattern: str, counted: str, least: int) ->
             (acc["at"] + F.length(piece) - 2).alias("at"), F.when(size >= least, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out")
         )
 
-    pieces = F.split(marked, _OPEN)
-    start = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast(f"array<{item}>").alias("out"))
-    found = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), start, step, lambda acc: acc["out"])
+    def placed(pieces: Column) -> Column:
+        # blocks of pieces with the place where each begins: one long array would be copied for each match
+        last = F.greatest(F.floor((F.size(pieces) - 2) / BLOCK), F.lit(0)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(pieces, i * BLOCK + 2, BLOCK))
+        length = lambda block: F.aggregate(block, F.lit(0), lambda at, piece: at + F.length(piece) - 2)
+        first = F.array(F.length(F.get(pieces, F.lit(0))))
+        begins = lambda bs: F.aggregate(bs, first, lambda at, block: F.concat(at, F.array(F.element_at(at, -1) + length(block))))
+        start = lambda at: F.struct(at.alias("at"), F.array().cast(f"array<{item}>").alias("out"))
+        of = lambda bs: F.zip_with(bs, F.slice(begins(bs), 1, F.size(bs)), lambda block, at: F.aggregate(block, start(at), step, lambda acc: acc["out"]))
+        return F.flatten(_with(blocks, of))
+
+    found = _with(F.split(marked, _OPEN), placed)
     return F.when(text.rlike(GUARDS[kind]), found).otherwise(F.array().cast(f"array<{item}>"))
 
 
 def _upper_tail(z: Column) -> Column:
-    """About 1 - Phi(z), within 0.0002 (a logistic with a cubic term)."""
-    return 1.0 / (1.0 + F.exp(F.least(1.5976 * z + 0.070565992 * z * z * z, F.lit(690.0))))
-
-
-def _code(c: Column) -> Column:
-    return F.instr(F.lit("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_"), c)
-
-
-def battery(body: Column) -> Column:
-    """Struct of encoding (null: none fits), bin (-100 log10 of the p-value under ordinary text) and random."""
-    s = F.regexp_replace(body, "=+$", "")
-    n = F.length(s).cast("double")
-    name, size = F.lit(None).cast("string"), F.lit(64.0)
-    for encoding, (pattern, a) in reversed(ENCODINGS.items()):
-        name, size = F.when(s.rlike(pattern), encoding).otherwise(name), F.when(s.rlike(pattern), float(a)).otherwise(size)
-    chars = F.split(s, "")
-    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(s, c, F.lit(""))), F.lit(2.0)))
-    chi = (size / n * squares - n - (size - 1.0)) / F.sqrt(2.0 * (size - 1.0) * (n - 1.0) / n)
-    classes = F.translate(s, "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0" * 10 + "a" * 26 + "A" * 26)
-    changes = F.length(F.regexp_replace(classes, r"(.)\1*", "x")).cast("double") - 1.0
-    # chance that two neighbours of a random run differ in class
-    differ = F.element_at(F.create_map(*[F.lit(x) for p in (("decimal", 0.0), ("hex", 0.46875), ("base32", 0.3046875), ("base64", 0.6440)) for x in p]), name)
-    runs = (changes - (n - 1.0) * differ) / F.sqrt(F.greatest((n - 1.0) * differ * (1.0 - differ), F.lit(1e-9)))
-    runs = F.when(differ == 0.0, 0.0).otherwise(runs)
-    codes = F.transform(chars, lambda c: _code(c).cast("double"))
-    mean = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x) / n
-    dev = F.transform(codes, lambda x: x - mean)
-    lag = F.aggregate(F.sequence(F.lit(0), (n - 2).cast("int")), F.lit(0.0), lambda a, i: a + F.get(dev, i) * F.get(dev, i + 1))
-    spread = F.aggregate(dev, F.lit(0.0), lambda a, x: a + x * x)
-    serial = F.when(spread > 0, lag / spread * F.sqrt(n)).otherwise(F.lit(99.0))
-    least = F.least(_upper_tail(chi), 2.0 * _upper_tail(F.abs(runs)), 2.0 * _upper_tail(F.abs(serial)))
-    step = lambda i: F.pmod(F.get(codes, i + 1) - F.get(codes, i) + 1.0, F.lit(10.0))
-    jumps = F.aggregate(F.sequence(F.lit(0), (n - 2).cast("int")), F.lit(0.0), lambda a, i: a + F.when(step(i) > 2.0, 1.0).otherwise(0.0))
-    above = lambda count, chance: (count - 0.5 - (n - 1.0) * chance) / F.sqrt((n - 1.0) * chance * (1.0 - chance))
-    as_text = F.when(name == "decimal", above(jumps, NUMBER_JUMPS)).otherwise(above(changes, TEXT_CHANGES))
-    bin_ = F.floor(-100.0 * F.log10(_upper_tail(as_text))).cast("int")
-    stratum = F.concat_ws(":", name, F.lit(0).cast("string"))
-    for least_length in LENGTHS:
-        stratum = F.when(n >= least_length, F.concat_ws(":", name, F.lit(str(least_length)))).otherwise(stratum)
-    return F.when(name.isNotNull(), F.struct(stratum.alias("stratum"), bin_.alias("bin"), (3.0 * least > ALPHA).alias("random")))
-
-
-def thresholds(tested: DataFrame) -> dict[str, int]:
+    """About 1 - Phi(z): a logistic with a cubic term, and a continued fraction beyond 2."""
+    near = 1.0 / (1.0 + F.exp(1.5976 * z + 0.070565992 * z * z * z))
+    far = F.exp(-z * z / 2.0) / math.sqrt(2 * math.pi) / (z + 1.0 / (z + 2.0 / (z + 3.0 / (z + 4.0))))
+    return F.when(z > 2.0, far).otherwise(near)
+
+
+_CODES = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_"
+
+
+def _classes(s: Column, encoding: Column) -> Column:
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vowels = F.translate(F.lower(s), letters, "".join("v" if c in "aeiou" else "c" for c in letters))
+    other = F.translate(s, _CODES, "0" * 10 + "a" * 26 + "A" * 26 + "____")
+    return F.when(encoding == "decimal", F.translate(s, "0123456789", "0000011111")).when(encoding == "letters", vowels).otherwise(other)
+
+
+def tested(runs: Column) -> Column:
+    """The runs (an array of structs with body) with test: struct of stratum, bin (-100 log10 of the p-value under ordinary text) and random; null where no encoding fits or the run is too short.
+
+    Each step is an array of its own, so what it finds is computed once.
+    """
+
+    def of(encoding: Column, field: str) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for k, e in ENCODINGS.items() for x in (k, float(getattr(e, field)))]), encoding)
+
+    def inferred(r: Column) -> Column:
+        s = F.regexp_replace(r["body"], "=+$", "")
+        name = F.lit(None).cast("string")
+        for encoding, e in reversed(ENCODINGS.items()):
+            name = F.when(s.rlike(e.pattern), encoding).otherwise(name)
+        return F.struct(r.alias("r"), s.alias("s"), F.when(F.length(r["body"]) >= LEAST, name).alias("e"))
+
+    def counted(x: Column) -> Column:
+        s, e = x["s"], x["e"]
+        n = F.length(s).cast("double")
+        codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(_CODES), c).cast("double"))
+        squares = F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(s, c, F.lit(""))), F.lit(2.0)))
+        changes = F.length(F.regexp_replace(_classes(s, e), r"(.)\1*", "x")).cast("double") - 1.0
+        mean = F.aggregate(codes, F.lit(0.0), lambda a, c: a + c) / n
+        numbers = [n.alias("n"), codes.alias("codes"), squares.alias("squares"), changes.alias("changes"), mean.alias("mean")]
+        numbers += [of(e, f).alias(f) for f in ("size", "repeat", "triple", "ordinary_changes")] + [of(e, "changes").alias("random_changes")]
+        return F.struct(x["r"].alias("r"), e.alias("e"), F.when(e.isNotNull(), F.struct(*numbers)).alias("x"))
+
+    def correlated(y: Column) -> Column:
+        codes, mean = y["x"]["codes"], y["x"]["mean"]
+        # the place before is carried along: (sum of products, the last deviation)
+        zero = F.struct(F.lit(0.0).alias("lag"), F.lit(0.0).alias("last"), F.lit(0.0).alias("spread"))
+        sums = F.aggregate(codes, zero, lambda a, c: F.struct((a["lag"] + a["last"] * (c - mean)).alias("lag"), (c - mean).alias("last"), (a["spread"] + (c - mean) * (c - mean)).alias("spread")))
+        return F.struct(y["r"].alias("r"), y["e"].alias("e"), y["x"].alias("x"), sums.alias("sums"))
+
+    def judged(y: Column) -> Column:
+        x, sums = y["x"], y["sums"]
+        n, a = x["n"], x["size"]
+        chi = (a / n * x["squares"] - n - (a - 1.0)) / F.sqrt(2.0 * (a - 1.0) * (n - 1.0) / n)
+        share = lambda c: F.sqrt(c * (1.0 - c) / (n - 1.0))
+        changed = x["changes"] / (n - 1.0)
+        runs = (changed - x["random_changes"]) / share(x["random_changes"])
+        r = F.when(sums["spread"] > 0.0, sums["lag"] / sums["spread"]).otherwise(F.lit(1.0))
+        least = F.least(_upper_tail(chi), 2.0 * _upper_tail(F.abs(runs)), 2.0 * _upper_tail(F.abs(r) * F.sqrt(n)))
+        # scores under ordinary text, and where random runs lie on their scales
+        repeat_sd = F.sqrt(4.0 * (x["triple"] - x["repeat"] * x["repeat"]) / n + 2.0 * x["repeat"] / (n * n))
+        repeat = (x["repeat"] - (x["squares"] - n) / (n * (n - 1.0))) / repeat_sd
+        repeat_apart = (x["repeat"] - 1.0 / a) / repeat_sd
+        change = (changed - x["ordinary_changes"]) / share(x["ordinary_changes"])
+        change_apart = (x["random_changes"] - x["ordinary_changes"]) / share(x["ordinary_changes"])
+        score = (repeat * repeat_apart + change * change_apart) / F.sqrt(repeat_apart * repeat_apart + change_apart * change_apart)
+        serial = (math.atanh(SERIAL) - F.atanh(F.least(F.abs(r), F.lit(0.999)))) * F.sqrt(n - 3.0)
+        p = _upper_tail(F.least(score, serial))
+        stratum = F.concat_ws(":", y["e"], F.lit("0"))
+        for length in LENGTHS:
+            stratum = F.when(n >= length, F.concat_ws(":", y["e"], F.lit(str(length)))).otherwise(stratum)
+        test = F.struct(stratum.alias("stratum"), F.floor(-100.0 * F.log10(F.greatest(p, F.lit(1e-300)))).cast("int").alias("bin"), (3.0 * least > ALPHA).alias("random"))
+        kept = [y["r"][f].alias(f) for f in ("start", "kind", "end")]
+        return F.struct(*kept, F.when(x.isNotNull(), test).alias("test"))
+
+    for step in (inferred, counted, correlated, judged):
+        runs = F.transform(runs, step)
+    return runs
+
+
+def thresholds(tests: DataFrame) -> dict[str, int]:
     """The least bin that is reported, of each stratum that reports any: Benjamini-Hochberg on all tests' bins."""
-    counts = tested.groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = tests.groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("stratum")
     counts = counts.withColumn("m", F.sum("n").over(by)).withColumn("seen", F.sum("n").over(by.orderBy(F.col("bin").desc())))
     passed = counts.filter(F.col("bin") >= -100.0 * F.log10(F.col("seen") / F.col("m") * FDR))
@@ -133,26 +222,23 @@ def thresholds(tested: DataFrame) -> dict[str, int]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id and found: array of (start, kind, end), in order, of each row of ``docs`` (doc_id, text)."""
+    """doc_id and found: array of (start, kind, end, random), in order, of each row of ``docs`` (doc_id, text). random: the battery's verdict."""
     text = F.translate(whole(F.col("text")), _OPEN + _MID + _CLOSE, "???")
     rows = docs.select("doc_id", text.alias("_text"))
-    for kind, spec in PATTERNS.items():
-        rows = rows.withColumn(kind, _matches(F.col("_text"), kind, *spec))
-    rows = rows.withColumn("random", F.array_distinct(F.concat(*[_matches(F.col("_text"), "random", *spec) for spec in RANDOM])))
-    rows = rows.withColumn("base", F.concat(*PATTERNS)).select("doc_id", "base", "random")
-    rows = cut(rows)
-    apart = F.filter("random", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"])))
-    rows = rows.withColumn("random", F.transform(apart, lambda r: r.withField("test", battery(r["body"]))))
-    rows = cut(rows.withColumn("base", F.transform("base", lambda b: b.dropFields("body"))))
-    tests = rows.select(F.explode("random").alias("r")).filter("r.test is not null").select("r.test.*")
+    matched = {kind: _matches(F.col("_text"), kind, *spec) for kind, spec in PATTERNS.items()}
+    matched["random"] = F.array_distinct(F.concat(*[_matches(F.col("_text"), "random", *spec) for spec in RANDOM]))
+    rows = cut(rows.select("doc_id", F.concat(*[matched[k] for k in PATTERNS]).alias("base"), matched["random"].alias("runs")))
+    apart = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"])))
+    rows = cut(rows.select("doc_id", tested(F.concat("base", apart)).alias("found")))
+    tests = rows.select(F.explode("found").alias("r")).filter("r.test is not null").select("r.test.*")
     limits = thresholds(tests)
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]) if limits else F.create_map().cast("map<string,int>")
-    kept = F.filter("random", lambda r: r["test"]["random"] & (r["test"]["bin"] >= F.element_at(limit, r["test"]["stratum"])))
-    wider = lambda o, r: (o["start"] <= r["start"]) & (o["end"] >= r["end"]) & (o["end"] - o["start"] > r["end"] - r["start"])
-    rows = rows.withColumn("random", kept)
-    widest = F.filter("random", lambda r: ~F.exists("random", lambda o: wider(o, r)))
-    added = F.transform(widest, lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end")))
-    return rows.select("doc_id", F.array_sort(F.concat("base", added)).alias("found"))
+    verdict = lambda r: F.coalesce(r["test"]["random"] & (r["test"]["bin"] >= F.element_at(limit, r["test"]["stratum"])), F.lit(False))
+    spans = F.transform("found", lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end"), verdict(r).alias("random")))
+    is_base = lambda r: r["kind"] < len(PATTERNS)
+    rows = rows.select("doc_id", F.filter(spans, lambda r: is_base(r) | r["random"]).alias("found"))
+    wider = lambda o, r: ~is_base(o) & (o["start"] <= r["start"]) & (o["end"] >= r["end"]) & (o["end"] - o["start"] > r["end"] - r["start"])
+    return rows.select("doc_id", F.array_sort(F.filter("found", lambda r: is_base(r) | ~F.exists("found", lambda o: wider(o, r)))).alias("found"))
 
 
 def _line(spans: Column) -> Column:
@@ -163,11 +249,12 @@ def _line(spans: Column) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     n = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == KINDS.index(kind))).cast("long")
-    base = F.filter("found", lambda s: s["kind"] < len(PATTERNS))
+    base = lambda s: s["kind"] < len(PATTERNS)
     return found.select(
         "doc_id",
         *[n(k).alias(f"n_{k}") for k in PATTERNS],
-        F.sha2(_line(base), 256).alias("base_sha256"),
+        F.sha2(_line(F.filter("found", base)), 256).alias("base_sha256"),
         _line(F.col("found")).alias("spans"),
         n("random").alias("n_random"),
+        F.size(F.filter("found", lambda s: base(s) & s["random"])).cast("long").alias("n_base_random"),
     )

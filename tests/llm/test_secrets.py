@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from loomdoc.llm import secrets
 
 
@@ -38,3 +40,55 @@ def test_secrets_after_names_and_decimals(spark):
         own = range(25, 33) if form == "decimal" else range(5 * k, 5 * k + 5)
         assert sum(any(cases[i][1] in h and "_" not in h and len(h) < 55 for h in hit(i)) for i in own) >= len(own) * 3 // 5, (form, [hit(i) for i in own])
     assert [hit(len(cases) + i) for i in range(len(plain))] == [[]] * len(plain)
+
+
+def test_precision_and_recall_on_planted_tokens(spark):
+    """Tokens of 32 characters are mostly found and those of 120 always; of a thousand ordinary names, paths and words next to none is."""
+    rng = random.Random(29)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = {"base64": low + up + digits + "+/", "base64url": low + up + digits + "-_", "base62": low + up + digits, "mixed": low + up, "single": low + digits, "upper": up + digits, "base32": up + "234567", "hex": digits + "ABCDEF"}
+    words = "the quick configuration manager returns account number identifier status value handler service request response builder default template document library application system user group index cache string buffer length current previous update delete insert select from where order".split()
+    name = {
+        "snake": lambda: "_".join(rng.choice(words) for _ in range(rng.randrange(4, 9))),
+        "camel": lambda: "".join(rng.choice(words).capitalize() for _ in range(rng.randrange(3, 7))),
+        "path": lambda: "/".join(rng.choice(words) for _ in range(rng.randrange(4, 9))),
+        "slug": lambda: "-".join([*(rng.choice(words) for _ in range(4)), str(rng.randrange(2030))]),
+        "glued": lambda: "".join(rng.choice(words) for _ in range(rng.randrange(4, 7))),
+        "fill": lambda: rng.choice("0aX") * rng.randrange(20, 60),
+        "count": lambda: "".join(map(str, [first + k for first in [rng.randrange(100, 900)] for k in range(12)])),
+    }
+    rows, kind = [], []
+    for k, make in name.items():
+        for _ in range(150):
+            rows.append(f"see {make()} here")
+            kind.append(k)
+    for form, chars in alphabets.items():
+        for n in (32, 48, 120):
+            for _ in range(12):
+                rows.append(f"see {draw(chars, n)} here")
+                kind.append((form, n))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("base", F.lit(1)).withColumn("found", F.lit("x"))
+    found = {r["doc_id"]: sum(s["kind"] == 3 for s in r["found"]) for r in secrets.scan(docs).collect()}
+    hits = {k: sum(found[i] > 0 for i, x in enumerate(kind) if x == k) / kind.count(k) for k in dict.fromkeys(kind)}
+    wrong = sum(found[i] > 0 for i, x in enumerate(kind) if isinstance(x, str))
+    right = sum(found[i] > 0 for i, x in enumerate(kind) if not isinstance(x, str))
+    print(hits)
+    assert wrong <= 0.05 * right, hits
+    assert all(v >= {32: 0.5, 48: 0.7, 120: 1.0}[k[1]] for k, v in hits.items() if not isinstance(k, str)), hits
+    assert right >= 0.85 * sum(not isinstance(x, str) for x in kind), hits
+
+
+def test_base_spans_stay_and_get_a_verdict(spark):
+    rng = random.Random(7)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = ["token=" + "".join(rng.choice(b64) for _ in range(40)) for _ in range(20)] + ["token=my_password_is_my_password_again"] * 5
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(len(r["found"]) == 1 and r["found"][0]["kind"] == 0 for r in got)
+    assert sum(r["found"][0]["random"] for r in got if r["doc_id"] < 20) >= 18 and not any(r["found"][0]["random"] for r in got if r["doc_id"] >= 20)
+
+
+def test_very_long_and_repeated_texts(spark):
+    many = "token=abcdefgh1 " * 30_000
+    got = {r["doc_id"]: r["found"] for r in secrets.scan(spark.createDataFrame([(1, many), (2, "token=abcdefgh1"), (2, "token=abcdefgh1")], "doc_id long, text string")).collect()}
+    assert [(s["start"], s["end"]) for s in got[1]] == [(16 * k, 16 * k + 15) for k in range(30_000)] and len(got[2]) == 1
