@@ -2,7 +2,8 @@
 
 Learning uses a bounded sample of labelled rows: up to ``TRAIN_DOCS`` of each class, those
 of least hash, with texts of up to ``TRAIN_CHARS``; rows with crc32(doc_id) mod 5 = 0 are never
-used. Near copies among them count once. Spark counts in how many sampled texts of each class a word or a part of one
+used. Near copies among them (texts whose long words have three least hashes in common) count once. The field's weights are fitted on
+``FIT_DOCS`` of the sample, evenly from its classes, the curve on all of it. Spark counts in how many sampled texts of each class a word or a part of one
 occurs; up to ``LEXICON`` that are much more frequent in the toxic class become features. Labels are of documents,
 so tokens are labelled at a distance: a word with a feature in a toxic text is toxic, other tokens are not.
 The field learns emissions and transitions from these, and a logistic curve
@@ -13,7 +14,9 @@ the most toxic token and with the expected number of toxic tokens; runs of
 tokens with a marginal of 1/2 or more are the offending spans (code points).
 
 Null or empty text: no tokens, the score of a text without toxic tokens. Repeated
-rows: scored one by one. Null doc_id: held_out is null. Empty documents: no rows; no usable labels: all scores 0.
+rows: scored one by one. Ties in the sample's order go by doc_id. Null doc_id: held_out is null. Very long texts: scored whole, one at a time.
+Empty documents: no rows; no usable labels: all scores 0. More columns are kept as they are; those named _score
+or _spans are replaced by the results.
 """
 
 from __future__ import annotations
@@ -30,11 +33,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.llm.crf import Chain, fit
-from loomdoc.session import cut, table
+from loomdoc.session import cut, spread, table
 
 #: The most rows of each class, and characters of a row, that the classifier is fitted on.
 TRAIN_DOCS = 4_000
 TRAIN_CHARS = 20_000
+#: The most rows of the sample that the field's weights are fitted on.
+FIT_DOCS = 3_000
 #: The most words that become features.
 LEXICON = 2_000
 LEAST_TEXTS = 4
@@ -124,7 +129,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DO
     rows = docs.select("doc_id", "text").filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(ids), "doc_id")
     # copies and near copies say the same thing over again: one text stays for each least hash of long words
     long_words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{8,}"), 0)
-    key = F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("text"))
+    least = [F.array_min(F.transform(long_words, lambda w, k=k: F.xxhash64(F.lit(k), w))) for k in range(3)]
+    key = F.when(F.size(long_words) > 0, F.xxhash64(*least)).otherwise(F.xxhash64("text"))
     first = F.min(F.struct(F.xxhash64(F.lit(4), "doc_id"), "text"))["text"]  # always the same one, so that reruns agree
     return cut(rows.groupBy("toxic", key.alias("key")).agg(first.alias("text")).select("text", "toxic")), rates
 
@@ -153,7 +159,7 @@ def lexicon(sample: DataFrame, size: int = LEXICON) -> list[str]:
     return [r["feature"] for r in chosen.orderBy(F.col("z").desc(), "feature").limit(size).collect()]
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, fit_docs: int = FIT_DOCS) -> Model:
     sample, rates = training_rows(docs, labels, train_docs)
     words = {w: k for k, w in enumerate(lexicon(sample), 1)}
     empty = Model(Features(words), Chain(np.full(len(words) + 1, -30.0), np.zeros((2, 2)), 0.0), np.array([-30.0, 0.0, 0.0]))
@@ -170,7 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     rows["key"] = [hashlib.blake2b(f.tobytes(), digest_size=8).hexdigest() for f in rows["f"]]  # any fixed order
     rows = rows.sort_values(["toxic", "key"], kind="stable")
     sequences, toxic = list(rows["f"]), rows["toxic"].to_numpy()
-    part = np.flatnonzero((np.arange(len(rows)) % max(1, len(rows) // 1_500)) == 0)
+    part = np.arange(0, len(rows), -(-len(rows) // fit_docs))
     tags = [((s > 0) & (toxic[k] == 1)).astype(np.int64) for k, s in enumerate(sequences)]
     chain = fit([sequences[k] for k in part], [tags[k] for k in part], len(words) + 1)
     weight = np.where(toxic == 1, rates[1] / max(1, (toxic == 1).sum()), rates[0] / max(1, (toxic == 0).sum()))
@@ -199,10 +205,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"score": scores, "spans": spans})
 
     scored = F.pandas_udf(run, "score double, spans string")
-    return docs.withColumn("_scored", scored("text")).select(*docs.columns, F.col("_scored.score").alias("_score"), F.col("_scored.spans").alias("_spans"))
+    own = [c for c in docs.columns if c not in ("_score", "_spans")]
+    rows = docs.select(F.struct(*own).alias("_row"), scored("text").alias("_scored"))
+    return rows.select("_row.*", F.col("_scored.score").alias("_score"), F.col("_scored.spans").alias("_spans"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     scored = score(docs, learn(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"), F.col("_spans").alias("spans"))
