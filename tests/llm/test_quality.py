@@ -1,6 +1,8 @@
 import collections
 
-from llm_helpers import words
+from pyspark.sql import functions as F
+
+from llm_helpers import WORD, words
 from loomdoc.llm import quality
 
 
@@ -21,3 +23,18 @@ def test_quality_counts_and_order(docs, rows):
     kept = {k: g["kept"] for k, g in got.items()}
     reverse = {str(r["doc_id"]): r["kept"] for r in quality.judge(docs, quality.rules()[::-1]).filter("kept or not kept").collect()}
     assert kept == reverse
+
+
+def test_of_rules_that_reject_alike_the_cheap_one_runs_first(spark, docs):
+    many = F.lit(False)
+    for k in range(40):
+        many = many | (F.regexp_count(F.col("_text"), F.lit(rf"(\\w+\\s+){{{k % 5}}}zz{k}")) > 9)
+    rules = [quality.Rule("dear", many | (F.col("n_words") > 50)), quality.Rule("cheap", F.col("n_words") > 50), quality.Rule("idle", F.lit(False))]
+    assert [r.name for r in quality.ordered(docs, rules, 1_000)] == ["cheap", "dear", "idle"]
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    text = "one two three four five six " * 40_000
+    rows = [(1, text, 3, "x"), (1, text, 3, "x"), (2, "", 4, None)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, n_words int, _text string")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_repeat_words"]) for r in got) == [(1, 240_000, 240_000)] * 2 + [(2, 0, 0)]
