@@ -8,7 +8,7 @@ and joined with the digests of the known notices. A line whose canonical length
 known notice cannot match, so it is not sent on.
 
 Result: one row for each distinct (doc_id, text_digest). Null text: as empty; the digest
-is that of the empty text, and nothing matches. Repeated rows: one result row. Empty table: no rows.
+is that of the empty text, and nothing matches. Repeated rows: one result row; null doc_ids of one text too. Very long texts: digested whole. Empty table: no rows. Other columns are ignored, whatever their names.
 The known texts and notices are parameters, each a dict or a table (license_id, text); they are bounded and broadcast.
 ``query`` has those that its SQL has; ``query_all`` has all that are held here.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loomdoc.llm.known_licenses import ALL_NOTICES, ALL_TEXTS, EQUIVALENT, NOTICES, TEXTS
 from loomdoc.llm.text import whole
-from loomdoc.session import table
+from loomdoc.session import spread, table
 
 COPYRIGHT_LINE = r"(?m)^[^\n\p{L}\p{N}(©]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|by )|\(c\)|©|all rights reserved)[^\n]*$"
 
@@ -64,11 +64,11 @@ def scan(docs: DataFrame, texts: Known = TEXTS, notices: Known = NOTICES) -> Dat
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def query_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"), ALL_TEXTS, ALL_NOTICES)
+    return scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ALL_TEXTS, ALL_NOTICES)
 
 
 def _quoted(s: str) -> str:

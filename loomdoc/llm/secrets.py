@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdoc.llm.text import whole
-from loomdoc.session import cut, table
+from loomdoc.session import cut, spread, table
 
 # fixed values: the kinds in their order; prefix, body, least characters of the part that counts
 PATTERNS = {
@@ -247,7 +247,7 @@ def _line(spans: Column) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"))
+    found = scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     n = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == KINDS.index(kind))).cast("long")
     base = lambda s: s["kind"] < len(PATTERNS)
     return found.select(

@@ -9,7 +9,7 @@ made. The count of a word is remembered within a task, up to ``REMEMBERED`` word
 Special strings inside a text count as one token each, the library's default.
 
 Null or empty text: no tokens. Repeated rows: counted one by one. Empty table: no rows.
-Very long texts are split a piece at a time, so only one text's words are held.
+Very long texts are split a piece at a time, so only one text's words are held. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.llm.text import n_bytes
-from loomdoc.session import table
+from loomdoc.session import spread, table
 
 LIMIT = 2_048
 #: Words whose counts a task remembers, about 100 bytes each; then it starts anew.
@@ -124,4 +124,4 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT) -> D
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("word_bpe_49k.json"))

@@ -3,10 +3,10 @@ from loomdoc.llm import licenses
 
 def test_licenses(spark):
     mit = licenses.TEXTS["MIT"][0]
-    texts = [mit, "MIT Licence\nCopyright (c) 2020 Someone\n\n" + mit.upper().replace(" ", "\n ").replace("SUBLICENSE", "SUB-LICENSE"), mit + " more", "hello\nReleased under the MIT Licence!\nx", None, "", "© 2021 me\nAll rights reserved."]
+    texts = [mit, "MIT Licence\nCopyright (c) 2020 Someone\n\n" + mit.upper().replace(" ", "\n ").replace("SUBLICENSE", "SUB-LICENSE"), mit + " more", "hello\nReleased under the MIT Licence!\nx", None, "", "© 2021 me\nAll rights reserved.", "word " * 200_000 + "\nReleased under the MIT License.\n" + "end " * 200_000]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, mit, "y")], "doc_id long, text string, digest string")
     got = {r["doc_id"]: (r["license_id"], r["notices"]) for r in licenses.scan(docs).collect()}
-    assert got == {0: ("MIT", ""), 1: ("MIT", ""), 2: (None, ""), 3: (None, "MIT"), 4: (None, ""), 5: (None, ""), 6: (None, "")}
+    assert got == {0: ("MIT", ""), 1: ("MIT", ""), 2: (None, ""), 3: (None, "MIT"), 4: (None, ""), 5: (None, ""), 6: (None, ""), 7: (None, "MIT")}
 
 
 def test_licenses_beyond_the_sql(spark):
