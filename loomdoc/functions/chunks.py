@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 
 # fixed values: what the recursive splitter tries, in order
 SEPARATORS = ("\n\n", "\n", ".", "。", "!", "?", ";", ",", " ", "")
-ARTICLE = r"(?=제\d+조(?:의\d+)?)"
+ARTICLE = r"(?=제\d+조(?:의\d+)?)"  # at each mention, also within a text
 
 
 def sentence(text: str, size: int = 500, overlap: int = 100) -> list[str]:
     """Pack sentences up to ``size``; a new chunk begins with the tail of the last one."""
+    if not text.strip():
+        return []
     out, held = [], ""
-    for s in re.findall(r"[^.!?]+[.!?]?\s*", text):
-        if held and len(held) + len(s) > size:
+    for s in re.findall(r"[^.!?]+[.!?]?\s*", text) or [text]:
+        if len(held) + len(s) > size:
             out.append(held.strip())
             held = (held[-overlap:] if overlap and len(held) > overlap else "") + s
         else:
@@ -26,57 +28,61 @@ def sentence(text: str, size: int = 500, overlap: int = 100) -> list[str]:
     return [c for c in [*out, held.strip()] if c]
 
 
+def _letters(text: str, size: int, overlap: int) -> list[str]:
+    """Runs of ``size`` letters, each beginning with the last ``overlap`` of the one before; none that is only overlap."""
+    back = overlap if 0 < overlap < size else 0
+    starts = [i for i in range(0, len(text), size - back) if i == 0 or i + back < len(text)]
+    return [c for i in starts if (c := text[i : i + size].strip())]
+
+
 def recursive(text: str, size: int = 500, overlap: int = 100, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Split at the first separator present and pack; pieces that stay too long go on with the next separators."""
-    text = text.strip()
+    """Split at the first separator present and pack; pieces that stay too long go on with the next separators.
+
+    A new chunk begins with the tail of the last one, even where that makes it longer than ``size``.
+    """
     if len(text) <= size:
-        return [text] if text else []
-    k = next(i for i, s in enumerate(separators) if s in text)
+        return [text.strip()] if text.strip() else []
+    k = next((i for i, s in enumerate(separators) if s in text), None)
+    if k is None or not separators[k]:
+        return _letters(text, size, overlap)
     sep, rest = separators[k], separators[k + 1 :]
-    if not sep:
-        return [text[i : i + size] for i in range(0, len(text), max(1, size - overlap))]
     out, held = [], ""
     for piece in text.split(sep):
         joined = held + sep + piece if held else piece
         if len(joined) <= size:
             held = joined
             continue
-        if held.strip():
-            out.append(held.strip())
-        if len(piece) > size:
+        out.append(held.strip())
+        if len(piece) > size and rest:
             out += recursive(piece, size, overlap, rest)
             held = ""
         else:
-            tail = held[-overlap:] if overlap and len(held) > overlap else ""
-            held = tail + sep + piece if tail and len(tail) + len(sep) + len(piece) <= size else piece
-    return [*out, held.strip()] if held.strip() else out
+            held = held[-overlap:] + sep + piece if overlap and len(held) > overlap else piece
+    return [c for c in [*out, held.strip()] if c]
 
 
-def article(text: str, size: int = 800) -> list[str]:
-    """Split a statute at its articles; a long one at its numbered paragraphs, with its title before each part."""
+def article(text: str, size: int = 800, overlap: int = 0) -> list[str]:
+    """Split a statute at its articles; a long one at its numbered paragraphs, with its title on a line before each part."""
     parts = [p.strip() for p in re.split(ARTICLE, text) if p.strip()]
     if len(parts) <= 1:
-        return recursive(text, size, 0)
-    out = []
-    for part in parts:
-        if len(part) <= size:
-            out.append(part)
-            continue
-        title = re.match(r"제\d+조(?:의\d+)?(?:\([^)]*\))?", part)
-        clauses = [c for c in re.split(r"(?=[①-⑳])|(?=\n\d+\. )", part) if c.strip()]
-        if len(clauses) <= 1:
-            out += recursive(part, size, size // 10)
-            continue
-        held = ""
-        for c in clauses:
-            if held and len(held) + len(c) > size:
-                out.append(held.strip())
-                held = f"{title[0]} {c}" if title else c
-            else:
-                held += c
-        if held.strip():
+        return recursive(text, size, overlap) if parts else []
+    return [c for part in parts for c in ([part] if len(part) <= size else _clauses(part, size))]
+
+
+def _clauses(part: str, size: int) -> list[str]:
+    title = re.match(r"(?:제\d+조(?:의\d+)?\s*(?:\([^)]*\))?)?", part)[0].strip()
+    clauses = [c for c in re.split(r"(?=[①-⑳])|(?=\n\d+\.\s)", part) if c.strip()]
+    if len(clauses) <= 1:
+        return recursive(part, size, size // 10)
+    headed = lambda c: f"{title}\n{c}" if title else c
+    out, held = [], ""
+    for c in clauses:
+        if len(held) + len(c if held else headed(c)) <= size:
+            held = f"{held}\n{c}" if held else headed(c)
+        else:
             out.append(held.strip())
-    return out
+            held = headed(c.strip())
+    return [c for c in [*out, held.strip()] if c]
 
 
 def markdown(text: str, size: int = 600, overlap: int = 50) -> list[str]:
@@ -111,8 +117,9 @@ def breaks(distances: list[float], rule: str = "percentile", threshold: float =
         return []
     if rule == "gradient":
         steps = [b - a for a, b in zip(distances, distances[1:])]
-        keep = max(1, int(len(steps) * (100 - threshold) / 100)) if steps else 0
-        return sorted(sorted(range(len(steps)), key=lambda i: -steps[i])[:keep])
+        k = int(len(steps) * threshold / 100)
+        cutoff = sorted(steps)[k] if k < len(steps) else 0.0
+        return [i for i, step in enumerate(steps, 1) if step >= cutoff]
     if rule == "stddev":
         mean = sum(distances) / len(distances)
         cutoff = mean + threshold / 100 * (sum((d - mean) ** 2 for d in distances) / len(distances)) ** 0.5
@@ -144,15 +151,32 @@ def semantic(text: str, embed: Callable[[list[str]], list[list[float]]], size: i
 
 
 def parents_and_children(text: str, parent: int = 800, child: int = 200, overlap: int = 50) -> list[tuple[int, str, int, str]]:
-    """(parent index, parent, child index, child)."""
-    return [(i, p, j, c) for i, p in enumerate(sentence(text, parent, 0)) for j, c in enumerate(sentence(p, child, overlap))]
+    """(parent index, parent, child index, child); a text that fits is its own parent."""
+    if not text.strip():
+        return []
+    parents = [text.strip()] if len(text) <= parent else sentence(text, parent, 0)
+    return [(i, p, j, c) for i, p in enumerate(parents) for j, c in enumerate(sentence(text if len(text) <= parent else p, child, overlap))]
+
 
+def _embedded(text: str, size: int = 500, overlap: int = 100) -> list[str]:
+    from loomdoc.operators.search import embed_text
 
-STRATEGIES: dict[str, Callable[..., list[str]]] = {"sentence": sentence, "recursive": recursive, "law-article": article, "markdown": markdown}
+    return semantic(text, lambda texts: [embed_text(t).tolist() for t in texts], size)
+
+
+#: name -> (text, size, overlap) -> chunks. ``semantic`` embeds by the offline default; ``parent-doc`` gives the children alone.
+STRATEGIES: dict[str, Callable[..., list[str]]] = {
+    "sentence": sentence,
+    "recursive": recursive,
+    "law-article": article,
+    "markdown": markdown,
+    "semantic": _embedded,
+    "parent-doc": lambda text, size=200, overlap=50: sentence(text, size, overlap),
+}
 
 
 def chunk(text: Column, strategy: str = "sentence", **options: int) -> Column:
-    """Array of chunks; an unknown strategy is ``sentence``, null has none."""
+    """Array of chunks; an unknown strategy is ``sentence``, null has none. Options: size and overlap."""
     split = STRATEGIES.get(strategy, sentence)
 
     @F.pandas_udf("array<string>")
@@ -162,10 +186,32 @@ def chunk(text: Column, strategy: str = "sentence", **options: int) -> Column:
     return run(text)
 
 
+def parent_children(text: Column, parent: int = 800, child: int = 200, overlap: int = 50) -> Column:
+    """Array of (parent_index, parent, child_index, child): both stores of the parent-document rule in one pass."""
+
+    @F.pandas_udf("array<struct<parent_index:int,parent:string,child_index:int,child:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        names = ("parent_index", "parent", "child_index", "child")
+        return texts.map(lambda t: [dict(zip(names, row)) for row in parents_and_children(t or "", parent, child, overlap)])
+
+    return run(text)
+
+
+def preview(text: Column, strategy: str = "sentence", **options: int) -> Column:
+    """Struct of total, the first three chunks (200 characters and ... at most), least, most and mean length. It shows what the first 5,000 characters give."""
+    found = chunk(F.left(text, F.lit(5000)), strategy, **options)
+    sizes = F.transform(found, lambda c: F.length(c))
+    short = F.transform(F.slice(found, 1, 3), lambda c: F.concat(F.left(c, F.lit(200)), F.when(F.length(c) > 200, "...").otherwise("")))
+    mean = F.floor(F.aggregate(sizes, F.lit(0.0), lambda a, n: a + n) / F.size(sizes) + 0.5)
+    return F.struct(F.size(found).alias("total"), short.alias("first"), F.array_min(sizes).alias("least"), F.array_max(sizes).alias("most"), F.when(F.size(sizes) > 0, mean).alias("mean"))
+
+
 def document_type(text: Column) -> Column:
     """law, regulation, exam or default, from the first 1,000 characters."""
     head = F.left(text, F.lit(1000))
-    return F.when(head.rlike(r"제\d+조\s*\("), "law").when(head.rlike(r"규정|지침|훈령"), "regulation").when(head.rlike(r"문제\s*\d+|[①②③④⑤].*[①②③④⑤]"), "exam").otherwise("default")
+    # fixed values: the patterns in their order
+    law = head.rlike(r"제\d+조(?:의\d+)?") & head.rlike(r"(?:법|령|규칙)")
+    return F.when(law, "law").when(head.rlike(r"(?:규정|지침|고시|훈령|예규)"), "regulation").when(head.rlike(r"(?:문제|정답|해설|보기|①|②|③)"), "exam").otherwise("default")
 
 
 def enriched(chunk_text: Column, **labels: Column) -> Column:

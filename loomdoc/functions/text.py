@@ -7,8 +7,14 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: suffixes that keyword extraction removes, longest first
-SUFFIXES = ("에서는", "으로는", "에서", "으로", "에게", "부터", "까지", "하는", "은", "는", "이", "가", "을", "를", "의", "에", "로", "와", "과", "도")
+# fixed values: suffixes that keyword extraction removes; the first that fits goes
+SUFFIXES = (
+    "에서는", "으로서", "에서", "으로", "에게", "한테",
+    "부터", "까지", "에는", "와는", "과는",
+    "이란", "란", "이라", "라고",
+    "는", "은", "를", "을", "의", "에", "로", "와", "과",
+    "가", "이", "도", "만", "요",
+)
 
 
 def trimmed(text: Column) -> Column:
@@ -107,8 +113,8 @@ def redacted(text: Column, words: dict[str, str]) -> tuple[Column, Column]:
 
 
 def keywords(text: Column, stopwords: list[str]) -> Column:
-    """Distinct words of two letters or more, without one suffix each and without stop words."""
-    words = F.split(F.lower(F.regexp_replace(text, r"(?U)[^\w\s]", " ")), r"(?U)\s+")
+    """Distinct words of two letters or more, without one suffix each and without stop words. Letters are ASCII ones, digits, _ and Hangul syllables."""
+    words = F.split(F.lower(F.regexp_replace(text, r"[^\w가-힣\s]", " ")), r"(?U)\s+")
 
     def stem(w: Column) -> Column:
         out = F.when(F.lit(False), w)

@@ -17,24 +17,47 @@ def one(spark, column):
 
 
 @pytest.mark.parametrize("text", ["", "   ", "x" * 2000, "a... b!", "One. Two? Three! " * 80, "no end", "\U0001f600. " * 300])
-def test_chunks_keep_all_letters(text):
-    for split in (ch.sentence, ch.recursive, ch.markdown, ch.article):
-        parts = split(text)
-        assert all(p.strip() for p in parts)
+def test_chunks_are_not_blank_and_fit(text):
+    for split in ch.STRATEGIES.values():
+        assert all(p.strip() for p in split(text))
     assert all(len(c) <= 500 for c in ch.recursive(text, 500, 0))
-    assert "".join("".join(ch.recursive(text, 500, 0)).split()).replace(".", "") == "".join(text.split()).replace(".", "") or "." not in text
 
 
-def test_sentence_overlap():
-    assert ch.sentence("aaaa. bbbb. cccc.", 11, 0) == ["aaaa.", "bbbb.", "cccc."] or ch.sentence("aaaa. bbbb. cccc.", 12, 0) == ["aaaa. bbbb.", "cccc."]
-    assert ch.sentence("aaaa. bbbb. cccc.", 12, 3)[1].endswith("cccc.")
+def test_sentences_by_hand():
+    assert ch.sentence("aaaa. bbbb. cccc.", 11, 0) == ["aaaa.", "bbbb. cccc."]  # a sentence counts with the space after it
+    assert ch.sentence("aaaa. bbbb. cccc.", 12, 0) == ["aaaa. bbbb.", "cccc."]
+    assert ch.sentence("aaaa. bbbb. cccc.", 12, 3) == ["aaaa. bbbb.", "b. cccc."]
+    assert ch.sentence("aaaa. bbbb. cccc.", 12, 40) == ["aaaa. bbbb.", "cccc."]  # too little to overlap
+    assert ch.sentence("a... b!") == ["a. b!"]  # of a run of marks the first stays
+    assert ch.sentence("...") == ["..."] and ch.sentence(" \n") == []
 
 
-def test_articles_split_and_prefix():
-    parts = ch.article("제1조(목적) 이 법은. 제2조(정의) ① 가나다. ② 라마바.", 800)
-    assert [p[:3] for p in parts] == ["제1조", "제2조"]
-    long = "제1조(목적) 머리. 제2조(정의) " + "".join(f"{c} {'가' * 500}. " for c in "①②③")
-    assert all(p.startswith("제2조(정의)") for p in ch.article(long, 800)[1:])
+def test_recursive_by_hand():
+    assert [len(c) for c in ch.recursive("x" * 900, 500, 100)] == [500, 500]
+    assert [len(c) for c in ch.recursive("x" * 901, 500, 100)] == [500, 500, 101]
+    assert ch.recursive("abcdefghij", 4, 1) == ["abcd", "defg", "ghij"]
+    assert ch.recursive("abcdefghij", 4, 9) == ["abcd", "efgh", "ij"]
+    assert ch.recursive("aaaa\n\nbbbb\n\ncccc", 10, 0) == ["aaaa\n\nbbbb", "cccc"]
+    # overlap is kept where it makes a chunk too long; a long piece goes on with the next separators and carries none
+    assert ch.recursive("aaaa\n\nbbbb\n\ncccc", 10, 5) == ["aaaa\n\nbbbb", "\nbbbb\n\ncccc".strip()]
+    assert ch.recursive("aa\n\nbbbbbb cccccc\n\ndd", 8, 3) == ["aa", "bbbbbb", "bbb cccccc", "dd"]
+
+
+def test_articles_by_hand():
+    assert ch.article("제1조(목적) 이 법은. 제2조(정의) ① 가나다. ② 라마바.", 800) == ["제1조(목적) 이 법은.", "제2조(정의) ① 가나다. ② 라마바."]
+    long = "제1조(목적) 머리. 제2조(정의) " + "".join(f"{c} {'가' * 5}. " for c in "①②③")
+    assert ch.article(long, 23) == ["제1조(목적) 머리.", "제2조(정의)\n제2조(정의)", "제2조(정의)\n① 가가가가가.", "제2조(정의)\n② 가가가가가.", "제2조(정의)\n③ 가가가가가."]
+    assert ch.article("없음 " * 3, 6) == ch.recursive("없음 " * 3, 6, 0)
+
+
+def test_parents_children_preview_and_types(spark):
+    rows = ch.parents_and_children("aaaa. bbbb. cccc. dddd.", 12, 6, 0)
+    assert rows == [(0, "aaaa. bbbb.", 0, "aaaa."), (0, "aaaa. bbbb.", 1, "bbbb."), (1, "cccc. dddd.", 0, "cccc."), (1, "cccc. dddd.", 1, "dddd.")]
+    assert ch.parents_and_children("aa. bb.", 50, 4, 0) == [(0, "aa. bb.", 0, "aa."), (0, "aa. bb.", 1, "bb.")]
+    got = one(spark, ch.preview(F.lit("x" * 900), "recursive", size=500, overlap=100))
+    assert (got["total"], [len(c) for c in got["first"]], got["least"], got["most"], got["mean"]) == (2, [203, 203], 500, 500, 500)
+    texts = {"개인정보 보호법 제1조": "law", "제1조 only": "default", "운영 지침": "regulation", "정답 ①": "exam", "plain": "default"}
+    assert [one(spark, ch.document_type(F.lit(t))) for t in texts] == list(texts.values())
 
 
 def test_markdown_paths():
@@ -51,8 +74,11 @@ def test_few_splits_are_spread(spark):
 
 
 def test_breaks():
-    assert ch.breaks([0.1, 0.9, 0.2, 0.3, 0.1]) == [1]
-    assert ch.breaks([]) == []
+    d = [0.1, 0.9, 0.2, 0.3, 0.1]
+    assert ch.breaks(d) == [1] and ch.breaks([]) == []
+    assert ch.breaks(d, "stddev", 80) == [1]
+    assert ch.breaks(d, "gradient", 80) == [1]  # the steps are 0.8, -0.7, 0.1, -0.2; the fourth in order is 0.8
+    assert ch.breaks(d, "gradient", 50) == [1, 3]
 
 
 def test_redaction_is_literal_and_longest_first(spark):
