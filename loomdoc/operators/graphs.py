@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 from loomdoc.session import cut
 
 MOST_HOPS = 5
-# fixed values: what an article reference looks like, and the predicates that join entities
+# fixed value: what an article reference looks like
 ARTICLE_REF = r"제\d+조(?:의\d+)?(?:제\d+항)?(?:제\d+호)?"
-LAW_REF = r"([가-힣]+(?:법|령|규칙|규정))\s*(제\d+조(?:의\d+)?)"
-PREDICATES = {"정의": "정의한다", "적용": "적용", "위반": "위반", "준용": "준용", "위임": "위임", "포함": "포함", "제출": "제출", "승인": "승인", "신고": "신고", "보고": "보고", "지정": "지정", "취소": "취소", "처벌": "처벌", "감독": "감독"}
 
 
 def both_ways(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -167,31 +165,3 @@ def law_name(name: Column) -> Column:
 def article_refs(text: Column, own: Column | None = None) -> Column:
     refs = F.array_distinct(F.regexp_extract_all(text, F.lit(ARTICLE_REF), 0))
     return refs if own is None else F.array_remove(refs, own)
-
-
-def law_refs(sections: DataFrame, id_: str, text: str) -> DataFrame:
-    """id, law, article of each explicit reference."""
-    hits = F.regexp_extract_all(F.col(text), F.lit(LAW_REF), 0)
-    return sections.select(id_, F.explode(hits).alias("_h")).select(id_, F.regexp_extract("_h", LAW_REF, 1).alias("law"), F.regexp_extract("_h", LAW_REF, 2).alias("article")).distinct()
-
-
-def triples(sections: DataFrame, mentions: DataFrame, id_: str, text: str) -> DataFrame:
-    """subject, predicate, object, confidence, context: pairs of entities in one sentence with a predicate's word. ``mentions``: id, name.
-
-    An earlier entity is the subject at 0.7, or 1.0 if a subject particle follows it.
-    """
-    parts = sections.select(id_, F.explode(F.split(text, r"[.\n]+")).alias("_s")).filter(F.length(F.trim("_s")) > 5)
-    near = parts.join(mentions, id_).filter(F.contains("_s", F.col("name")))
-    a, b = near.withColumnRenamed("name", "subject"), near.withColumnRenamed("name", "object")
-    pairs = a.join(b, [id_, "_s"]).filter((F.col("subject") != F.col("object")) & (F.instr("_s", F.col("subject")) < F.instr("_s", F.col("object"))))
-    words = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(w).alias("w")) for p, w in PREDICATES.items()])
-    found = pairs.withColumn("_p", F.explode(F.filter(words, lambda x: F.contains("_s", x["w"]))))
-    particle = F.expr("rlike(_s, concat('\\\\Q', subject, '\\\\E(은|는|이|가)'))")
-    return found.select(
-        id_, "subject", F.col("_p.p").alias("predicate"), "object", F.when(particle, 1.0).otherwise(0.7).alias("confidence"), F.left(F.trim("_s"), F.lit(100)).alias("context")
-    )
-
-
-def keep_best(found: DataFrame) -> DataFrame:
-    """One triple for each subject, predicate and object: that of the greatest confidence."""
-    return found.groupBy("subject", "predicate", "object").agg(F.max(F.struct("confidence", "context")).alias("_b")).select("subject", "predicate", "object", "_b.*")

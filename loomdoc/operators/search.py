@@ -1,22 +1,26 @@
-"""Ranking: BM25, exact vector similarity, fusion, diversity, and the hybrid of them."""
+"""Ranking: BM25, exact and approximate vector similarity, fusion, diversity, and the hybrid of them."""
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdoc.functions.text import count_of, ngrams
+from loomdoc.functions.text import count_of, highlighted, ngrams
+from loomdoc.session import cut
 
 K1, B = 1.2, 0.75
 RRF_K = 60
-#: Query vectors that are sent to every task; more are taken in blocks.
-QUERY_BLOCK = 4_096
+#: Queries and vectors of one task of an exact search.
+QUERY_BLOCK, VECTOR_BLOCK = 4_096, 32_768
+#: Rows that the centroids of an approximate index are fitted on.
+SAMPLE_ROWS = 20_000
 
 
 def query_words(q: str) -> list[str]:
@@ -24,9 +28,9 @@ def query_words(q: str) -> list[str]:
 
 
 def bm25(corpus: DataFrame, words: list[str], k: int | None = None, id_: str = "id", text: str = "text") -> DataFrame:
-    """id, score of the rows with a word, best first. One pass gives N, the mean length and each word's df, in one row."""
+    """id, score of the rows with a word, best first. The texts are read once, into a narrow table of counts; it gives N, the mean length and each word's df, in one row."""
     tf = [count_of(F.col(text), F.lit(w)) for w in words]
-    rows = corpus.select(id_, F.length(text).alias("_len"), *[t.alias(f"_t{i}") for i, t in enumerate(tf)])
+    rows = cut(corpus.select(id_, F.length(text).alias("_len"), *[t.alias(f"_t{i}") for i, t in enumerate(tf)]))
     stats = rows.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.avg("_len"), F.lit(400.0)).alias("_avg"), *[F.count_if(F.col(f"_t{i}") > 0).alias(f"_d{i}") for i in range(len(words))])
     score = F.lit(0.0)
     for i in range(len(words)):
@@ -52,50 +56,104 @@ def vector_top_k(vectors: DataFrame, q: list[float], k: int, id_: str = "id", ve
     return scored.orderBy(F.desc("similarity"), id_).limit(k)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, id_: str = "id", vector: str = "embedding", least: float = -1.0, same: bool = False) -> DataFrame:
-    """query_id, id, similarity, rank: the k nearest rows of each query, exactly.
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    """Rows of unit length; those without length stay zero."""
+    m = np.stack(vectors.to_numpy()).astype(np.float64)
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(size > 0, size, 1)
 
-    Queries are sent to all tasks a block at a time, rows stay where they are; a task hands on its k best of each query.
-    """
 
-    def block(part: pd.DataFrame) -> DataFrame:
-        ids = part[id_].to_numpy()
-        q = np.stack(part[vector].to_numpy()).astype(np.float64)
-        norm = np.linalg.norm(q, axis=1)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, q / np.where(norm > 0, norm, 1)[:, None]))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            for b in batches:
-                if not len(b):
-                    continue
-                m = np.stack(b[vector].to_numpy()).astype(np.float64)
-                size = np.linalg.norm(m, axis=1)
-                s = q @ (m / np.where(size > 0, size, 1)[:, None]).T
-                own = b[id_].to_numpy()
+def knn(queries: DataFrame, vectors: DataFrame, k: int, id_: str = "id", vector: str = "embedding", least: float = -1.0, same: bool = False, apart: str | None = None) -> DataFrame:
+    """query_id, id, similarity, rank: the k nearest rows of each query, exactly; ``apart`` names a column in which the two must differ.
+
+    Both sides are dealt into blocks, each pair of blocks is one task's product of two matrices, and a block hands on its k best of each query.
+    """
+    more = [apart] if apart else []
+    q = queries.filter(F.col(vector).isNotNull()).select(id_, vector, *more)
+    v = vectors.filter(F.col(vector).isNotNull()).select(id_, vector, *more)
+    q_blocks, v_blocks = (max(1, -(-df.count() // size)) for df, size in ((q, QUERY_BLOCK), (v, VECTOR_BLOCK)))
+    block = lambda n: F.pmod(F.xxhash64(id_), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = q.withColumn("_q", block(q_blocks)).withColumn("_v", every(v_blocks))
+    v = v.withColumn("_v", block(v_blocks)).withColumn("_q", every(q_blocks))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            b = b.sort_values(id_, ignore_index=True)  # ties go by id
+            own, m = b[id_].to_numpy(), _matrix(b[vector])
+            for begin in range(0, len(a), 256):
+                part = a.iloc[begin : begin + 256]
+                s = _matrix(part[vector]) @ m.T
                 if not same:
-                    s[ids[:, None] == own[None, :]] = -2.0
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                score = np.take_along_axis(s, order, 1)
-                keep = score >= least
-                yield pd.DataFrame({"query_id": np.repeat(ids, keep.sum(1)), id_: own[order][keep], "similarity": score[keep]})
-
-        kind = dict(vectors.dtypes)[id_]
-        return vectors.filter(F.col(vector).isNotNull()).select(id_, vector).mapInPandas(run, f"query_id {kind}, {id_} {kind}, similarity double")
-
-    rows = queries.filter(F.col(vector).isNotNull()).select(id_, vector)
-    local, out = [], None
-    for row in rows.toLocalIterator():  # a stated query set, in blocks
-        local.append((row[0], row[1]))
-        if len(local) == QUERY_BLOCK:
-            found = block(pd.DataFrame(local, columns=[id_, vector]))
-            out, local = (found if out is None else out.unionByName(found)), []
-    if local or out is None:
-        kind = dict(vectors.dtypes)[id_]
-        found = block(pd.DataFrame(local, columns=[id_, vector])) if local else vectors.sparkSession.createDataFrame([], f"query_id {kind}, {id_} {kind}, similarity double")
-        out = found if out is None else out.unionByName(found)
+                    s[part[id_].to_numpy()[:, None] == own] = -2.0
+                if apart:
+                    s[part[apart].to_numpy()[:, None] == b[apart].to_numpy()] = -2.0
+                if len(own) > k:
+                    bound = np.partition(s, len(own) - k, axis=1)[:, len(own) - k, None]
+                else:
+                    bound = np.full((len(part), 1), -2.0)
+                rows, columns = np.nonzero((s >= bound) & (s >= least))
+                out.append(pd.DataFrame({"query_id": part[id_].to_numpy()[rows], id_: own[columns], "similarity": s[rows, columns]}))
+        found = pd.concat(out) if out else pd.DataFrame({"query_id": [], id_: [], "similarity": []})
+        return found.sort_values(["query_id", "similarity", id_], ascending=[True, False, True]).groupby("query_id").head(k)
+
+    kind = dict(vectors.dtypes)[id_]
+    found = q.groupBy("_q", "_v").cogroup(v.groupBy("_q", "_v")).applyInPandas(run, f"query_id {kind}, {id_} {kind}, similarity double")
     by = Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_)
-    return out.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """An inverted file: every row in the cell of its nearest centroid (columns cell, id and vector)."""
+
+    rows: DataFrame
+    centroids: np.ndarray
+    id_: str
+    vector: str
+
+    def search(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
+        """query_id, id, similarity, rank: the k nearest rows of the ``probes`` nearest cells of each query; its own row left out."""
+        q = queries.select(F.col(self.id_).alias("query_id"), F.col(self.vector).alias("_q"), F.explode(nearest_cells(F.col(self.vector), self.centroids, probes)).alias("cell"))
+        pairs = self.rows.join(q, "cell").filter(F.col(self.id_) != F.col("query_id"))
+        by = Window.partitionBy("query_id").orderBy(F.desc("similarity"), self.id_)
+        scored = pairs.select("query_id", self.id_, cosine(F.col(self.vector), F.col("_q")).alias("similarity"))
+        return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+
+
+def nearest_cells(vector: Column, centroids: np.ndarray, n: int) -> Column:
+    """Array of the n nearest centroids; these are as many as the index has cells, whatever the number of rows."""
+
+    @F.pandas_udf("array<int>")
+    def run(vectors: pd.Series) -> pd.Series:
+        s = _matrix(vectors) @ centroids.T if len(vectors) else np.empty((0, len(centroids)))
+        return pd.Series(list(np.argsort(-s, axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+    return run(vector)
+
+
+def cell_index(vectors: DataFrame, cells: int = 64, sample_rows: int = SAMPLE_ROWS, id_: str = "id", vector: str = "embedding", rounds: int = 10) -> CellIndex:
+    """Centroids from a sample of up to ``sample_rows`` rows (those of least hash), then every row is put into its cell."""
+    rows = vectors.filter(F.col(vector).isNotNull()).select(id_, vector)
+    sample = rows.orderBy(F.xxhash64(F.lit(5), id_), id_).limit(sample_rows).toPandas()
+    m = _matrix(sample[vector]) if len(sample) else np.zeros((1, 1))
+    centroids = m[np.linspace(0, len(m) - 1, min(cells, len(m))).astype(int)]
+    for _ in range(rounds):
+        of = np.argmax(m @ centroids.T, axis=1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, of, m)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(size > 0, sums / np.where(size > 0, size, 1), centroids)
+    placed = rows.select(F.element_at(nearest_cells(F.col(vector), centroids, 1), 1).alias("cell"), id_, vector)
+    return CellIndex(cut(placed), centroids, id_, vector)
+
+
+def blended(a: Column, b: Column, share: float = 0.4) -> Column:
+    """share of a and the rest of b, scaled to unit length; a alone where b is null."""
+    mixed = F.zip_with(a, b, lambda x, y: x * share + y * (1 - share))
+    norm = F.sqrt(F.aggregate(mixed, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(b.isNull(), a.cast("array<double>")).when(norm > 0, F.transform(mixed, lambda x: x / norm)).otherwise(mixed)
 
 
 def ranked(df: DataFrame, score: str, id_: str, name: str) -> DataFrame:
@@ -136,23 +194,34 @@ def jaccard3(a: Column, b: Column) -> Column:
 
 
 def mmr(hits: DataFrame, query: str, id_: str, text: str, score: str, limit: int, trade: float = 0.7) -> DataFrame:
-    """Each query's hits (a few dozen) re-ranked: the best first, then the best of score less likeness to those taken."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([score, id_], ascending=[False, True], ignore_index=True)
-        if len(g) <= limit:
-            return g.assign(mmr_rank=range(1, len(g) + 1))
-        grams = [{t[i : i + 3] for i in range(len(t) - 2)} for t in g[text].str[:500].str.lower()]
-        like = lambda i, j: len(grams[i] & grams[j]) / (len(grams[i] | grams[j]) or 1)
-        taken, left = [0], list(range(1, len(g)))
-        while left and len(taken) < limit:
-            best = max(left, key=lambda i: (trade * g[score][i] - (1 - trade) * max(like(i, j) for j in taken), -i))
-            taken.append(best)
-            left.remove(best)
-        return g.iloc[taken].assign(mmr_rank=range(1, len(taken) + 1))
+    """Each query's hits re-ranked: the best first, then, round by round, the best of score less likeness to those taken. Up to ``limit`` hits keep their order.
 
-    schema = ", ".join(f"{c} {t}" for c, t in hits.dtypes)
-    return hits.groupBy(query).applyInPandas(run, f"{schema}, mmr_rank int")
+    A round compares the hits with the one taken last and keeps each hit's greatest likeness, so no query is gathered in one place.
+    """
+    by = Window.partitionBy(query).orderBy(F.desc(score), id_)
+    n = hits.groupBy(query).agg(F.count(F.lit(1)).alias("_n"))
+    grams = ngrams(F.lower(F.left(text, F.lit(500))), 3, 3)
+    rows = hits.join(n, query)
+    few = rows.filter(F.col("_n") <= limit).withColumn("mmr_rank", F.row_number().over(by))
+    left = cut(rows.filter(F.col("_n") > limit).withColumn("_grams", grams).withColumn("_like", F.lit(0.0)))
+    taken = []
+    for rank in range(1, limit + 1):
+        value = F.col(score) if rank == 1 else trade * F.col(score) - (1 - trade) * F.col("_like")
+        # of equal ones the first in the given order: the greatest score, then the least id
+        best = left.groupBy(query).agg(F.min(F.struct((-value).alias("v"), (-F.col(score)).alias("s"), F.col(id_).alias("_id"))).alias("_b"))
+        best = best.select(query, F.col("_b._id").alias("_id"))
+        marked = left.join(best, query).withColumn("_new", F.col(id_) == F.col("_id")).drop("_id")
+        taken.append(cut(marked.filter("_new").drop("_new").withColumn("mmr_rank", F.lit(rank))))
+        if rank == limit:
+            break
+        last = taken[-1].select(query, F.col("_grams").alias("_last"))
+        union = F.size(F.array_union("_grams", "_last"))
+        like = F.when(union > 0, F.size(F.array_intersect("_grams", "_last")) / union).otherwise(0.0)
+        left = cut(marked.filter("not _new").drop("_new").join(last, query).withColumn("_like", F.greatest("_like", like)).drop("_last"))
+    out = few.select(*hits.columns, "mmr_rank")
+    for part in taken:
+        out = out.unionByName(part.select(*hits.columns, "mmr_rank"))
+    return out
 
 
 def weighted_score(hits: DataFrame, weights: dict[str, float], by: list[str]) -> DataFrame:
@@ -171,11 +240,22 @@ def dedupe_first(hits: DataFrame, key: Column, order: list[Column]) -> DataFrame
     return hits.withColumn("_k", key).withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy(*order))).filter("_r = 1").drop("_k", "_r")
 
 
-def hybrid(chunks: DataFrame, q: str, k: int = 10, post_filter: Column | None = None) -> DataFrame:
-    """Both lists of 2k, fused; ``chunks``: id, text, embedding. Filters belong below the lists; ``post_filter`` is for parity with filtering after."""
+def best_parents(hits: DataFrame, limit: int, doc: str = "doc_id", text: str = "text", score: str = "score", order: str = "position") -> DataFrame:
+    """Hits with one document and the same first 200 characters become one: the best one, at the place of the first. ``hits`` is a top-k list."""
+    same = Window.partitionBy(doc, F.left(text, F.lit(200)))
+    first = hits.withColumn("_place", F.min(order).over(same)).withColumn("_r", F.row_number().over(same.orderBy(F.desc(score), order)))
+    return first.filter("_r = 1").orderBy("_place").limit(limit).drop("_place", "_r")
+
+
+def hybrid(chunks: DataFrame, q: str, k: int = 10, where: Column | None = None, post_filter: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Both lists of 2k, fused; ``chunks``: id, text, embedding (or null: text only), and the columns ``keep`` that come with the hits, as a headline does.
+
+    ``where`` is applied below the lists; ``post_filter`` to the fused list, which it can shorten. Where ``chunks`` is costly, store it first: it is read thrice.
+    """
     words = query_words(q)
-    probe = embed_text(q).tolist()
-    fused = rrf(vector_top_k(chunks, probe, 2 * k), bm25(chunks, words, 2 * k), 2 * k)
-    out = chunks.select("id", "text").join(F.broadcast(fused), "id")  # 2k rows
+    rows = chunks if where is None else chunks.filter(where)
+    fused = rrf(vector_top_k(rows, embed_text(q).tolist(), 2 * k), bm25(rows, words, 2 * k), 2 * k)
+    out = rows.select("id", "text", *keep).join(F.broadcast(fused), "id")  # 2k rows
     out = out if post_filter is None else out.filter(post_filter)
+    out = out.withColumn("headline", highlighted(F.col("text"), words))
     return out.orderBy(F.desc("rrf_score"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("fts_rank"), "id").limit(k)

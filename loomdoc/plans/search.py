@@ -9,19 +9,29 @@ from loomdoc.functions import chunks as ch
 from loomdoc.functions import text as tx
 from loomdoc.operators import search as ops
 from loomdoc.plans.registry import query
-from loomdoc.session import table
+from loomdoc.session import cut, spread, stored, table
 
 WORDS = ["the", "tion", "ndre"]
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "lang", F.posexplode(ch.chunk(F.col("text"), "sentence")).alias("n", "text"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "source", "text"))
+    docs = docs.select("doc_id", "lang", "source", F.posexplode(ch.chunk(F.col("text"), "sentence")).alias("n", "text"))
     return docs.withColumn("id", F.col("doc_id") * 100_000 + F.col("n")).withColumn("embedding", ops.hashed_embedding(F.col("text")))
 
 
 @query(None)
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.hybrid(_chunks(spark, sf), "the thing that reads", 10).select("id", "text", F.round("rrf_score", 8).alias("rrf_score"), F.round("similarity", 8).alias("similarity"), "vector_rank", "fts_rank")
+    with stored(_chunks(spark, sf)) as chunks:  # chunked and embedded once, read by both lists and for the hits
+        found = ops.hybrid(chunks, "the thing that reads", 10, where=F.col("source").isNotNull(), keep=["doc_id", "lang", "source"])
+        found = found.select("id", "text", "headline", F.col("doc_id").alias("document"), F.col("source").alias("category"), F.round("rrf_score", 8).alias("rrf_score"), F.round("similarity", 8).alias("similarity"), "vector_rank", "fts_rank")
+        return cut(found)
+
+
+@query(None)
+def approximate_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return ops.cell_index(vectors, id_="vec_id").search(vectors.filter("vec_id % 100 = 0"), 3, probes=24)
 
 
 _TF = "(length(lower(text)) - length(replace(lower(text), '{0}', ''))) / {1}"
@@ -85,15 +95,3 @@ SELECT doc_id, 10 * ((length(source) - length(replace(source, '1', '')))) + 3 *
 def keyword_score(spark: SparkSession, sf: str) -> DataFrame:
     score = 10 * F.regexp_count("source", F.lit("1")) + 3 * tx.count_of(F.col("text"), F.lit("and"))
     return table(spark, sf, "documents").select("doc_id", score.cast("long").alias("score"))
-
-
-@query(None)
-def diverse_hits(spark: SparkSession, sf: str) -> DataFrame:
-    hits = table(spark, sf, "conversations").select("conv_id", "turn", "text", (1.0 / (1 + F.col("turn"))).alias("score"))
-    return ops.mmr(hits, "conv_id", "turn", "text", "score", 3).select("conv_id", "turn", "mmr_rank")
-
-
-@query(None)
-def weighted_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    hits = table(spark, sf, "documents").select("doc_id", "lang", F.col("n_chars").cast("double").alias("similarity"), F.length("source").cast("double").alias("rrf"))
-    return ops.weighted_score(hits, {"similarity": 0.4, "rrf": 0.3}, ["lang"]).select("doc_id", F.round("final_score", 6).alias("final_score"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomdoc.functions import chunks as ch
 from loomdoc.functions import text as tx
 from loomdoc.plans.registry import query
-from loomdoc.session import table
+from loomdoc.session import spread, table
 
 
 @query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS title FROM pages""")
@@ -62,12 +62,12 @@ def character_ngrams(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def sentence_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(ch.chunk(F.col("text"), "sentence")).alias("n", "chunk"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.posexplode(ch.chunk(F.col("text"), "sentence")).alias("n", "chunk"))
 
 
 @query(None)
 def recursive_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(ch.chunk(F.col("text"), "recursive")).alias("n", "chunk"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.posexplode(ch.chunk(F.col("text"), "recursive")).alias("n", "chunk"))
 
 
 @query("""

@@ -152,13 +152,6 @@ def test_communities_split_cliques(spark):
     assert len({of[i] for i in range(4)}) == 1 and of[0] != of[10]
 
 
-def test_triples(spark):
-    sections = spark.createDataFrame([(1, "공단은 보고서를 작성하여 위원회에 제출한다.\n짧다.")], "id long, text string")
-    names = spark.createDataFrame([(1, "공단"), (1, "위원회")], "id long, name string")
-    got = graphs.triples(sections, names, "id", "text").collect()
-    assert {(r["subject"], r["predicate"], r["object"], r["confidence"]) for r in got} >= {("공단", "제출", "위원회", 1.0)}
-
-
 def test_mmr_with_full_trade_is_top_k(spark):
     hits = spark.createDataFrame([("q", i, "text number %d" % (i % 3), 1.0 / (i + 1)) for i in range(8)], "q string, id long, text string, score double")
     got = [r["id"] for r in search.mmr(hits, "q", "id", "text", "score", 3, trade=1.0).orderBy("mmr_rank").collect()]
