@@ -129,8 +129,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DO
     rows = docs.select("doc_id", "text").filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(ids), "doc_id")
     # copies and near copies say the same thing over again: one text stays for each least hash of long words
     long_words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{8,}"), 0)
-    least = [F.array_min(F.transform(long_words, lambda w, k=k: F.xxhash64(F.lit(k), w))) for k in range(3)]
-    key = F.when(F.size(long_words) > 0, F.xxhash64(*least)).otherwise(F.xxhash64("text"))
+    hashed = lambda k: lambda w: F.xxhash64(F.lit(k), w)
+    firsts = [F.array_min(F.transform(long_words, hashed(k))) for k in range(3)]
+    key = F.when(F.size(long_words) > 0, F.xxhash64(*firsts)).otherwise(F.xxhash64("text"))
     first = F.min(F.struct(F.xxhash64(F.lit(4), "doc_id"), "text"))["text"]  # always the same one, so that reruns agree
     return cut(rows.groupBy("toxic", key.alias("key")).agg(first.alias("text")).select("text", "toxic")), rates
 
