@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The row of the highest version for each key. A null in the key never conflicts, so such rows all stay."""
+    """The row of the highest version for each key. A null in the key never conflicts, so such rows all stay. Columns must be of ordered types, so no maps."""
     both = old.unionByName(new)
     known = F.lit(True)
     for k in keys:
@@ -88,6 +88,53 @@ def current_state(log: DataFrame, keys: list[str], at: str, state: str) -> DataF
     return log.groupBy(*keys).agg(F.max(F.struct(at, state))[state].alias(state))
 
 
+def guarded_state(log: DataFrame, keys: list[str], at: str, event: str, steps: dict[tuple[str | None, str], str | None]) -> DataFrame:
+    """The state of each key after its events in order, where only the steps (state, event) -> state of the table count, others change nothing; a state of None is none, and has no row.
+
+    A key's events are one array, as with the history of one relation.
+    """
+    to = [(s or "", e, t or "") for (s, e), t in steps.items()]
+
+    def apply(state: Column, e: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for s, name, t in to:
+            out = out.when((state == s) & (e[event] == name), t)
+        return out.otherwise(state)
+
+    events = log.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(at, event))).alias("_e"))
+    return events.select(*keys, F.aggregate("_e", F.lit(""), apply).alias("state")).filter("state <> ''")
+
+
+def both_ways_gone(pairs: DataFrame, gone: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs without those of ``gone`` (a, b), in either direction."""
+    out = gone.select(F.col(a).alias("_x"), F.col(b).alias("_y"))
+    out = out.unionByName(out.select(F.col("_y").alias("_x"), F.col("_x").alias("_y"))).distinct()
+    return pairs.join(out, (pairs[a] == F.col("_x")) & (pairs[b] == F.col("_y")), "left_anti")
+
+
+def account_removed(users: DataFrame, user: str, gone: DataFrame, owned: list[tuple[DataFrame, str]], pairs: DataFrame, ends: tuple[str, str], notes: DataFrame, note_owner: str) -> tuple[DataFrame, list[DataFrame], DataFrame, DataFrame]:
+    """Users, what they own, pairs with them at either end, and notes that stay without a name, after the accounts ``gone`` (column user) are removed."""
+    key = gone.select(F.col(user).alias("_g")).distinct()
+    without = lambda df, c: df.join(key, df[c] == F.col("_g"), "left_anti")
+    named = notes.join(key, notes[note_owner] == F.col("_g"), "left").withColumn(note_owner, F.when(F.col("_g").isNull(), F.col(note_owner))).drop("_g")
+    return without(users, user), [without(df, c) for df, c in owned], without(without(pairs, ends[0]), ends[1]), named
+
+
+def updated(df: DataFrame, key: str, value: object, **columns: object) -> DataFrame:
+    """The table with columns of the row of a key set."""
+    return df.select(*[F.when(F.col(key) == value, F.lit(columns[c])).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def deleted(df: DataFrame, key: str, value: object) -> DataFrame:
+    return df.filter(~F.col(key).eqNullSafe(F.lit(value)))
+
+
+def without_json_key(body: Column, key: str) -> Column:
+    """A JSON object without a key; other text stays as it is."""
+    fields = F.from_json(body, "map<string,variant>")
+    return F.when(F.get_json_object(body, f"$.{key}").isNotNull(), F.to_json(F.map_filter(fields, lambda k, v: k != key))).otherwise(body)
+
+
 def with_total(df: DataFrame, label: str, name: str = "TOTAL") -> DataFrame:
     """Detail rows and a line with the sums of the numbers (as a CSV export has)."""
     sums = [F.sum(c).cast(t).alias(c) if t in ("int", "bigint", "double") else F.lit(name if c == label else None).cast(t).alias(c) for c, t in df.dtypes]

@@ -14,6 +14,17 @@ def where(df: DataFrame, **equal: object) -> DataFrame:
     return df
 
 
+def with_excluded(df: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows whose value is none of ``values`` (!= ALL); an empty list keeps all rows, null rows go otherwise."""
+    return df.filter(~F.col(column).isin(values)) if values else df
+
+
+def numbered(df: DataFrame, keys: str | list[str], order: list[str]) -> DataFrame:
+    """Rows with n, their number within the key from 1."""
+    by = Window.partitionBy(*([keys] if isinstance(keys, str) else keys)).orderBy(*order)
+    return df.withColumn("n", F.row_number().over(by))
+
+
 def join_either(edges: DataFrame, nodes: DataFrame, a: str, b: str, node: str) -> DataFrame:
     """Edges that touch a node at either end, each pair once: a union of two equi joins, where an OR would be a nested loop."""
     left = edges.join(nodes, edges[a] == nodes[node])
@@ -38,7 +49,7 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -
 
 
 def latest(df: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """The row with the greatest ``at`` of each group: one aggregate, combined before the shuffle."""
+    """The row with the greatest ``at`` of each group: one aggregate, combined before the shuffle. Other columns must be of ordered types, so no maps."""
     rest = [c for c in df.columns if c not in keys and c != at]
     top = df.groupBy(*keys).agg(F.max(F.struct(at, *rest)).alias("_top"))
     return top.select(*keys, "_top.*").select(*df.columns)
@@ -51,13 +62,13 @@ def with_count(parents: DataFrame, key: str, children: DataFrame, foreign: str,
 
 
 def reconcile(parsed: DataFrame, stored: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """One row: parsed rows, rows not stored, and rows whose field differs, by field."""
+    """One row: parsed rows, rows not stored, and stored rows whose field differs, by field; null differs from any value."""
     other = stored.select(F.col(key).alias("_k"), *[F.col(f).alias(f"_{f}") for f in fields])
     both = parsed.join(other, parsed[key] == other["_k"], "left")
     return both.agg(
         F.count(F.lit(1)).alias("rows_parsed"),
         F.count_if(F.col("_k").isNull()).alias("missing"),
-        *[F.count_if(F.col(f"_{f}") != F.col(f)).alias(f"{f}_differs") for f in fields],
+        *[F.count_if(F.col("_k").isNotNull() & ~F.col(f"_{f}").eqNullSafe(F.col(f))).alias(f"{f}_differs") for f in fields],
     )
 
 
@@ -78,10 +89,11 @@ def compare_periods(df: DataFrame, at: str, value: str, day: str) -> DataFrame:
 
 
 def limit_check(usage: DataFrame, caps: DataFrame, key: str, at: str, day: str) -> DataFrame:
-    """Each key's use of the day and whether it may go on; a cap of 0 is no cap."""
+    """Each key's use of the day and whether it may go on; a cap of 0 is no cap, and a key whose ``enabled`` is false may not."""
     used = usage.filter(F.to_date(at) == F.lit(day).cast("date")).groupBy(key).agg(F.count(F.lit(1)).alias("used"))
     rows = caps.join(used, key, "left").withColumn("used", F.coalesce("used", F.lit(0)))
-    return rows.select(key, "used", ((F.col("cap") == 0) | (F.col("used") < F.col("cap"))).alias("allowed"))
+    on = F.coalesce("enabled", F.lit(True)) if "enabled" in caps.columns else F.lit(True)
+    return rows.select(key, "used", (on & ((F.col("cap") == 0) | (F.col("used") < F.col("cap")))).alias("allowed"))
 
 
 def json_array(df: DataFrame, keys: list[str], fields: list[str], name: str) -> DataFrame:

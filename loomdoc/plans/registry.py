@@ -25,5 +25,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from loomdoc.plans import graphs, knowledge, mutations, relational, search, texts, textsearch, windows  # noqa: F401
+    from loomdoc.plans import graphs, ingest, knowledge, mutations, relational, search, texts, textsearch, windows  # noqa: F401
 load()
