@@ -1,7 +1,4 @@
-"""Graph queries. Edges are customers' and orders' keys folded to a few hundred nodes, from one order of 97.
-
-Those named ``whole_`` take every order with its keys unfolded. Recursive ones have no SQL.
-"""
+"""Graph queries over every order: a customer's key is linked with a key of the order's own."""
 
 from __future__ import annotations
 
@@ -13,12 +10,12 @@ from loomdoc.operators.components import connected_components
 from loomdoc.plans.registry import query
 from loomdoc.session import table
 
-_E = "SELECT DISTINCT o_custkey % 211 AS a, (o_custkey * 7 + o_orderkey) % 211 AS b FROM orders WHERE o_orderkey % 97 = 0"
+_E = "SELECT DISTINCT o_custkey AS a, o_custkey * 7 + o_orderkey AS b FROM orders"
 _BOTH = f"e AS ({_E}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").filter("o_orderkey % 97 = 0").selectExpr("o_custkey % 211 a", "(o_custkey * 7 + o_orderkey) % 211 b").distinct()
+    return table(spark, sf, "orders").selectExpr("o_custkey a", "o_custkey * 7 + o_orderkey b").distinct()
 
 
 def _starts(spark: SparkSession) -> DataFrame:
@@ -33,9 +30,7 @@ def graph_bfs(spark: SparkSession, sf: str) -> DataFrame:
     return ops.reach(_edges(spark, sf), _starts(spark), hops=3)
 
 
-@query(f"""
-WITH RECURSIVE {_BOTH}, r(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node)
-SELECT node, min(root) AS component FROM r WHERE node IN (SELECT a FROM u WHERE a <> b) GROUP BY node""")
+@query(None)
 def graph_components(spark: SparkSession, sf: str) -> DataFrame:
     return connected_components(_edges(spark, sf))
 
@@ -50,9 +45,19 @@ def graph_chains(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.round("confidence", 6).alias("confidence"), "depth")
 
 
-@query(f"""WITH e AS ({_E}) SELECT a, b FROM e WHERE a < 100 AND b < 100""")
+@query(f"""
+WITH RECURSIVE e AS ({_E}), p(path, node, c, depth) AS (SELECT [CAST(x * 11 AS BIGINT)], CAST(x * 11 AS BIGINT), 1.0::DOUBLE, 0 FROM range(5) t(x)
+UNION ALL SELECT list_append(p.path, e.b), e.b, p.c * (0.5 + (e.b % 5) / 10.0), p.depth + 1 FROM p JOIN e ON e.a = p.node WHERE p.depth < 3 AND NOT list_contains(p.path, e.b))
+SELECT array_to_string(path, '>') AS path, CAST(depth AS INTEGER) AS depth FROM p WHERE depth > 0 ORDER BY depth DESC, round(c, 9) DESC, path LIMIT 50""")
+def best_chains(spark: SparkSession, sf: str) -> DataFrame:
+    edges = _edges(spark, sf).withColumn("confidence", 0.5 + (F.col("b") % 5) / 10.0)
+    found = ops.best_chains(ops.chains(edges, _starts(spark), hops=3), 50)
+    return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "depth")
+
+
+@query(f"""WITH e AS ({_E}) SELECT a, b FROM e WHERE a IN (SELECT c_custkey FROM customer) AND b IN (SELECT c_custkey FROM customer)""")
 def graph_induced(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.induced(_edges(spark, sf), spark.range(100).withColumnRenamed("id", "node"))
+    return ops.induced(_edges(spark, sf), table(spark, sf, "customer").select(F.col("c_custkey").alias("node")))
 
 
 @query(f"""WITH e AS ({_E}) SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node""")
@@ -60,66 +65,42 @@ def graph_degrees(spark: SparkSession, sf: str) -> DataFrame:
     return ops.degrees(_edges(spark, sf))
 
 
-@query("""
-WITH e AS (SELECT least(o_custkey % 211, (o_custkey * 7 + o_orderkey) % 211) AS a, greatest(o_custkey % 211, (o_custkey * 7 + o_orderkey) % 211) AS b, sum(0.5 + o_orderkey % 2 / 2.0) AS w FROM orders
-WHERE o_orderkey % 97 = 0 AND o_custkey % 211 <> (o_custkey * 7 + o_orderkey) % 211 GROUP BY 1, 2),
-k AS (SELECT node, sum(w) AS k FROM (SELECT a AS node, w FROM e UNION ALL SELECT b, w FROM e) GROUP BY node), c AS (SELECT node % 7 AS c, sum(k) AS k FROM k GROUP BY 1)
-SELECT round((SELECT sum(w) FROM e WHERE a % 7 = b % 7) / (SELECT sum(w) FROM e) - (SELECT sum(k * k) FROM c) / (4 * (SELECT sum(w) FROM e) * (SELECT sum(w) FROM e)), 8) AS q""")
-def graph_modularity(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "orders").filter("o_orderkey % 97 = 0").selectExpr("o_custkey % 211 a", "(o_custkey * 7 + o_orderkey) % 211 b", "0.5 + o_orderkey % 2 / 2.0D w")
-    of = spark.range(211).select(F.col("id").alias("node"), (F.col("id") % 7).alias("community"))
-    return ops.modularity(ops.weighted_edges(rows, "a", "b", "w"), of).select(F.round("q", 8).alias("q"))
+_W = """WITH e AS (SELECT least(o_custkey, o_custkey * 7 + o_orderkey) AS a, greatest(o_custkey, o_custkey * 7 + o_orderkey) AS b, sum(0.5 + o_orderkey % 2 / 2.0) AS w FROM orders
+WHERE o_custkey <> o_custkey * 7 + o_orderkey GROUP BY 1, 2), k AS (SELECT node, sum(w) AS k FROM (SELECT a AS node, w FROM e UNION ALL SELECT b, w FROM e) GROUP BY node)"""
 
 
-def _whole_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").selectExpr("o_custkey a", "o_custkey * 7 + o_orderkey b").distinct()
-
-
-_W = "SELECT DISTINCT o_custkey AS a, o_custkey * 7 + o_orderkey AS b FROM orders"
+def _weighted(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").selectExpr("o_custkey a", "o_custkey * 7 + o_orderkey b", "0.5 + o_orderkey % 2 / 2.0D w")
+    return ops.weighted_edges(rows, "a", "b", "w")
 
 
-@query(None)
-def whole_graph_bfs(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.reach(_whole_edges(spark, sf), _starts(spark), hops=3)
+@query(f"""{_W}, c AS (SELECT node % 7 AS c, sum(k) AS k FROM k GROUP BY 1)
+SELECT round((SELECT sum(w) FROM e WHERE a % 7 = b % 7) / (SELECT sum(w) FROM e) - (SELECT sum(k * k) FROM c) / (4 * (SELECT sum(w) FROM e) * (SELECT sum(w) FROM e)), 8) AS q""")
+def graph_modularity(spark: SparkSession, sf: str) -> DataFrame:
+    edges = _weighted(spark, sf)
+    of = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node") % 7)
+    return ops.modularity(edges, of).select(F.round("q", 8).alias("q"))
 
 
-@query(None)
-def whole_graph_components(spark: SparkSession, sf: str) -> DataFrame:
-    return connected_components(_whole_edges(spark, sf))
+@query(f"""{_W} SELECT round(sum(w) / (SELECT sum(w) FROM e) - sum(2 * x.k * y.k) / (4 * (SELECT sum(w) FROM e) * (SELECT sum(w) FROM e)), 8) AS q FROM e JOIN k x ON x.node = a JOIN k y ON y.node = b WHERE a % 7 = b % 7""")
+def adjacent_modularity(spark: SparkSession, sf: str) -> DataFrame:
+    edges = _weighted(spark, sf)
+    of = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node") % 7)
+    return ops.modularity(edges, of, adjacent_only=True).select(F.round("q", 8).alias("q"))
 
 
 @query(None)
-def whole_graph_chains(spark: SparkSession, sf: str) -> DataFrame:
-    edges = _whole_edges(spark, sf).withColumn("confidence", 0.5 + (F.col("b") % 5) / 10.0)
-    found = ops.chains(edges, _starts(spark), hops=3)
-    return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.round("confidence", 6).alias("confidence"), "depth")
-
-
-@query(f"""WITH e AS ({_W}) SELECT a, b FROM e WHERE a IN (SELECT c_custkey FROM customer) AND b IN (SELECT c_custkey FROM customer)""")
-def whole_graph_induced(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.induced(_whole_edges(spark, sf), table(spark, sf, "customer").select(F.col("c_custkey").alias("node")))
-
-
-@query(f"""WITH e AS ({_W}) SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node""")
-def whole_graph_degrees(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.degrees(_whole_edges(spark, sf))
-
-
-@query("""
-WITH e AS (SELECT least(o_custkey, o_custkey * 7 + o_orderkey) AS a, greatest(o_custkey, o_custkey * 7 + o_orderkey) AS b, sum(0.5 + o_orderkey % 2 / 2.0) AS w FROM orders
-WHERE o_custkey <> o_custkey * 7 + o_orderkey GROUP BY 1, 2),
-k AS (SELECT node, sum(w) AS k FROM (SELECT a AS node, w FROM e UNION ALL SELECT b, w FROM e) GROUP BY node), c AS (SELECT node % 7 AS c, sum(k) AS k FROM k GROUP BY 1)
-SELECT round((SELECT sum(w) FROM e WHERE a % 7 = b % 7) / (SELECT sum(w) FROM e) - (SELECT sum(k * k) FROM c) / (4 * (SELECT sum(w) FROM e) * (SELECT sum(w) FROM e)), 8) AS q""")
-def whole_graph_modularity(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "orders").selectExpr("o_custkey a", "o_custkey * 7 + o_orderkey b", "0.5 + o_orderkey % 2 / 2.0D w")
-    edges = ops.weighted_edges(rows, "a", "b", "w")
-    of = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node") % 7)
-    return ops.modularity(edges, of).select(F.round("q", 8).alias("q"))
+def graph_shortest_path(spark: SparkSession, sf: str) -> DataFrame:
+    """From the first customer to its last order's node."""
+    edges = _edges(spark, sf)
+    first = edges.agg(F.min("a").alias("a")).first()["a"]
+    last = edges.filter(F.col("a") == first).agg(F.max("b")).first()[0] if first is not None else None
+    return ops.shortest_path(edges, first or 0, last or 0)
 
 
 @query(None)
 def graph_communities(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "orders").selectExpr("o_orderkey % 5 g", "o_custkey % 211 a", "(o_custkey * 7 + o_orderkey) % 211 b")
+    rows = table(spark, sf, "orders").selectExpr("o_orderpriority g", "o_custkey a", "o_custkey * 7 + o_orderkey b")
     edges = rows.filter("a <> b").groupBy("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("w"))
     return ops.communities(edges, "g")
 

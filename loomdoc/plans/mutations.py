@@ -25,13 +25,13 @@ def keyed_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT l_suppkey % 50 AS s, l_partkey % 50 AS o, l_discount AS c, 'old' || l_returnflag AS x, 0 AS v FROM lineitem WHERE l_linenumber = 1
-UNION ALL SELECT l_suppkey % 50, l_partkey % 50, l_discount, 'new' || l_returnflag, 1 FROM lineitem WHERE l_linenumber = 2)
+WITH a AS (SELECT l_suppkey AS s, l_partkey AS o, l_discount AS c, 'old' || l_returnflag AS x, 0 AS v FROM lineitem WHERE l_linestatus = 'F'
+UNION ALL SELECT l_suppkey, l_partkey, l_discount, 'new' || l_returnflag, 1 FROM lineitem WHERE l_linestatus <> 'F')
 SELECT s, o, max(c) AS confidence, (max({'v': v, 'x': x})).x AS context FROM a GROUP BY s, o""")
 def upsert_max(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem")
-    side = lambda n, word: rows.filter(f"l_linenumber = {n}").selectExpr("l_suppkey % 50 s", "l_partkey % 50 o", "l_discount confidence", f"concat('{word}', l_returnflag) context")
-    return ops.upsert_max(side(1, "old"), side(2, "new"), ["s", "o"], "confidence", "context")
+    side = lambda kept, word: rows.filter(kept).selectExpr("l_suppkey s", "l_partkey o", "l_discount confidence", f"concat('{word}', l_returnflag) context")
+    return ops.upsert_max(side("l_linestatus = 'F'", "old"), side("l_linestatus <> 'F'", "new"), ["s", "o"], "confidence", "context")
 
 
 @query("""

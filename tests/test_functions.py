@@ -148,8 +148,19 @@ def test_components_and_paths(spark):
 def test_communities_split_cliques(spark):
     clique = lambda base: [("d", base + i, base + j, 1.0) for i in range(4) for j in range(i)]
     edges = spark.createDataFrame([(g, min(a, b), max(a, b), w) for g, a, b, w in clique(0) + clique(10) + [("d", 0, 10, 0.1)]], "g string, a long, b long, w double")
-    of = {r["node"]: r["community"] for r in graphs.communities(edges, "g").collect()}
-    assert len({of[i] for i in range(4)}) == 1 and of[0] != of[10]
+    for method in ("louvain", "leiden"):
+        of = {r["node"]: r["community"] for r in graphs.communities(edges, "g", method).collect()}
+        assert len({of[i] for i in range(4)}) == 1 and of[0] != of[10] and sorted(set(of.values())) == [0, 1]
+
+
+def test_communities_have_a_good_modularity(spark):
+    rng = random.Random(8)
+    rows = [("d", a, b, 1.0) for a in range(120) for b in range(a + 1, 120) if rng.random() < (0.5 if a % 6 == b % 6 else 0.02)]
+    edges = spark.createDataFrame(rows, "g string, a long, b long, w double")
+    of = graphs.communities(edges, "g")
+    planted = spark.range(120).selectExpr("id node", "id % 6 community")
+    q = lambda of: graphs.modularity(edges.drop("g"), of.select("node", "community")).first()["q"]
+    assert q(of) > 0.9 * q(planted)
 
 
 def test_mmr_with_full_trade_is_top_k(spark):

@@ -1,4 +1,4 @@
-"""The whole_ queries against brute force over every order."""
+"""The graph queries against brute force over every order."""
 
 import collections
 
@@ -33,13 +33,13 @@ def depths(near, start, hops):
 
 
 def test_bfs(spark, near):
-    got = {tuple(r) for r in registry.QUERIES["whole_graph_bfs"](spark, DATA).select("start", "node", "depth").collect()}
+    got = {tuple(r) for r in registry.QUERIES["graph_bfs"](spark, DATA).select("start", "node", "depth").collect()}
     assert got == {(s, n, d) for s in STARTS for n, d in depths(near, s, 3).items()}
     assert len(got) > len(STARTS)
 
 
 def test_components(spark, near):
-    got = {r["node"]: r["component"] for r in registry.QUERIES["whole_graph_components"](spark, DATA).collect()}
+    got = {r["node"]: r["component"] for r in registry.QUERIES["graph_components"](spark, DATA).collect()}
     want = {}
     for n in sorted(near):
         if n not in want:
@@ -55,10 +55,10 @@ def test_chains(spark, edges):
     for _ in range(3):
         front = [((*p, b), c * (0.5 + b % 5 / 10)) for p, c in front for b in ahead[p[-1]] if b not in p]
         want += [(">".join(map(str, p)), round(c, 4), len(p) - 1) for p, c in front]
-    got = [(r["path"], round(r["confidence"], 4), r["depth"]) for r in registry.QUERIES["whole_graph_chains"](spark, DATA).collect()]
+    got = [(r["path"], round(r["confidence"], 4), r["depth"]) for r in registry.QUERIES["graph_chains"](spark, DATA).collect()]
     assert sorted(got) == sorted(want) and got
 
 
 def test_degrees_count_every_order(spark, edges):
-    got = registry.QUERIES["whole_graph_degrees"](spark, DATA).agg({"degree": "sum"}).first()[0]
+    got = registry.QUERIES["graph_degrees"](spark, DATA).agg({"degree": "sum"}).first()[0]
     assert got == 2 * len(edges)
