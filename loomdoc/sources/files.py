@@ -107,43 +107,106 @@ def _hwpx(archive: zipfile.ZipFile) -> list[str]:
     return _paragraphs(archive, _numbered(archive, r"Contents/section(\d+)\.xml"), "p", "t")
 
 
-def _xlsx(archive: zipfile.ZipFile) -> list[str]:
-    """The rows of the first sheet below its header, as lines of "column: value"."""
+def _sheets(archive: zipfile.ZipFile) -> list[str]:
+    """The worksheets in the workbook's order; in that of their numbers where it lists none."""
+    local = lambda e: e.tag.rpartition("}")[2]
+    names = set(archive.namelist())
+    if not {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        return _numbered(archive, r"xl/worksheets/sheet(\d+)\.xml")
+    targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.parse(archive.open("xl/_rels/workbook.xml.rels")).iter() if local(r) == "Relationship"}
+    ids = [next((v for k, v in s.attrib.items() if k.rpartition("}")[2] == "id"), None) for s in ElementTree.parse(archive.open("xl/workbook.xml")).iter() if local(s) == "sheet"]
+    paths = [t.lstrip("/") if t.startswith("/") else f"xl/{t}" for t in (targets.get(i, "") for i in ids)]
+    return [p for p in paths if p in names]
+
+
+def _xlsx(archive: zipfile.ZipFile, content: str | None = None, sheet: int = 0) -> list[str]:
+    """The rows of a sheet below its header: the column ``content``, or lines of "column: value"."""
     local = lambda e: e.tag.rpartition("}")[2]
     shared = _paragraphs(archive, ["xl/sharedStrings.xml"], "si", "t") if "xl/sharedStrings.xml" in archive.namelist() else []
-    sheets = _numbered(archive, r"xl/worksheets/sheet(\d+)\.xml")
+    sheets = _sheets(archive)
     header: dict[str, str] = {}
     out = []
-    for row in ElementTree.parse(archive.open(sheets[0])).iter() if sheets else ():
+    for row in ElementTree.parse(archive.open(sheets[sheet])).iter() if sheet < len(sheets) else ():
         if local(row) != "row":
             continue
         cells = {}
         for c in row:
             value = "".join(x.text or "" for x in c.iter() if local(x) in ("v", "t"))
             cells[re.sub(r"\d", "", c.get("r", ""))] = shared[int(value)] if c.get("t") == "s" and value else value
-        if header:
-            out.append("\n".join(f"{header.get(k) or k}: {v}" for k, v in cells.items() if v))
-        else:
+        if not header:
             header = cells
+        elif content:
+            out.append("".join(v for k, v in cells.items() if header.get(k) == content))
+        else:
+            out.append("\n".join(f"{header.get(k) or k}: {v}" for k, v in cells.items() if v))
     return out
 
 
-OFFICE: dict[str, Callable[[zipfile.ZipFile], list[str]]] = {"docx": _docx, "hwpx": _hwpx, "xlsx": _xlsx}
-
+def compound_stream(data: bytes, name: str) -> bytes | None:
+    """A stream of a compound binary file by its name, None if there is none. Chains that run in circles end."""
+    word = lambda at: int.from_bytes(data[at : at + 4], "little")
+    if data[:8] != b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
+        raise ValueError("no compound file")
+    size, small = 1 << int.from_bytes(data[30:32], "little"), 1 << int.from_bytes(data[32:34], "little")
+    last = 0xFFFF_FFFA  # marks of ends and free places are greater
+    at = lambda k: data[size * (k + 1) : size * (k + 2)]
+    words = lambda b: [int.from_bytes(b[i : i + 4], "little") for i in range(0, len(b) - 3, 4)]
+    tables, more, seen = words(data[76:512]), word(68), 0
+    while more < last and seen < len(data) // size:
+        *entries, more = words(at(more))
+        tables, seen = tables + entries, seen + 1
+    places = [x for k in tables if k < last for x in words(at(k))]
+
+    def chain(k: int, next_: list[int], piece: Callable[[int], bytes]) -> bytes:
+        out = []
+        while k < len(next_) and len(out) <= len(next_):
+            out.append(piece(k))
+            k = next_[k]
+        return b"".join(out)
+
+    folder = chain(word(48), places, at)
+    entries = [folder[i : i + 128] for i in range(0, len(folder) - 127, 128)]
+    begin = lambda e: int.from_bytes(e[116:120], "little")
+    for e in entries:
+        if e[: max(0, int.from_bytes(e[64:66], "little") - 2)].decode("utf-16-le", "replace") == name:
+            length = int.from_bytes(e[120:128], "little")
+            if length >= word(56):
+                return chain(begin(e), places, at)[:length]
+            body = chain(begin(next(r for r in entries if r[66] == 5)), places, at)
+            return chain(begin(e), words(chain(word(60), places, at)), lambda k: body[small * k : small * (k + 1)])[:length]
+    return None
+
+
+def preview_paragraphs(data: bytes) -> list[str]:
+    """The paragraphs of the preview text that a HWP file carries, up to its first NUL."""
+    text = (compound_stream(data, "PrvText") or b"").decode("utf-16-le", "ignore").partition("\0")[0]
+    return re.split(r"\r?\n\s*\r?\n", text.strip())
+
+
+OFFICE: dict[str, Callable[..., list[str]]] = {"docx": _docx, "hwpx": _hwpx, "xlsx": _xlsx}
+
+
+def read_office(spark: SparkSession, path: str, kind: str, **options: str | int) -> DataFrame:
+    """``kind``: docx or hwpx (a section for each paragraph), xlsx (for each row; options content and sheet) or hwp (for each paragraph of its preview text).
+
+    A broken file gives one section of type error.
+    """
 
-def read_office(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """``kind``: docx or hwpx (a section for each paragraph) or xlsx (for each row). A broken file gives one section of type error."""
-    unpack = OFFICE[kind]
+    def unpack(content: bytes) -> list[str]:
+        if kind == "hwp":
+            return preview_paragraphs(content)
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            return OFFICE[kind](archive, **options)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        texts, type_ = [t.strip() for t in unpack(archive)], kind
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
+                    texts, type_ = [t.strip() for t in unpack(content)], kind
+                except (zipfile.BadZipFile, KeyError, ValueError, StopIteration, ElementTree.ParseError) as e:
                     texts, type_ = [str(e)], "error"
                 texts = [t for t in texts if t]
-                yield pd.DataFrame({"path": name, "section_index": range(len(texts)), "section_type": type_, "title": "", "text": texts})
+                if texts:
+                    yield pd.DataFrame({"path": name, "section_index": range(len(texts)), "section_type": type_, "title": "", "text": texts})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)

@@ -83,3 +83,40 @@ def test_traces_are_cut_and_parted_by_day(spark, tmp_path):
     sinks.append_traces(df, str(tmp_path / "t"), 10)
     sinks.append_traces(df, str(tmp_path / "t"), 10)
     assert [(r["question"], str(r["day"])) for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [("q" * 10, "2024-01-02")] * 2
+
+
+def compound(name, body):
+    """A compound file of one small stream: tables, folder, small table and small body in a sector each."""
+    word = lambda *xs: b"".join(x.to_bytes(4, "little") for x in xs)
+    end, free = 0xFFFFFFFE, 0xFFFFFFFF
+
+    def entry(n, kind, start, size):
+        raw = n.encode("utf-16-le") + b"\0\0"
+        return raw.ljust(64, b"\0") + len(raw).to_bytes(2, "little") + bytes([kind]) + bytes(49) + word(start) + size.to_bytes(8, "little")
+
+    head = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + bytes(16) + (62).to_bytes(2, "little") + (3).to_bytes(2, "little") + b"\xfe\xff" + (9).to_bytes(2, "little") + (6).to_bytes(2, "little")
+    head = head.ljust(44, b"\0") + word(1, 1, 0, 4096, 2, 1, end, 0) + word(0) + word(*[free] * 108)
+    pad = lambda b, fill=b"\0": b.ljust(512, fill)
+    n = -(-len(body) // 64)
+    fat = pad(word(0xFFFFFFFD, end, end, end), b"\xff")
+    folder = pad(entry("Root Entry", 5, 3, 64 * n) + entry(name, 2, 0, len(body)))
+    return pad(head) + fat + folder + pad(word(*range(1, n), end), b"\xff") + pad(body)
+
+
+def test_preview_text_of_hwp(spark, tmp_path):
+    body = "첫 문단\r\n이어서\r\n \r\n둘째 문단\0rest".encode("utf-16-le")
+    (tmp_path / "a.hwp").write_bytes(compound("PrvText", body))
+    (tmp_path / "b.hwp").write_bytes(b"not a compound file")
+    got = sorted((r["path"][-5:], r["section_type"], r["text"]) for r in files.read_office(spark, str(tmp_path / "*.hwp"), "hwp").collect())
+    assert got == [("a.hwp", "hwp", "둘째 문단"), ("a.hwp", "hwp", "첫 문단\r\n이어서"), ("b.hwp", "error", "no compound file")]
+
+
+def test_sheets_in_the_workbooks_order(spark, tmp_path):
+    row = lambda *cells: "<row>" + "".join(f'<c r="{c}1" t="inlineStr"><is><t>{v}</t></is></c>' for c, v in zip("AB", cells)) + "</row>"
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", '<w xmlns:r="x"><sheets><sheet r:id="r2"/><sheet r:id="r1"/></sheets></w>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<R><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></R>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<s>{row('q', 'a')}{row('one', 'x')}</s>")
+        z.writestr("xl/worksheets/sheet2.xml", f"<s>{row('q', 'a')}{row('two', 'y')}{row('', '')}</s>")
+    read = lambda **options: [r["text"] for r in files.read_office(spark, str(tmp_path / "w.xlsx"), "xlsx", **options).collect()]
+    assert read() == ["q: two\na: y"] and read(sheet=1) == ["q: one\na: x"] and read(content="a") == ["y"] and read(sheet=5) == []
