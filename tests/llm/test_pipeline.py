@@ -69,3 +69,40 @@ def test_one_row_of_each_group_of_near_copies_stays(spark):
         assert group[0][1] in (None, "") or len(here) == 1 and (here[0][0] is None, here[0][0] or 0) == best
     linked = {r["doc_id"]: r["component_id"] for r in jaccard_join.components(docs, 5, 80, 100).collect() if r["doc_id"] in (20, 21)}
     assert linked == {20: 20, 21: 20}
+
+
+def test_equal_rows_share_their_copies(spark, monkeypatch):
+    import corpus_pipeline as p
+    from loomdoc.llm import mixing
+
+    monkeypatch.setattr(p, "RUN", 3)
+    rows = [(1, "a b c", "en", "x", 5)] * 9 + [(1, "a b c", "de", "x", 5), (1, "other text", "en", "x", 5), (None, "d e", "en", "y", 1), (None, "d e", "fr", "y", 1), (None, None, None, None, None)]
+    rows += [(i, "w " * (i % 9 + 1), "en", "z", i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _t long").repartition(3)
+    got = p.mix_sources(spark, docs, "")
+    assert got.columns == docs.columns
+    count = collections.Counter(tuple(r) for r in got.collect())
+    assert set(count) <= set(rows)
+    want = collections.Counter()
+    for r in mixing.mix(docs, keep=["lang"]).collect():
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    by = collections.Counter()
+    for r, n in count.items():
+        by[r[0], r[3], len((r[1] or "").split())] += n
+    assert by == +want and count[rows[0]] > 3
+    assert collections.Counter(tuple(r) for r in p.mix_sources(spark, docs.repartition(5), "").collect()) == count
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline as p
+
+    names = "_t long, _u int, _score double, _row string, node long, n long, item_id long, s int, block long, size string"
+    rows = [(i, f"some words of text number {i} and more of them " * 3, "en", "ab"[i % 2], 9, 1, 2, 0.5, "r", 4, 5, 6, 7, 8, "s") for i in range(30)]
+    rows += [rows[3], (None, None, None, None, None, *[None] * 10), (31, "", "en", "a", 0, *[None] * 10)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert {tuple(r) for r in out.collect()} <= set(rows), name
