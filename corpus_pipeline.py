@@ -2,6 +2,11 @@
 
 Each stage works on all that its predecessor kept. STAGES can be run one by one, each result
 written as Parquet and read again, or all together by ``run``.
+
+Every stage takes: null doc_ids (rows as any other), null and empty texts (they score as texts without
+toxic words, are no copies, hold no item, take no words and have size 16), null sources (a source of their own),
+repeated rows (near copies: one of them stays; a later stage treats each as a row), a doc_id with several
+texts (each text is judged on its own), very long texts (whole), empty tables (no rows), and more columns of any names (kept up to the last stage).
 """
 
 from __future__ import annotations
@@ -21,9 +26,10 @@ RUN = 1_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the field scores below 1/2. The labels are those of the corpus."""
+    """Documents that the field scores below 1/2. The labels are those of the corpus; without usable ones all documents stay."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("_score") < 0.5).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_all"), "text")
+    return toxicity.score(rows, model).filter(F.col("_score") < 0.5).select("_all.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
