@@ -196,3 +196,50 @@ def spaceless_names(spark: SparkSession, sf: str) -> DataFrame:
 def ingest_chunks(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("doc"), F.lit(0).alias("section_index"), "text", F.col("source").alias("title"))
     return ops.ingest(docs, {"the": "***"}, title="title")["chunks"].select("doc", "n", "enriched")
+
+
+@query("""SELECT o_custkey AS law, count(*) AS hits, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AS imported FROM orders GROUP BY o_custkey""")
+def known_laws(spark: SparkSession, sf: str) -> DataFrame:
+    found = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("law")).agg(F.count(F.lit(1)).alias("hits"))
+    return statutes.known_laws(found, table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("law")), "law")
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') ILIKE '%1%' AND CAST(json_extract_string(props, '$.k') AS BIGINT) > 10""")
+def json_predicate(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    return table(spark, sf, "events").filter(tx.like_literal(k, "1") & (k.cast("long") > 10)).select("event_id", k.cast("long").alias("k"))
+
+
+@query("""SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 5 DAY AND CAST(ts AS DATE) <= DATE '2024-01-20'""")
+def relative_days(spark: SparkSession, sf: str) -> DataFrame:
+    as_of = F.lit("2024-01-20 12:00:00").cast("timestamp_ntz")
+    return table(spark, sf, "events").filter((F.col("ts") > as_of - F.expr("INTERVAL 5 DAYS")) & (F.to_date("ts") <= F.to_date(as_of))).select("event_id")
+
+
+@query("""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' added words' ELSE text END AS t FROM documents) SELECT doc_id, len(regexp_extract_all(lower(t), '[\\p{L}\\p{N}_]+')) AS n, sha256(array_to_string(regexp_extract_all(lower(t), '[\\p{L}\\p{N}_]+'), ' ')) AS vector FROM n""")
+def derived_column(spark: SparkSession, sf: str) -> DataFrame:
+    """A text vector that the write path derives again for the rows that an update changes."""
+    vector = lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}_]+"), 0)
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.lit(0).alias("version")).withColumn("tokens", vector("text"))
+    changed = docs.filter("doc_id % 3 = 0").select("doc_id", F.concat("text", F.lit(" added words")).alias("text"), F.lit(1).alias("version"))
+    rows = mutations.upsert(docs, changed.withColumn("tokens", vector("text")), ["doc_id"], "version")
+    return rows.select("doc_id", F.size("tokens").alias("n").cast("long"), F.sha2(F.array_join("tokens", " "), 256).alias("vector"))
+
+
+@query("""SELECT 'k' || p_size AS key, '{"v":' || max(p_partkey) || '}' AS value FROM part GROUP BY p_size""")
+def settings_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "part").select(F.concat(F.lit("k"), F.col("p_size").cast("string")).alias("key"), F.to_json(F.struct(F.col("p_partkey").alias("v"))).alias("value"), F.col("p_partkey").alias("version"))
+    old = rows.groupBy("key").agg(F.min(F.struct("version", "value")).alias("m")).select("key", "m.value", "m.version")
+    return mutations.upsert(old, rows, ["key"], "version").select("key", "value")
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 ORDER BY o_orderdate DESC, o_orderkey LIMIT 50""")
+def owner_list(spark: SparkSession, sf: str) -> DataFrame:
+    orders = relational.where(table(spark, sf, "orders"), o_custkey=7, o_orderstatus=None)
+    return orders.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey", "o_totalprice")
+
+
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_name = 'Customer#000000011' AND c_nationkey BETWEEN 0 AND 24""")
+def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    found = relational.where(table(spark, sf, "customer"), c_name="Customer#000000011", c_nationkey=list(range(25)))
+    return found.select("c_custkey", "c_name")
