@@ -3,7 +3,8 @@
 Documents are sets of word shingles; two link when their Jaccard similarity is at least
 num / den. The result is each document's set size and the least document of its component.
 
-1. Equal sets are one node, named by the hash of the set; copies cost one row each.
+1. Equal sets are one node, named by the hash of the set; copies cost one row each. A second hash
+   tells different sets of one name apart, and all but one of them get a name of their own.
 2. Cells bring together what can link, without loss. Sets of one class of sizes differ in
    at most D shingles if they link. The hash range is cut into K > D cells, so some cells
    of two such sets are equal; a cell is sent as the hash of its content. If a set has so
@@ -22,7 +23,8 @@ num / den. The result is each document's set size and the least document of its
 
 Null or empty text, or no words: an empty set, linked with nothing. Fewer words than a
 shingle: the whole sequence is the one shingle. Null doc_id: kept, linked as any
-other, and never the name of a component that has other documents. Repeated rows: copies. Empty table: no rows.
+other, and never the name of a component that has other documents. Repeated rows: copies. Very long texts:
+one text's hashes are held at a time. Empty table: no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ NUM, DEN = 85, 100
 BLOCK_SETS = 512
 BLOCK_SHINGLES = 2_000_000
 PIVOT_SETS = 8
+#: Bits of a set's name.
+NAME_BITS = 63
 #: Node ids that may be broadcast; more go through a shuffle.
 BROADCAST_NODES = 500_000
 
@@ -65,9 +69,17 @@ def _sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
             yield shingles(hashes[a:z], width)
 
 
-def set_hash(tokens: np.ndarray) -> int:
-    """A 63-bit name of a set: nodes are compared and stored as longs."""
-    return int(mixed(np.sum(mixed(tokens + np.uint64(11)), dtype=np.uint64, keepdims=True) + np.uint64(len(tokens)))[0] >> np.uint64(1))
+def set_name(tokens: np.ndarray, bits: int = NAME_BITS) -> tuple[int, int]:
+    """A name of a set, of 63 bits as nodes are compared and stored as longs, and a check of 32 more bits that is independent of it."""
+    spread = mixed(tokens + np.uint64(11))
+    name = int(mixed(np.sum(spread, dtype=np.uint64, keepdims=True) + np.uint64(len(tokens)))[0] >> np.uint64(64 - bits))
+    return name, int(mixed(np.bitwise_xor.reduce(spread, keepdims=True))[0] >> np.uint64(32)) - (1 << 31)
+
+
+def other_name(name, check):
+    """The name of a set whose own name stands for another one. Of numbers or of columns."""
+    shifted = (check + (1 << 31)) * (1 << 24) + (1 << 20)
+    return name.bitwiseXOR(shifted) if isinstance(name, Column) else name ^ shifted
 
 
 def size_classes(most: int) -> list[int]:
@@ -118,21 +130,34 @@ def _lowered(batch: pd.DataFrame) -> list[bytes]:
     return [(t or "").encode().translate(LOWER) for t in batch["text"]]
 
 
-def describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, key (of the text), node, n, need, cells of each document. A task sends the cells of equal sets once."""
+def describe(docs: DataFrame, width: int, num: int, den: int, name_bits: int = NAME_BITS) -> DataFrame:
+    """doc_id, key (of the text), node, check, n, need, cells of each document. A task sends the cells of equal sets once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             rows = []
             for tokens in _sets(_lowered(batch), width):
-                node = set_hash(tokens)
-                found, need = (None, 1) if node in seen or not len(tokens) else cells(tokens, num, den)
-                rows.append((node, len(tokens), need, found))
-                seen.add(node)
-            yield pd.DataFrame(rows, columns=["node", "n", "need", "cells"]).assign(doc_id=batch["doc_id"].to_numpy(), key=batch["key"].to_numpy())[["doc_id", "key", "node", "n", "need", "cells"]]
+                name = set_name(tokens, name_bits)
+                found, need = (None, 1) if name in seen or not len(tokens) else cells(tokens, num, den)
+                rows.append((*name, len(tokens), need, found))
+                seen.add(name)
+            out = pd.DataFrame(rows, columns=["node", "check", "n", "need", "cells"])
+            yield out.assign(doc_id=batch["doc_id"].to_numpy(), key=batch["key"].to_numpy())[["doc_id", "key", "node", "check", "n", "need", "cells"]]
+
+    return docs.select("doc_id", "text", text_key(F.col("text")).alias("key")).mapInPandas(run, "doc_id long, key long, node long, check int, n int, need int, cells array<long>")
+
 
-    return docs.select("doc_id", "text", text_key(F.col("text")).alias("key")).mapInPandas(run, "doc_id long, key long, node long, n int, need int, cells array<long>")
+def _named_apart(described: DataFrame) -> DataFrame:
+    """``described`` with nodes that stand for one set each: of the sets of one name the one of least check keeps it."""
+    names = described.filter("n > 0").groupBy("node").agg(F.min("check").alias("_keeps"), F.max("check").alias("_last"))
+    shared = cut(names.filter("_keeps <> _last").select("node", "_keeps"))
+    if shared.isEmpty():
+        return described
+    few = shared.count() <= BROADCAST_NODES
+    rows = described.join(F.broadcast(shared) if few else shared, "node", "left")
+    own = F.when(F.col("n") == 0, F.col("node")).when(F.col("check") != F.col("_keeps"), other_name(F.col("node"), F.col("check").cast("long"))).otherwise(F.col("node"))
+    return rows.withColumn("node", own).select(described.columns)
 
 
 def _shared(held: DataFrame) -> DataFrame:
@@ -182,7 +207,7 @@ def _banded(members: DataFrame, num: int, den: int) -> DataFrame:
     return cut(banded.join(parts, ["cluster", "band"]))
 
 
-def _links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int, name_bits: int) -> DataFrame:
     """Links a, b within the clusters of ``members`` (node, cluster, doc_id, key, n). A task sends the shingles of repeated rows once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,7 +215,9 @@ def _links(docs: DataFrame, members: DataFrame, width: int, num: int, den: int)
         for batch in batches:
             tokens = list(_sets(_lowered(batch), width))
             nodes = batch["node"].tolist()
-            own = [set_hash(t) == node and node not in seen and not seen.add(node) for t, node in zip(tokens, nodes)]  # two texts may have one key
+            names = [set_name(t, name_bits) for t in tokens]
+            fits = [node in (name, other_name(name, check)) for (name, check), node in zip(names, nodes)]  # two texts may have one key
+            own = [fit and node not in seen and not seen.add(node) for fit, node in zip(fits, nodes)]
             out = batch[["node", "cluster", "band", "parts"]].assign(tokens=[t.view(np.int64) for t in tokens])
             yield out[own]
 
@@ -242,9 +269,10 @@ def _undecided(large: DataFrame, links: DataFrame) -> DataFrame:
     return placed.join(ends, ["cluster", "block"]).select("node", "label", F.struct("cluster", "pair").alias("pair"))
 
 
-def grouped(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
+def grouped(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, name_bits: int = NAME_BITS) -> DataFrame:
     """doc_id, key, n, component (its name among the sets; null for an empty set), least (its least doc_id) of each row of ``docs`` (doc_id, text)."""
-    with stored(describe(docs, width, num, den)) as described:
+    with stored(describe(docs, width, num, den, name_bits)) as described:
+        described = _named_apart(described)
         sets = cut(described.select("doc_id", "key", "node", "n"))
         clusters = _clusters(described)
     # any one text stands for a set; rows without a doc_id stand for it where no other does
@@ -252,16 +280,16 @@ def grouped(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN)
     nodes = sets.filter("n > 0").groupBy("node").agg(first, F.first("n").alias("n"))
     nodes = cut(nodes.select("node", F.col("_first.doc_id").alias("doc_id"), F.col("_first.key").alias("key"), "n"))
     members = cut(clusters.join(nodes, "node"))
-    linked = connected_components(_links(docs, members, width, num, den))
+    linked = connected_components(_links(docs, members, width, num, den, name_bits))
     of = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("least"))
     of = of.join(least, "component").select("node", "component", "least")
     return sets.join(of, "node", "left").select("doc_id", "key", "n", *[F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("component", "least")])
 
 
-def components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
+def components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, name_bits: int = NAME_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
-    out = grouped(docs, width, num, den)
+    out = grouped(docs, width, num, den, name_bits)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 

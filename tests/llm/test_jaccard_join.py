@@ -6,8 +6,9 @@ from llm_helpers import SCHEMA, sets_of
 from loomdoc.llm import jaccard_join, signature_tree
 
 
-@pytest.mark.parametrize(("width", "num", "block"), [(4, 85, 512), (4, 85, 4), (5, 80, 6)])
-def test_jaccard_join(spark, rows, width, num, block, monkeypatch):
+@pytest.mark.parametrize(("width", "num", "block", "bits"), [(4, 85, 512, 63), (4, 85, 4, 3), (5, 80, 6, 63)])
+def test_jaccard_join(spark, rows, width, num, block, bits, monkeypatch):
+    """Also where many sets share a name, as with 3 bits."""
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
     base = [("k%d " % i) for i in range(200)]
     rng = random.Random(num + block)
@@ -18,7 +19,7 @@ def test_jaccard_join(spark, rows, width, num, block, monkeypatch):
             w[rng.randrange(200)] = "z%d " % rng.randrange(5)
         near.append((1_000 + i, "".join(w), "en", "a", 1, 1, 1, "", ""))
     rows = [r for r in rows if r[0] is not None] + near
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(spark.createDataFrame(rows, SCHEMA), width, num, 100).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(spark.createDataFrame(rows, SCHEMA), width, num, 100, bits).collect()}
     sets = {r[0]: sets_of(r[1], width) for r in rows}
     root = {i: i for i in sets}
 
