@@ -5,13 +5,13 @@ many words as an item. A window without any shingle of an item has similarity 0,
 are made where a word position of a text holds an item's shingle: the window that lines the
 two up. A window's shingles, weighted by rarity among the items, give a 64-bit SimHash.
 
-Candidates come from a multi-index alone. A fingerprint is cut into ``BLOCKS`` parts; a pair
+Candidates come from a multi-index alone. A fingerprint is cut into ``BLOCKS`` parts of 12 or 13 bits; a pair
 within the radius differs in radius / BLOCKS bits at most in one of them. So the index holds
-each item's parts with all flips of so many bits, and a window looks up its own parts as they
+each item's parts with all flips of so many bits (one value in 14 to 22 of a part), and a window looks up its own parts as they
 are: every item within the radius is found, whichever shingle made the window. These
 pairs are verified by the exact weighted Jaccard similarity of their shingle sets, ``SIMILARITY`` or more.
 The radius is where this can lose: a pair of similarity 0.8 differs in 9.7 bits on average with a
-deviation of 2.9, so about 2 % of the pairs at the very limit are farther apart than 15.
+deviation of 2.9, so about 1 in 1,000 of the pairs at the very limit is farther apart than 19.
 
 The result has one row for each distinct doc_id and item: the best window, the first one of equal
 ones. Equal texts are searched once; texts are told apart by 96 bits. Items or documents of fewer than five
@@ -32,9 +32,9 @@ from loomdoc.session import cut, table
 
 WIDTH = 5
 SIMILARITY = 0.8
-RADIUS = 15
-#: Parts of a fingerprint, of 64 / BLOCKS bits.
-BLOCKS = 4
+RADIUS = 19
+#: Parts of a fingerprint, of about 64 / BLOCKS bits.
+BLOCKS = 5
 BROADCAST_ROWS = 500_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 TEXT = ["_t", "_u"]
@@ -70,14 +70,15 @@ def fingerprint(shingles: Column) -> Column:
 
 
 def parts(print_: Column, blocks: int = BLOCKS) -> Column:
-    """(block, value) of the equal parts of a fingerprint."""
-    bits = 64 // blocks
-    return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(print_, bits * k).bitwiseAND(F.lit((1 << bits) - 1)).alias("value")) for k in range(blocks)])
+    """(block, bits, value) of the parts of a fingerprint."""
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    cut_ = lambda lo, hi: F.shiftrightunsigned(print_, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+    return F.array(*[F.struct(F.lit(k).alias("block"), F.lit(hi - lo).alias("bits"), cut_(lo, hi).alias("value")) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))])
 
 
 def flips(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
-    """The masks of a part that a fingerprint within the radius may differ by in one part at least."""
-    return [m for m in range(1 << (64 // blocks)) if m.bit_count() <= radius // blocks]
+    """The masks of the widest part that a fingerprint within the radius may differ by in one part at least."""
+    return [m for m in range(1 << -(-64 // blocks)) if m.bit_count() <= radius // blocks]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -110,10 +111,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     pairs = cut(pairs.withColumn("print", fingerprint(F.col("window"))))
 
     masks = F.array(*[F.lit(m) for m in flips(radius)])
-    flipped = F.transform(masks, lambda m: F.col("b.value").bitwiseXOR(m))
+    flipped = F.transform(F.filter(masks, lambda m: m < F.pow(F.lit(2), F.col("b.bits"))), lambda m: F.col("b.value").bitwiseXOR(m))
     index = own.select("item", "length", "item_print", F.explode(parts(F.col("item_print"))).alias("b"))
     index = index.select("item", F.col("length").alias("item_length"), "item_print", "b.block", F.explode(flipped).alias("value"))
-    probes = pairs.select(*TEXT, "at", "length", "print", F.explode(parts(F.col("print"))).alias("b")).select(*TEXT, "at", "length", "print", "b.*")
+    probes = pairs.select(*TEXT, "at", "length", "print", F.explode(parts(F.col("print"))).alias("b")).select(*TEXT, "at", "length", "print", "b.block", "b.value")
     near = probes.join(_small(index, n_items * BLOCKS * len(flips(radius))), ["block", "value"]).filter("length = item_length")
     near = near.withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).filter(F.col("distance") <= radius)
     near = near.select(*TEXT, "at", "length", "item", "distance").distinct()
