@@ -177,14 +177,12 @@ def cover_density(found: DataFrame, terms: DataFrame, id_: str, query: str, all_
     by = Window.partitionBy(query, id_).orderBy("place")
     # the last place of each word so far; the cover that ends here begins at the least of them
     at = at.withColumn("_n", F.row_number().over(by)).withColumn("_inverse", F.sum(1 / F.col("weight")).over(by))
-    ends = at.select(query, id_, "place", "_n", "_inverse", "weight", F.explode("_at").alias("word_no"))
-    word = Window.partitionBy(query, id_, "word_no").orderBy("place")
-    upto = ends.withColumn("_until", F.coalesce(F.lead("place").over(word), F.lit(2**31 - 1)))
-    spans = at.select(query, id_, F.col("place").alias("end"), F.col("_n").alias("_last"), F.col("_inverse").alias("_upto")).join(
-        upto.select(query, id_, "word_no", "place", "_until", "_n", (F.col("_inverse") - 1 / F.col("weight")).alias("_before")), [query, id_]
-    )
-    spans = spans.filter("place <= end and end < _until").groupBy(query, id_, "end", "_last", "_upto").agg(F.count(F.lit(1)).alias("_held"), F.min(F.struct("place", "_n", "_before")).alias("first"))
-    spans = spans.join(n_words, query).filter("_held = _words")
+    here = F.struct("place", "_n", (F.col("_inverse") - 1 / F.col("weight")).alias("_before"))
+    most = (terms.agg(F.max("word_no")).first()[0] or 0) + 1  # words of the longest query
+    last = [F.max(F.when(F.array_contains("_at", k), here)).over(by).alias(f"_last{k}") for k in range(most)]
+    at = at.select(query, id_, F.col("place").alias("end"), F.col("_n").alias("_last"), F.col("_inverse").alias("_upto"), *last).join(n_words, query)
+    begins = F.array(*[F.when(F.lit(k) < F.col("_words"), F.col(f"_last{k}")) for k in range(most)])
+    spans = at.filter(F.size(F.array_compact(begins)) == F.col("_words")).withColumn("first", F.array_min(begins))
     covers = spans.withColumn("_earlier", F.lag("first.place").over(Window.partitionBy(query, id_).orderBy("end"))).filter("_earlier is null or first.place > _earlier")
     n = F.col("_last") - F.col("first._n") + 1
     noise = F.greatest(F.col("end") - F.col("first.place") - (n - 1), F.lit(0))
