@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomdoc.llm import decontamination, jaccard_join, licenses, mixing, quality, secrets, sharding, substrings, token_counts, toxicity
+from loomdoc.llm import alignment, decontamination, jaccard_join, languages, licenses, mixing, quality, secrets, sharding, substrings, token_counts, toxicity, whitening
 
 QUERIES = {
     "op1_license_scan": licenses.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_decontamination": decontamination.query,
     "op9_quality_rules": quality.query,
     "op10_substring_dedup": substrings.query,
+    "op11_token_alignment": alignment.query,
+    "op12_language_id": languages.query,
+    "op13_embedding_whitening": whitening.query,
     "op1_license_scan_all": licenses.query_all,
 }
 
