@@ -2,8 +2,7 @@
 
 Targets: sources in code-point order (null last) weigh 5, 2, 1, 5, ...; they share all
 words, no target passes ``max_repeat`` times its source's words, and the excess is
-shared again by weight (water filling, solved by one sorted cumulative sum over the
-table of sources). A document then wants target / words of the source copies: the whole
+shared again by weight (water filling: sums over the table of sources raise the level until it stands). A document then wants target / words of the source copies: the whole
 part is sure, and the fraction is rounded by the pivotal method. Two fractions meet and
 move mass at random until one is 0 or 1, so the sum stays and each document keeps its
 own expectation.
@@ -14,7 +13,8 @@ left for each source and size, and these fold from long to short. As partners ha
 one size, the taken words stay near the target, within about the longest document. A
 hot source is only more blocks: rows learn their source's number of blocks from a broadcast
 of up to ``BROADCAST_KEYS`` counts (beyond that by a join), and are then dealt by block. Random numbers are hashes of the two documents,
-so reruns agree.
+so reruns agree. Equal rows travel as one row with their number, and are told apart by it when they are dealt to blocks, so
+many repeats are many blocks like any other rows.
 
 Null source: a source of its own, the last. Null or empty text: size 0, takes no words. Very long
 texts: only their number of words goes on. Repeated rows and ties are rounded one by one; null doc_ids
@@ -38,24 +38,53 @@ SEED = 7_001
 #: Documents of a block differ in size by at most this many parts of an octave.
 PER_OCTAVE = 8
 BROADCAST_KEYS = 100_000
+#: Sources that one task numbers.
+SLICE = 100_000
+#: Equal rows that one task counts out at once.
+RUN = 1_000
+
+
+def _numbered(sources: DataFrame) -> DataFrame:
+    """``sources`` with s: its place, from 1, in code-point order, null last; a slice of ``SLICE`` sources at a time."""
+    parts = max(1, -(-sources.count() // SLICE))
+    order = F.col("source").asc_nulls_last()
+    dealt = cut(sources.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id()))
+    ahead, total = [], 0
+    for r in dealt.groupBy("_p").count().orderBy("_p").collect():  # one row for each slice
+        ahead.append((r["_p"], total))
+        total += r["count"]
+    before = F.broadcast(sources.sparkSession.createDataFrame(ahead, "_p int, _before long"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(order))
+    return dealt.join(before, "_p").withColumn("s", place + F.col("_before")).drop("_p", "_before")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT) -> DataFrame:
-    """source, source_size -> with target. One row for each source: a small table, so whole-table windows are fine."""
-    every = Window.partitionBy()
-    by_name = every.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    sized = sizes.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * F.lit(float(max_repeat)))
-    # sources that stop at their cap come first in this order
-    order = every.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    sized = sized.withColumn("_total", F.sum("source_size").over(every).cast("double"))
-    left = F.col("_total") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
-    weights_left = F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
-    sized = sized.withColumn("_level", left / weights_left)
-    level = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.struct((F.col("_cap") / F.col("_w")).alias("at"), F.col("_level").alias("level")))).over(every)["level"]
-    target = F.least(F.col("_cap"), F.coalesce(level * F.col("_w"), F.col("_cap")))
-    return sized.withColumn("target", target).select("source", "source_size", "target")
+    """source, source_size -> with s (see ``_numbered``) and target. One row for each source, any number of them."""
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("s") - 1) % len(weights) + 1).cast("int"))
+    sized = cut(_numbered(sizes).withColumn("_w", weight).withColumn("_cap", F.col("source_size") * F.lit(float(max_repeat))))
+    total = sized.agg(F.sum("source_size")).first()[0] or 0
+    # the level rises while sources stop at their cap, and stands when no more do
+    level, stopped = 0.0, -1
+    while True:
+        full = F.col("_cap") <= F.lit(level) * F.col("_w")
+        r = sized.agg(F.count_if(full).alias("n"), F.coalesce(F.sum(F.when(full, F.col("_cap"))), F.lit(0.0)).alias("caps"), F.coalesce(F.sum(F.when(~full, F.col("_w"))), F.lit(0.0)).alias("w")).first()
+        if r["n"] == stopped or not r["w"]:
+            break
+        level, stopped = max(level, (total - r["caps"]) / r["w"]), r["n"]
+    target = F.when(full, F.col("_cap")).otherwise(F.lit(level) * F.col("_w"))
+    return sized.withColumn("target", F.least("_cap", target)).select("source", "source_size", "s", "target")
+
+
+def _counted_out(rows: DataFrame) -> DataFrame:
+    """Each row of ``rows`` as often as its column _n says, with its number from 0 as ``_copy``. Many equal rows are dealt to the tasks in runs."""
+    several = lambda df, a, z: df.withColumn("_copy", F.explode(F.sequence(a, z))).drop("_n", "_run")
+    none = F.lit(0).cast("long")
+    few = several(rows.filter(F.col("_n") <= RUN), none, F.col("_n") - 1)
+    many = rows.filter(F.col("_n") > RUN)
+    if many.isEmpty():
+        return few
+    runs = many.withColumn("_run", F.explode(F.sequence(none, F.floor((F.col("_n") - 1) / RUN)))).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    return few.unionByName(several(runs, F.col("_run") * RUN, F.least(F.col("_n"), (F.col("_run") + 1) * RUN) - 1))
 
 
 def _meet(seed: int, depth: int):
@@ -95,10 +124,11 @@ def _known(df: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT, seed: int = SEED, fan_in: int = FAN_IN, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of each row of ``docs`` (doc_id, text, source), and its columns ``keep`` (of an ordered type)."""
+    # equal rows are one row with their number: each task hands on one of them
     rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_crc"), *keep)
-    rows = cut(rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "_crc")).drop("_crc"))
-    sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat)
-    sources = cut(sources.withColumn("s", F.row_number().over(Window.partitionBy().orderBy(F.col("source").asc_nulls_last()))))
+    rows = cut(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n")))
+    sources = cut(targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size")), weights, max_repeat))
+    rows = _counted_out(rows).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "_crc", "_copy"))
     wants = rows.join(_known(sources), rows["source"].eqNullSafe(sources["source"])).select(
         rows["doc_id"], "s", "size", "h", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_want"), *keep
     )

@@ -1,9 +1,11 @@
 import collections
 import math
 import random
+import time
 import zlib
 
 import xxhash
+from pyspark.sql import functions as F
 
 from llm_helpers import words
 from loomdoc.llm import mixing
@@ -51,10 +53,12 @@ def long(x):
 
 def plain_mix(rows, target, fan_in, seed=mixing.SEED):
     """(doc_id, size) -> copies, in order, by folding lists; rows: doc_id, text, source. ``target``: copies that a row of a source wants."""
-    groups, out = collections.defaultdict(list), collections.Counter()
+    groups, out, copies = collections.defaultdict(list), collections.Counter(), collections.Counter()
     for d, t, s in rows:
+        copy = copies[d, t or "", s]
+        copies[d, t or "", s] += 1
         size = len(words(t))
-        h = hashed(seed, long(d), (zlib.crc32((t or "").encode()),))
+        h = hashed(seed, long(d), (zlib.crc32((t or "").encode()),), (copy,))
         h = h - 2**64 if h >= 2**63 else h
         want = target[s]
         groups[s, math.floor(math.log2(max(size, 1)) * mixing.PER_OCTAVE)].append((-size, h, d, size, want - math.floor(want)))
@@ -128,3 +132,30 @@ def test_rounding_equals_plain_folding(spark):
 def test_kept_columns_come_through(spark):
     docs = spark.createDataFrame([(1, "a b", "x", 5, "q"), (1, "a b", "x", 6, None)], "doc_id long, text string, source string, n int, octave string")
     assert sorted((r["doc_id"], r["n"]) for r in mixing.mix(docs, keep=["n"]).collect()) == [(1, 5), (1, 6)]
+
+
+def test_many_repeated_rows_are_linear(spark):
+    base = spark.createDataFrame([(None, "", "a"), (1, "one two three", "a"), (2, "four five", "b")], "doc_id long, text string, source string")
+    repeats = base.withColumn("n", F.expr("explode(sequence(1, case when doc_id is null then 120000 when doc_id = 1 then 80000 else 30 end))")).drop("n")
+    singles = spark.range(10, 2_010).selectExpr("id as doc_id", "repeat('w ', cast(id % 40 as int)) as text", "'b' as source")
+    docs = repeats.unionByName(singles).repartition(6)
+    began = time.monotonic()
+    got = mixing.mix(docs)
+    sums = {r["source"]: r for r in got.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most")).collect()}
+    assert time.monotonic() - began < 120
+    assert sums["a"]["n"] == 200_000 and sums["b"]["n"] == 2_030
+    assert all(abs(r["taken"] - r["target"]) <= 45 and r["most"] <= 3 for r in sums.values())
+    of = lambda df: sorted(tuple(r) for r in df.groupBy("doc_id", "copies").count().collect() if r["doc_id"] is not None)
+    assert of(got) == of(mixing.mix(docs.repartition(3)))
+
+
+def test_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE", 3_000)
+    docs = spark.range(20_000).selectExpr("id as doc_id", "repeat('w ', 1 + cast(id % 7 as int)) as text", "concat('host', id % 10000) as source")
+    got = mixing.targets(docs.groupBy("source").agg(F.sum(F.expr("1 + doc_id % 7")).alias("source_size"))).collect()
+    assert [r["s"] for r in sorted(got, key=lambda r: r["source"])] == list(range(1, 10_001))
+    total = sum(r["source_size"] for r in got)
+    assert abs(sum(r["target"] for r in got) - total) < 1e-6 * total
+    free = [r["target"] / (5, 2, 1)[(r["s"] - 1) % 3] for r in got if r["target"] < 3 * r["source_size"] - 1e-9]
+    assert max(free) - min(free) < 1e-9 * max(free)
+    assert all(3 * r["source_size"] <= max(free) * (5, 2, 1)[(r["s"] - 1) % 3] + 1e-6 for r in got if r["target"] >= 3 * r["source_size"] - 1e-9)
