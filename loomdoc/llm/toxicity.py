@@ -177,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, fit_
     rows["key"] = [hashlib.blake2b(f.tobytes(), digest_size=8).hexdigest() for f in rows["f"]]  # any fixed order
     rows = rows.sort_values(["toxic", "key"], kind="stable")
     sequences, toxic = list(rows["f"]), rows["toxic"].to_numpy()
-    part = np.arange(0, len(rows), -(-len(rows) // fit_docs))
+    part = np.linspace(0, len(rows) - 1, min(fit_docs, len(rows))).astype(int)  # evenly spaced places
     tags = [((s > 0) & (toxic[k] == 1)).astype(np.int64) for k, s in enumerate(sequences)]
     chain = fit([sequences[k] for k in part], [tags[k] for k in part], len(words) + 1)
     weight = np.where(toxic == 1, rates[1] / max(1, (toxic == 1).sum()), rates[0] / max(1, (toxic == 0).sum()))
