@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomdoc.functions.text import spaceless_contains
 from loomdoc.operators.search import cosine, knn
+from loomdoc.operators.similarity import neighbours
 
 # fixed values: what names of laws, articles, organisations and duties look like
 LAW_REF = r"([가-힣]{2,20}(?:\s*[가-힣])*법)\s*(제\d+조(?:의\d+)?(?:제\d+항)?(?:제\d+호)?)"
@@ -214,11 +215,14 @@ def resolved(refs: DataFrame, laws: DataFrame, sections: DataFrame, id_: str, do
     )
 
 
-def semantic_refs(chunks: DataFrame, section: str, doc: str, order: str, vector: str, least: float = 0.85, k: int = 3) -> DataFrame:
-    """source_section, target_section, similarity: for the first chunk of every section the k most similar ones of other documents."""
+def semantic_refs(chunks: DataFrame, section: str, doc: str, order: str, vector: str, least: float = 0.85, k: int = 3, every_pair: bool = False) -> DataFrame:
+    """source_section, target_section, similarity: for the first chunk of every section the k most similar ones of other documents.
+
+    Candidates meet in bands of hyperplanes; ``every_pair`` compares all sections instead.
+    """
     by = Window.partitionBy(section).orderBy(order)
     first = chunks.filter(F.col(vector).isNotNull()).withColumn("_r", F.row_number().over(by)).filter("_r = 1").select(section, doc, vector)
-    found = knn(first, first, k, id_=section, vector=vector, least=least, apart=doc)
+    found = knn(first, first, k, id_=section, vector=vector, least=least, apart=doc) if every_pair else neighbours(first, k, section, vector, least, apart=doc)
     return found.select(F.col("query_id").alias("source_section"), F.col(section).alias("target_section"), "similarity")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -19,8 +18,6 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 #: Queries and vectors of one task of an exact search.
 QUERY_BLOCK, VECTOR_BLOCK = 4_096, 32_768
-#: Rows that the centroids of an approximate index are fitted on.
-SAMPLE_ROWS = 20_000
 
 
 def query_words(q: str) -> list[str]:
@@ -104,51 +101,6 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, id_: str = "id", vector:
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
-@dataclass(frozen=True)
-class CellIndex:
-    """An inverted file: every row in the cell of its nearest centroid (columns cell, id and vector)."""
-
-    rows: DataFrame
-    centroids: np.ndarray
-    id_: str
-    vector: str
-
-    def search(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
-        """query_id, id, similarity, rank: the k nearest rows of the ``probes`` nearest cells of each query; its own row left out."""
-        q = queries.select(F.col(self.id_).alias("query_id"), F.col(self.vector).alias("_q"), F.explode(nearest_cells(F.col(self.vector), self.centroids, probes)).alias("cell"))
-        pairs = self.rows.join(q, "cell").filter(F.col(self.id_) != F.col("query_id"))
-        by = Window.partitionBy("query_id").orderBy(F.desc("similarity"), self.id_)
-        scored = pairs.select("query_id", self.id_, cosine(F.col(self.vector), F.col("_q")).alias("similarity"))
-        return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
-
-
-def nearest_cells(vector: Column, centroids: np.ndarray, n: int) -> Column:
-    """Array of the n nearest centroids; these are as many as the index has cells, whatever the number of rows."""
-
-    @F.pandas_udf("array<int>")
-    def run(vectors: pd.Series) -> pd.Series:
-        s = _matrix(vectors) @ centroids.T if len(vectors) else np.empty((0, len(centroids)))
-        return pd.Series(list(np.argsort(-s, axis=1, kind="stable")[:, :n].astype(np.int32)))
-
-    return run(vector)
-
-
-def cell_index(vectors: DataFrame, cells: int = 64, sample_rows: int = SAMPLE_ROWS, id_: str = "id", vector: str = "embedding", rounds: int = 10) -> CellIndex:
-    """Centroids from a sample of up to ``sample_rows`` rows (those of least hash), then every row is put into its cell."""
-    rows = vectors.filter(F.col(vector).isNotNull()).select(id_, vector)
-    sample = rows.orderBy(F.xxhash64(F.lit(5), id_), id_).limit(sample_rows).toPandas()
-    m = _matrix(sample[vector]) if len(sample) else np.zeros((1, 1))
-    centroids = m[np.linspace(0, len(m) - 1, min(cells, len(m))).astype(int)]
-    for _ in range(rounds):
-        of = np.argmax(m @ centroids.T, axis=1)
-        sums = np.zeros_like(centroids)
-        np.add.at(sums, of, m)
-        size = np.linalg.norm(sums, axis=1, keepdims=True)
-        centroids = np.where(size > 0, sums / np.where(size > 0, size, 1), centroids)
-    placed = rows.select(F.element_at(nearest_cells(F.col(vector), centroids, 1), 1).alias("cell"), id_, vector)
-    return CellIndex(cut(placed), centroids, id_, vector)
-
-
 def blended(a: Column, b: Column, share: float = 0.4) -> Column:
     """share of a and the rest of b, scaled to unit length; a alone where b is null."""
     mixed = F.zip_with(a, b, lambda x, y: x * share + y * (1 - share))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.operators import knowledge as ops
+from loomdoc.operators.search import hashed_embedding
 from loomdoc.plans.registry import query
 from loomdoc.session import spread, table
 
@@ -98,7 +99,14 @@ def resolved_references(spark: SparkSession, sf: str) -> DataFrame:
 SELECT source_section, target_section, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY source_section ORDER BY s DESC, target_section) AS r FROM p WHERE s >= 0.3) WHERE r <= 3""")
 def semantic_references(spark: SparkSession, sf: str) -> DataFrame:
     chunks = table(spark, sf, "embeddings").withColumn("n", F.lit(0))
-    return ops.semantic_refs(chunks, "vec_id", "label", "n", "embedding", least=0.3).withColumn("similarity", F.round("similarity", 6))
+    return ops.semantic_refs(chunks, "vec_id", "label", "n", "embedding", least=0.3, every_pair=True).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(None)
+def similar_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """For every document the three most similar ones, from 0.95 on: near copies, and copies that stand in another document."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).withColumn("n", F.lit(0)).withColumn("embedding", hashed_embedding(F.col("text")))
+    return ops.semantic_refs(docs.withColumn("document", F.col("doc_id")), "doc_id", "document", "n", "embedding", least=0.95)
 
 
 _ARTICLES = "SELECT p_size AS doc, p_partkey % 40 AS num, '장' || (p_partkey % 3) AS chapter, ['제' || (p_partkey * 7 % 40) || '조', '제' || (p_partkey * 3 % 40) || '조제2항', '제999조'] AS refs FROM part"

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from loomdoc.functions import chunks as ch
 from loomdoc.functions import text as tx
 from loomdoc.operators import search as ops
+from loomdoc.operators import vectorindex
 from loomdoc.plans.registry import query
-from loomdoc.session import cut, spread, stored, table
+from loomdoc.session import files_key, kept, spread, table
 
 WORDS = ["the", "tion", "ndre"]
 
@@ -20,18 +21,33 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return docs.withColumn("id", F.col("doc_id") * 100_000 + F.col("n")).withColumn("embedding", ops.hashed_embedding(F.col("text")))
 
 
+def stored_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunked and embedded once, as ingest does; read by every search."""
+    return kept(lambda: _chunks(spark, sf), spark, f"chunks-{files_key(spark, sf, ['documents'])}")
+
+
 @query(None)
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    with stored(_chunks(spark, sf)) as chunks:  # chunked and embedded once, read by both lists and for the hits
-        found = ops.hybrid(chunks, "the thing that reads", 10, where=F.col("source").isNotNull(), keep=["doc_id", "lang", "source"])
-        found = found.select("id", "text", "headline", F.col("doc_id").alias("document"), F.col("source").alias("category"), F.round("rrf_score", 8).alias("rrf_score"), F.round("similarity", 8).alias("similarity"), "vector_rank", "fts_rank")
-        return cut(found)
+    found = ops.hybrid(stored_chunks(spark, sf), "the thing that reads", 10, where=F.col("source").isNotNull(), keep=["doc_id", "lang", "source"])
+    return found.select("id", "text", "headline", F.col("doc_id").alias("document"), F.col("source").alias("category"), F.round("rrf_score", 8).alias("rrf_score"), F.round("similarity", 8).alias("similarity"), "vector_rank", "fts_rank")
 
 
 @query(None)
 def approximate_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """Two thirds of the cells are read in codes; 60 rows of each query are scored."""
+    vectors = table(spark, sf, "embeddings")
+    index = vectorindex.build(vectors, "vec_id")
+    return index.search(vectors.filter("vec_id % 100 = 0"), 3, probes=-(-2 * index.quantizer.cells // 3), rerank=60)
+
+
+@query("""
+WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id)
+SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM p) WHERE rank <= 5""")
+def indexed_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The index with all cells, scoring what the errors of the codes don't rule out."""
     vectors = table(spark, sf, "embeddings")
-    return ops.cell_index(vectors, id_="vec_id").search(vectors.filter("vec_id % 100 = 0"), 3, probes=24)
+    found = vectorindex.build(vectors, "vec_id").search(vectors.filter("vec_id % 100 = 0"), 5, exact=True)
+    return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
 _TF = "(length(lower(text)) - length(replace(lower(text), '{0}', ''))) / {1}"

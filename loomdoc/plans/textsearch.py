@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from loomdoc.functions import chunks as ch
 from loomdoc.functions import text as tx
 from loomdoc.operators import search as ranking
 from loomdoc.operators import textsearch as ops
+from loomdoc.operators.postings import StoredIndex
 from loomdoc.plans.registry import query
-from loomdoc.session import cut, spread, table
+from loomdoc.session import cut, files_key, removed, shared_folder, spread, table
 
 _SYNONYMS = ", ".join(f"('{k}', '{s}')" for k, v in ops.SYNONYMS.items() for s in v)
 _WORDS = """w AS (SELECT p_partkey AS id, unnest(string_split(q, ' ')) AS w, generate_subscripts(string_split(q, ' '), 1) - 1 AS word_no FROM (SELECT p_partkey, p_name || CASE p_partkey % 3 WHEN 0 THEN ' CCTV' WHEN 1 THEN ' 동의 pia' ELSE '' END AS q FROM part))"""
@@ -45,14 +48,19 @@ def fallback_tokens(spark: SparkSession, sf: str) -> DataFrame:
 _POSTINGS = """p AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) AS token, generate_subscripts(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> ''), 1) - 1 AS place FROM documents)"""
 
 
-def _index(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.inverted_index(spread(table(spark, sf, "documents")), "doc_id", {"text": "D"})
+def stored_index(spark: SparkSession, sf: str) -> StoredIndex:
+    """The index of the documents, written by the first query that asks for it and read by all others."""
+    path = f"{shared_folder(spark)}/kept/postings-{files_key(spark, sf, ['documents'])}"
+    if StoredIndex.exists(spark, path):
+        return StoredIndex(spark, path)
+    return StoredIndex.create(spread(table(spark, sf, "documents").select("doc_id", "text")), path, "doc_id")
 
 
 @query(f"""WITH {_POSTINGS} SELECT token, count(DISTINCT doc_id) AS docs, count(*) AS places, CAST(max(place) AS INTEGER) AS last FROM p GROUP BY token""")
 def inverted_index(spark: SparkSession, sf: str) -> DataFrame:
     last = F.max(F.element_at("places", -1)["place"]).alias("last")
-    return _index(spark, sf).groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("places"), last)
+    postings = stored_index(spark, sf).postings(None, places=True)
+    return postings.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("places"), last)
 
 
 _ASKED = [(1, "the tion"), (2, "and"), (3, "qqqq")]
@@ -62,16 +70,20 @@ def _terms(spark: SparkSession) -> DataFrame:
     return ops.query_terms(spark.createDataFrame(_ASKED, "qid int, q string"), "qid", "q", use_ngrams=False)
 
 
+def _hits(spark: SparkSession, sf: str, terms: DataFrame) -> DataFrame:
+    return cut(stored_index(spark, sf).hits(terms, "qid").withColumnRenamed("id", "doc_id"))
+
+
 @query(f"""WITH {_POSTINGS} SELECT 1 AS qid, doc_id FROM p GROUP BY doc_id HAVING bool_or(starts_with(token, 'the')) AND bool_or(starts_with(token, 'tion')) UNION ALL SELECT 2, doc_id FROM p GROUP BY doc_id HAVING bool_or(starts_with(token, 'and'))""")
 def match_all_words(spark: SparkSession, sf: str) -> DataFrame:
     terms = _terms(spark)
-    return ops.matches(ops.hits(cut(_index(spark, sf)), terms, "doc_id", "qid"), terms, "doc_id", "qid", all_words=True)
+    return ops.matches(_hits(spark, sf, terms), terms, "doc_id", "qid", all_words=True)
 
 
 @query(f"""WITH {_POSTINGS} SELECT qid, doc_id, round(c / (c + 1), 6) AS rank FROM (SELECT 1 AS qid, doc_id, 0.1 * count(*) AS c FROM p WHERE starts_with(token, 'the') OR starts_with(token, 'tion') GROUP BY doc_id UNION ALL SELECT 2, doc_id, 0.1 * count(*) FROM p WHERE starts_with(token, 'and') GROUP BY doc_id)""")
 def any_word_density(spark: SparkSession, sf: str) -> DataFrame:
     terms = _terms(spark)
-    found = ops.cover_density(ops.hits(cut(_index(spark, sf)), terms, "doc_id", "qid"), terms, "doc_id", "qid")
+    found = ops.cover_density(_hits(spark, sf, terms), terms, "doc_id", "qid")
     return found.select("qid", "doc_id", F.round("rank", 6).alias("rank"))
 
 
@@ -83,19 +95,51 @@ e AS (SELECT doc_id, sum(0.1 / (1 + greatest(wide - (n - 1), 0))) AS c FROM d GR
 SELECT 1 AS qid, doc_id, round(CAST(c / (c + 1) AS DOUBLE), 6) AS rank FROM e""")
 def all_words_density(spark: SparkSession, sf: str) -> DataFrame:
     terms = _terms(spark).filter("qid = 1")
-    found = ops.cover_density(ops.hits(cut(_index(spark, sf)), terms, "doc_id", "qid"), terms, "doc_id", "qid", all_words=True)
+    found = ops.cover_density(_hits(spark, sf, terms), terms, "doc_id", "qid", all_words=True)
     return found.select("qid", "doc_id", F.round("rank", 6).alias("rank"))
 
 
 @query(f"""WITH {_POSTINGS}, l AS (SELECT doc_id, length(text) AS n FROM documents), s AS (SELECT count(*) AS docs, avg(n) AS mean FROM l), q(token) AS (VALUES ('the'), ('and'), ('for')), f AS (SELECT doc_id, token, count(*) AS tf FROM p JOIN q USING (token) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM f GROUP BY token)
 SELECT 1 AS qid, f.doc_id, round(CAST(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS DOUBLE), 6) AS score FROM f JOIN df USING (token) JOIN l ON l.doc_id = f.doc_id, s GROUP BY f.doc_id""")
 def bm25_on_postings(spark: SparkSession, sf: str) -> DataFrame:
-    terms = spark.createDataFrame([(1, w) for w in ("the", "and", "for")], "qid int, term string")
+    words = ["the", "and", "for"]
+    terms = spark.createDataFrame([(1, w) for w in words], "qid int, term string")
     lengths = table(spark, sf, "documents").select("doc_id", F.length("text").alias("n"))
-    found = ops.bm25_postings(cut(_index(spark, sf)), lengths, terms, "doc_id", "qid")
+    found = ops.bm25_postings(stored_index(spark, sf).postings(words).withColumnRenamed("id", "doc_id"), lengths, terms, "doc_id", "qid")
     return found.select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
+_BM25 = """l AS (SELECT doc_id, coalesce(length(text), 0) AS n FROM {0}), s AS (SELECT count(*) AS docs, avg(n) AS mean FROM l), f AS (SELECT qid, doc_id, token, count(*) AS tf FROM p JOIN q USING (token) GROUP BY ALL), df AS (SELECT qid, token, count(*) AS df FROM f GROUP BY ALL),
+m AS (SELECT qid, f.doc_id, CAST(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS DOUBLE) AS score FROM f JOIN df USING (qid, token) JOIN l ON l.doc_id = f.doc_id, s GROUP BY qid, f.doc_id)
+SELECT qid, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM m) WHERE r <= 20"""
+_QUESTIONS = [(1, "the"), (1, "and"), (1, "for"), (2, "tion"), (3, "ver"), (3, "und"), (4, "qqqq")]
+_Q = ", ".join(f"({a}, '{b}')" for a, b in _QUESTIONS)
+
+
+@query(f"""WITH {_POSTINGS}, q(qid, token) AS (VALUES {_Q}), {_BM25.format('documents')}""")
+def ranked_top(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 best documents of several questions in one plan; blocks that can't reach them aren't read."""
+    found = stored_index(spark, sf).top(spark.createDataFrame(_QUESTIONS, "qid int, token string"), 20, "qid")
+    return found.select("qid", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+_EDITED = "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' the und' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0"
+
+
+@query(f"""WITH e AS ({_EDITED}), {_POSTINGS.replace('FROM documents', 'FROM e')}, q(qid, token) AS (VALUES {_Q}), {_BM25.format('e')}""")
+def index_upkeep(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of documents that were there, kept up with the added, changed and removed ones; the 20 best after it."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    try:
+        index = StoredIndex.create(docs.filter("doc_id % 10 <> 0"), path, "doc_id")
+        index.update(docs.withColumn("text", F.expr("case when doc_id % 11 = 0 then null when doc_id % 7 = 0 then concat(text, ' the und') else text end")), "doc_id")
+        found = index.top(spark.createDataFrame(_QUESTIONS, "qid int, token string"), 20, "qid")
+        return cut(found.select("qid", F.col("id").alias("doc_id"), F.round("score", 6).alias("score")))
+    finally:
+        removed(spark, path)
+
+
 @query("""WITH t AS (SELECT doc_id AS id, text AS question, repeat('c', CAST(doc_id % 40 AS INTEGER)) AS conclusion, CASE WHEN doc_id % 5 = 0 THEN 'error' ELSE 'success' END AS status, TIMESTAMP '2024-06-01' - to_days(CAST(doc_id % 200 AS INTEGER)) AS made FROM documents),
 c AS (SELECT * FROM t WHERE status = 'success' AND length(conclusion) > 20 AND made > TIMESTAMP '2024-06-01' - to_days(90) ORDER BY made DESC, id LIMIT 100),
 k AS (SELECT id, made, conclusion, lower(regexp_replace(question, '\\s+', '', 'g')) AS same, list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(question, '[^\\w가-힣\\s]', ' ', 'g')), '\\s+'), lambda w: length(w) >= 2 AND w <> 'of')) AS ks FROM c),
@@ -108,6 +152,14 @@ def similar_questions(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("id", "score", "conclusion")
 
 
+@query(f"""WITH {_POSTINGS}, c AS (SELECT doc_id, 0.1 * count(*) AS c FROM p WHERE regexp_matches(token, '^(th|he|ti|io|on)') GROUP BY doc_id)
+SELECT doc_id AS id, round(CAST(c / (c + 1) AS DOUBLE), 6) AS score FROM c ORDER BY c / (c + 1) DESC, doc_id LIMIT 20""")
+def word_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A question with words goes by the index, its words by their parts too."""
+    docs = table(spark, sf, "documents").withColumnRenamed("doc_id", "id")
+    return ops.text_search(docs, stored_index(spark, sf).postings(None, places=True), "the tion", 20).withColumn("score", F.round("score", 6))
+
+
 @query("""SELECT doc_id AS id, 0.0 AS score FROM documents WHERE contains(lower(text), 'x') ORDER BY doc_id LIMIT 20""")
 def short_word_search(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumnRenamed("doc_id", "id")

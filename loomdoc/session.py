@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return builder.getOrCreate()
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``. Where none is set, a temporary folder in local mode; a cluster must name one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -41,21 +42,50 @@ def _shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there; Spark removes the files with the last reference."""
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def stored(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` as a compressed table in the shared folder, for the time of the block. What leaves the block must be cut."""
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     try:
         df.write.parquet(path)
         yield spark.read.schema(df.schema).parquet(path)
     finally:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        removed(spark, path)
+
+
+def files_key(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> str:
+    """A name that changes with the files of these tables: their paths, sizes and times."""
+    found = []
+    for name in names:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
+        while listed.hasNext():
+            f = listed.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()[:24]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def kept(df: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """The table ``name`` of the shared folder, written from ``df()`` if it isn't whole there yet: what ingest stores once and queries read. A table without its success mark is written over."""
+    path = f"{shared_folder(spark)}/kept/{name}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        df().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomdoc.operators import search
+from loomdoc.operators import search, vectorindex
 from loomdoc.operators import textsearch as ops
 
 
@@ -82,10 +82,10 @@ def test_index_finds_nine_of_ten(spark):
     q = v.filter("id % 100 = 0")
     pairs = lambda df: {(r["query_id"], r["id"]) for r in df.collect()}
     exact = pairs(search.knn(q, v, 10))
-    index = search.cell_index(v, cells=32, sample_rows=600)
+    index = vectorindex.build(v, sample_rows=600)
     assert index.rows.count() == 1_500 and len(exact) == 150
-    assert len(exact & pairs(index.search(q, 10, probes=6))) >= 0.9 * len(exact)
-    assert pairs(index.search(q, 10, probes=32)) == exact
+    assert len(exact & pairs(index.search(q, 10, probes=12))) >= 0.9 * len(exact)
+    assert pairs(index.search(q, 10, exact=True)) == exact
 
 
 def test_knn_in_blocks_equals_brute_force(spark, monkeypatch):
