@@ -284,7 +284,9 @@ def grouped(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN,
     of = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("least"))
     of = of.join(least, "component").select("node", "component", "least")
-    return sets.join(of, "node", "left").select("doc_id", "key", "n", *[F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("component", "least")])
+    none = F.lit(None).cast("long")
+    empty = sets.filter("n = 0").select("doc_id", "key", "n", none.alias("component"), none.alias("least"))  # they link with nothing, so they don't meet
+    return sets.filter("n > 0").join(of, "node", "left").select("doc_id", "key", "n", "component", "least").unionByName(empty)
 
 
 def components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, name_bits: int = NAME_BITS) -> DataFrame:
