@@ -11,6 +11,7 @@ from loomdoc.functions import chunks as ch
 from loomdoc.functions import text as tx
 from loomdoc.functions import web
 from loomdoc.operators import knowledge, relational, search, textsearch
+from loomdoc.operators.containment import without
 
 
 def ingest(sections: DataFrame, words: dict[str, str] | None = None, strategy: str = "sentence", doc: str = "doc", index: str = "section_index", text: str = "text", title: str | None = None) -> dict[str, DataFrame]:
@@ -46,7 +47,7 @@ def crawl_results(pages: DataFrame, id_: str, base: str, html: str, keywords: Se
     rows = pages.select(id_, (importance if importance is not None else F.lit(1.0)).alias("_importance"), F.explode(web.board_rows(F.col(html), F.col(base))).alias("r")).select(id_, "_importance", "r.*")
     at = F.try_to_date(F.regexp_replace("day", r"[./]", "-"), "y-M-d")
     rows = rows.filter(recent_or_unknown(at, as_of, days))
-    rows = without_patterns(rows, "url", exclusions, "pattern")
+    rows = without(rows, "url", exclusions, "pattern")
     score = sum((web.board_score(F.col("title"), F.lit(""), F.lit(w))["title_score"] for w in keywords), F.lit(0.0))
     scored = rows.withColumn("title_score", score).withColumn("total", tx.rounded(F.col("title_score") * F.col("_importance"), 2)).drop("_importance")
     return relational.top_per_group(scored, [id_], [F.desc("total"), F.col("url"), F.col("title")], k)
@@ -56,12 +57,6 @@ def recent_or_unknown(at: Column, as_of: Column, days: int) -> Column:
     return at.isNull() | (at >= F.date_sub(as_of, days))
 
 
-def without_patterns(rows: DataFrame, column: str, patterns: DataFrame, pattern: str) -> DataFrame:
-    """Rows whose text holds none of the patterns, a user's list."""
-    listed = F.broadcast(patterns.select(F.col(pattern).alias("_p")).filter("_p <> ''").distinct())
-    return rows.join(listed, F.contains(rows[column], F.col("_p")), "left_anti")
-
-
 def merged_scores(found: DataFrame, url: str, scores: Sequence[str], order: Column) -> DataFrame:
     """One row for each address found by several keywords: its scores added up, other columns of the first."""
     rest = [c for c in found.columns if c != url and c not in scores]

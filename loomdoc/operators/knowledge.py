@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdoc.functions.text import spaceless_contains
+from loomdoc.operators.containment import contained
 from loomdoc.operators.search import cosine, knn
 from loomdoc.operators.similarity import neighbours
 
@@ -162,9 +162,9 @@ def triples_for_questions(questions: DataFrame, found_triples: DataFrame, id_: s
     names = entities(questions, id_, text).select(id_, F.lower("name").alias("_name")).distinct()
     kept = found_triples.filter(F.col("confidence") >= least)
     ends = kept.select("subject", "predicate", "object", "confidence", F.explode(F.array_distinct(F.array(F.lower("subject"), F.lower("object")))).alias("_end"))
-    vocabulary = ends.select("_end").distinct()
-    # names are those of the questions; the distinct ends meet them once, whatever the number of triples
-    hit = vocabulary.join(F.broadcast(names.select("_name").distinct()), F.contains("_end", F.col("_name")))
+    # the distinct ends meet the distinct names once, whatever the number of triples and questions
+    vocabulary = ends.select("_end", F.col("_end").alias("_text")).distinct()
+    hit = contained(vocabulary, "_end", "_text", names, "_name")
     found = ends.join(hit, "_end").join(names, "_name")
     line = F.concat("subject", F.lit(" —["), "predicate", F.lit("]→ "), "object")
     found = found.groupBy(id_, line.alias("line")).agg(F.max("confidence").alias("confidence"))
@@ -201,8 +201,10 @@ def resolved(refs: DataFrame, laws: DataFrame, sections: DataFrame, id_: str, do
 
     ``laws``: doc, title of statutes; ``sections``: doc, id, label.
     """
-    names = refs.select("law").distinct()
-    to_doc = laws.join(names, spaceless_contains(F.col(title), F.col("law"))).groupBy("law").agg(F.min(doc).alias("target_document"))
+    spaceless = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    names = refs.select("law", spaceless("law").alias("_name")).distinct()
+    held = contained(laws.select(doc, spaceless(title).alias("_title")), doc, "_title", names, "_name")
+    to_doc = held.join(names, "_name").groupBy("law").agg(F.min(doc).alias("target_document"))
     asked = refs.join(to_doc, "law")
     labels = sections.select(F.col(doc).alias("target_document"), F.col(id_).alias("_section"), F.col(label).alias("_label"))
     pairs = asked.select("target_document", "article").distinct()

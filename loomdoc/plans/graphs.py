@@ -51,7 +51,7 @@ UNION ALL SELECT list_append(p.path, e.b), e.b, p.c * (0.5 + (e.b % 5) / 10.0),
 SELECT array_to_string(path, '>') AS path, CAST(depth AS INTEGER) AS depth FROM p WHERE depth > 0 ORDER BY depth DESC, round(c, 9) DESC, path LIMIT 50""")
 def best_chains(spark: SparkSession, sf: str) -> DataFrame:
     edges = _edges(spark, sf).withColumn("confidence", 0.5 + (F.col("b") % 5) / 10.0)
-    found = ops.best_chains(ops.chains(edges, _starts(spark), hops=3), 50)
+    found = ops.surest_chains(edges, _starts(spark), 50, hops=3)
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "depth")
 
 
@@ -110,6 +110,6 @@ WITH o AS (SELECT doc_id, text AS t FROM documents WHERE doc_id % 10 <> 0), n AS
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN o.t = n.t THEN 'unchanged' ELSE 'changed' END AS state FROM o FULL JOIN n ON o.doc_id = n.doc_id""")
 def incremental_changes(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    old = docs.filter("doc_id % 10 <> 0").select("doc_id", ops.section_hash(F.col("text")).alias("h"))
-    new = docs.filter("doc_id % 11 <> 0").select("doc_id", ops.section_hash(F.expr("if(doc_id % 7 = 0, concat(text, '!'), text)")).alias("h"))
+    old = docs.filter("doc_id % 10 <> 0").select("doc_id", F.xxhash64(F.col("text")).alias("h"))
+    new = docs.filter("doc_id % 11 <> 0").select("doc_id", F.xxhash64(F.expr("if(doc_id % 7 = 0, concat(text, '!'), text)")).alias("h"))
     return ops.changes(old, new, "doc_id", "h")

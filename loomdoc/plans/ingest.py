@@ -9,6 +9,7 @@ from loomdoc.functions import text as tx
 from loomdoc.functions import web
 from loomdoc.operators import ingest as ops
 from loomdoc.operators import mutations, relational
+from loomdoc.operators.containment import without
 from loomdoc.plans.registry import query
 from loomdoc.session import spread, table
 from loomdoc.sources import statutes
@@ -150,7 +151,7 @@ def loose_filters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT page_id FROM pages WHERE NOT (contains(url, '1') OR contains(url, 'wiki'))""")
 def excluded_addresses(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.without_patterns(table(spark, sf, "pages"), "url", spark.createDataFrame([("1",), ("wiki",), ("wiki",)], "p string"), "p").select("page_id")
+    return without(table(spark, sf, "pages"), "url", spark.createDataFrame([("1",), ("wiki",), ("wiki",)], "p string"), "p").select("page_id")
 
 
 @query("""SELECT c_custkey, printf('%.4f', c_acctbal) AS fixed, left(trim(regexp_replace(regexp_replace('<b>' || c_name || '</b>  ' || c_mktsegment, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')), 100) AS same, c_custkey % 3 = 0 AS credit, regexp_matches(lower(c_mktsegment), '^[a-z0-9_-]+$') AS user_name, c_custkey % 4 > 0 AS image FROM customer""")
