@@ -131,13 +131,13 @@ class VectorIndex:
     id_: str
     vector: str
 
-    def search(self, queries: DataFrame, k: int, probes: int | None = None, rerank: int | None = None, exact: bool = False, counted: bool = False) -> DataFrame:
-        """query_id, id, similarity, rank: the k nearest rows of each query, its own row left out. ``probes``: None for all cells.
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, rerank: int | None = None, exact: bool = False, counted: bool = False, same: bool = False) -> DataFrame:
+        """query_id, id, similarity, rank: the k nearest rows of each query, its own row left out unless ``same`` (where the queries' ids are of another table). ``probes``: None for all cells.
 
         ``rerank`` rows of each query, at least k (20 k by default), are scored; ``exact``: as many as the errors ask for. ``counted`` adds ``scored``, the number of them.
         """
         rerank = max(k, rerank or 20 * k)
-        found = self._candidates(queries, k, min(probes or self.quantizer.cells, self.quantizer.cells), None if exact else rerank)
+        found = self._candidates(queries, k, min(probes or self.quantizer.cells, self.quantizer.cells), None if exact else rerank, same)
         q = queries.select(F.col(self.id_).alias("query_id"), F.col(self.vector).alias("_q"))
         scored = found.join(self.vectors, self.id_).join(q, "query_id").select("query_id", self.id_, cosine(F.col(self.vector), F.col("_q")).alias("similarity"))
         by = Window.partitionBy("query_id")
@@ -145,7 +145,7 @@ class VectorIndex:
         ranked = ranked.withColumn("scored", F.count(F.lit(1)).over(by)) if counted else ranked
         return ranked.filter(F.col("rank") <= k)
 
-    def _candidates(self, queries: DataFrame, k: int, probes: int, rerank: int | None) -> DataFrame:
+    def _candidates(self, queries: DataFrame, k: int, probes: int, rerank: int | None, same: bool) -> DataFrame:
         """query_id, id: the rows to score. Each block of a cell hands on its best, and these meet by query."""
         quantizer, id_, vector = self.quantizer, self.id_, self.vector
         cells_of = F.pandas_udf(lambda v: pd.Series(list(quantizer.nearest(_matrix(v), probes).astype(np.int32)) if len(v) else [], dtype=object), "array<int>")
@@ -168,7 +168,8 @@ class VectorIndex:
                     part = a.iloc[begin : begin + 256]
                     asks = part["query_id"].to_numpy()
                     near = _matrix(part["_q"]) @ decoded.T
-                    near[asks[:, None] == own] = -np.inf
+                    if not same:
+                        near[asks[:, None] == own] = -np.inf
                     kept = _kept(near, error, k, rerank)
                     rows, columns = np.nonzero(kept & np.isfinite(near))
                     for name, values in zip(out, (asks[rows], own[columns], near[rows, columns], error[columns])):
@@ -186,6 +187,10 @@ class VectorIndex:
         sure = found.withColumn("_low", low).withColumn("_n", F.row_number().over(by.orderBy(F.desc("_low"), id_))).filter(F.col("_n") == k).select("query_id", F.col("_low").alias("_least"))
         return found.join(sure, "query_id", "left").filter(F.col("_least").isNull() | (F.col("near") + F.col("error") >= F.col("_least") - 1e-9)).select("query_id", id_)
 
+    def only(self, ids: DataFrame, column: str = "id") -> VectorIndex:
+        """The index of the rows with these ids."""
+        return VectorIndex(self.rows.join(ids.select(F.col(column).alias(self.id_)), self.id_, "left_semi"), self.vectors, self.quantizer, self.id_, self.vector)
+
     def append(self, vectors: DataFrame) -> VectorIndex:
         """With more rows, coded by the same centroids."""
         more = vectors.filter(F.col(self.vector).isNotNull()).select(self.id_, self.vector)

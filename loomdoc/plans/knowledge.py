@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdoc.functions import tables
 from loomdoc.operators import knowledge as ops
 from loomdoc.operators.search import hashed_embedding
 from loomdoc.plans.registry import query
@@ -41,6 +42,13 @@ def entity_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return ops.entities(_sections(spark, sf), "id", "txt").select("id", "type", "name")
 
 
+@query(f"WITH {_ENTITIES} SELECT id, type, name FROM ent WHERE length(name) >= 2")
+def entity_function(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the table function."""
+    tables.register(spark)
+    return spark.sql("SELECT s.id, e.type, e.name FROM {s} s, LATERAL extract_entities(s.txt, CAST(NULL AS STRING)) e", s=_sections(spark, sf))
+
+
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return ops.build_graph(_sections(spark, sf), "doc", "id", "txt")
 

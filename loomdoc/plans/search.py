@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdoc.functions import chunks as ch
+from loomdoc.functions import tables
 from loomdoc.functions import text as tx
 from loomdoc.operators import search as ops
-from loomdoc.operators import vectorindex
+from loomdoc.operators import retrieval, vectorindex
+from loomdoc.operators.postings import StoredIndex
 from loomdoc.plans.registry import query
-from loomdoc.session import files_key, kept, spread, table
+from loomdoc.session import exists, files_key, kept, shared_folder, spread, table
 
 WORDS = ["the", "tion", "ndre"]
 
@@ -32,6 +34,35 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("id", "text", "headline", F.col("doc_id").alias("document"), F.col("source").alias("category"), F.round("rrf_score", 8).alias("rrf_score"), F.round("similarity", 8).alias("similarity"), "vector_rank", "fts_rank")
 
 
+@query(None)
+def chunk_function(spark: SparkSession, sf: str) -> DataFrame:
+    """Recursive chunks by the table function."""
+    tables.register(spark)
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return spark.sql("SELECT d.doc_id, c.n, c.chunk FROM {d} d, LATERAL chunk(d.text, 'recursive') c", d=docs)
+
+
+def _chunk_indexes(spark: SparkSession, sf: str) -> tuple[StoredIndex, vectorindex.VectorIndex]:
+    """Both indexes of the chunks, written once."""
+    key = files_key(spark, sf, ["documents"])
+    chunks, path = stored_chunks(spark, sf), f"{shared_folder(spark)}/kept/chunk-postings-{key}"
+    index = StoredIndex(spark, path) if StoredIndex.exists(spark, path) else StoredIndex.create(chunks.select("id", "text"), path)
+    held = f"{shared_folder(spark)}/kept/chunk-vectors-{key}"
+    if not exists(spark, f"{held}/quantizer/_SUCCESS"):
+        vectorindex.build(chunks.select("id", "embedding")).write(held, "overwrite")
+    return index, vectorindex.VectorIndex.read(spark, held)
+
+
+@query(None)
+def question_hops(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark item's first words as a question: both lists over the chunks of documents with a source, fused, and a second hop, in one flow."""
+    asked = table(spark, sf, "benchmark").filter("item_id is not null").select(F.col("item_id").alias("query"), F.substring_index("text", " ", 8).alias("text"))
+    index, vectors = _chunk_indexes(spark, sf)
+    chunks = stored_chunks(spark, sf).select("id", "text", "source", F.col("doc_id").alias("section"), F.lit(None).cast("string").alias("title"))
+    cells = vectors.quantizer.cells
+    return retrieval.multi_hop(asked, index, vectors, chunks, k=5, only=chunks.filter("source is not null"), probes=max(1, cells // 4))
+
+
 @query(None)
 def approximate_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """Two thirds of the cells are read in codes; 60 rows of each query are scored."""
