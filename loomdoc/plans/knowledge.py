@@ -9,7 +9,8 @@ from loomdoc.functions import tables
 from loomdoc.operators import knowledge as ops
 from loomdoc.operators.search import hashed_embedding
 from loomdoc.plans.registry import query
-from loomdoc.session import spread, table
+from loomdoc.session import cut, exists, files_key, shared_folder, spread, table
+from loomdoc.sources import datasource
 
 _TEXT = (
     "CASE p_partkey % 4 WHEN 0 THEN '개인정보처리자는 정보주체의 동의를 제한한다. 과태료의 부과는 전자정부법 제' || (p_partkey % 20 + 1) || '조를 준용한다.' "
@@ -69,6 +70,18 @@ def graph_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return ops.graph_stats(*_graph(spark, sf), "doc")
 
 
+@query(f"WITH {_TRIPLES} SELECT subject, predicate, object, max(confidence) AS confidence, count(DISTINCT id) AS sections FROM tri GROUP BY subject, predicate, object")
+def files_to_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """From a folder of text files to the graph's triples: read by the data source, parted at blank lines, extracted."""
+    path = f"{shared_folder(spark)}/kept/statutes-{files_key(spark, sf, ['part'])}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        _sections(spark, sf).select("txt").write.mode("overwrite").option("lineSep", "\n\n").text(path)
+    datasource.register(spark)
+    read = spark.read.format("sections").option("sections", "line").load(path)
+    _, found = ops.build_graph(cut(read.select("path", F.xxhash64("path", "section_index").alias("id"), "text")), "path", "id", "text")
+    return found.groupBy("subject", "predicate", "object").agg(F.max("confidence").alias("confidence"), F.count_distinct("id").alias("sections"))
+
+
 @query(f"""WITH {_TRIPLES}, best AS (SELECT doc, subject, predicate, object, max(confidence) AS confidence FROM tri JOIN s ON s.id = tri.id GROUP BY doc, subject, predicate, object)
 SELECT doc, subject, predicate, object, confidence FROM best WHERE contains(subject, '과태료') OR contains(object, '과태료') ORDER BY confidence DESC, subject, predicate, object, doc LIMIT 200""")
 def graph_search(spark: SparkSession, sf: str) -> DataFrame:
