@@ -57,7 +57,7 @@ def stored(df: DataFrame) -> Iterator[DataFrame]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         yield spark.read.schema(df.schema).parquet(path)
     finally:
         removed(spark, path)
