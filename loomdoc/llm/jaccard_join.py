@@ -51,6 +51,8 @@ BLOCK_SHINGLES = 2_000_000
 PIVOT_SETS = 8
 #: Bits of a set's name.
 NAME_BITS = 63
+#: Bits of a cell's signature, most of what is shuffled; sets that share a cell by chance are told apart by the trees.
+CELL_BITS = 48
 #: Node ids that may be broadcast; more go through a shuffle.
 BROADCAST_NODES = 500_000
 
@@ -118,7 +120,10 @@ def cells(tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
         need.append(max(1, equal - empty))
         if empty >= equal:
             out.append(mixed(np.setdiff1d(np.arange(k, dtype=np.uint64), full) + name + np.uint64(1 << 60)))
-    return (np.concatenate(out) if out else np.empty(0, np.uint64)).view(np.int64), min(need, default=1)
+    # cells only bring candidates together, so fewer bits do; equal ones of one set count once, and it needs so many fewer
+    short = np.concatenate(out) >> np.uint64(64 - CELL_BITS) if out else np.empty(0, np.uint64)
+    once = np.unique(short)
+    return once.view(np.int64), max(1, min(need, default=1) - (len(short) - len(once)))
 
 
 def text_key(text: Column) -> Column:
