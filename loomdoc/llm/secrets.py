@@ -23,8 +23,7 @@ come to the driver. The values of base spans of 20 characters or more are tested
 whatever the verdict, which is given beside them.
 
 Null or empty text: no spans. Repeated rows: one result each, and each counts in the rates.
-Very long texts: matches are placed in blocks, so the work grows with the text; only where one text has
-very many base spans and very many runs, these are compared pair by pair. Empty table: no rows.
+Very long texts: matches are placed in blocks, and many spans of one text are swept in order, so the work grows with the text. Empty table: no rows.
 Other columns are ignored, whatever their names. Positions are code points. A character that marks matches inside
 (U+E000 to U+E002) counts as any other outside the patterns.
 """
@@ -91,6 +90,8 @@ ALPHA = 0.001
 FDR = 0.01
 #: Counters and walks along an alphabet are correlated at least so much.
 SERIAL = 0.8
+#: Pairs of spans of one text that are compared one by one; texts with more are swept in order.
+PAIRS = 100_000
 #: Pieces of a text whose places are found together.
 BLOCK = 512
 _OPEN, _MID, _CLOSE = "\ue000", "\ue001", "\ue002"
@@ -221,6 +222,50 @@ def thresholds(tests: DataFrame) -> dict[str, int]:
     return {r["stratum"]: r["bin"] for r in passed.groupBy("stratum").agg(F.min("bin").alias("bin")).collect()}
 
 
+def _is_base(span: Column) -> Column:
+    return span["kind"] < len(PATTERNS)
+
+
+def _numbered(rows: DataFrame, many: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows with few pairs of spans, and those with many, with _id. ``rows`` are cut, so that their numbers stay."""
+    return rows.filter(~many), cut(rows.filter(many).withColumn("_id", F.monotonically_increasing_id()))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, base, runs) without the runs that overlap a base span.
+
+    Where a text has many of both, they are swept in order of place: a run is free if no base span that begins before its end reaches beyond its start.
+    """
+    few, many = _numbered(rows, F.size("base").cast("long") * F.size("runs") > PAIRS)
+    few = few.withColumn("runs", F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"]))))
+    if many.isEmpty():
+        return few
+    base = many.select("_id", F.explode("base").alias("r")).select("_id", F.col("r.start").alias("at"), F.lit(1).alias("side"), F.col("r.end").alias("reach"), "r")
+    runs = many.select("_id", F.explode("runs").alias("r")).select("_id", F.col("r.end").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("int").alias("reach"), "r")
+    before = Window.partitionBy("_id").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one text's spans
+    swept = base.unionByName(runs).withColumn("_most", F.max("reach").over(before)).filter("side = 0 and (_most is null or _most <= r.start)")
+    kept = swept.groupBy("_id").agg(F.sort_array(F.collect_list("r")).alias("_runs"))
+    swept = many.join(kept, "_id", "left").withColumn("runs", F.coalesce("_runs", F.slice("runs", 1, 0)))
+    return few.unionByName(swept.select(*few.columns))
+
+
+def _outermost(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, found) without the added spans that lie within another one; swept as in ``_apart`` where there are many."""
+    added = F.filter("found", lambda r: ~_is_base(r))
+    rows = cut(rows.withColumn("_added", added))
+    few, many = _numbered(rows, F.size("_added").cast("long") * F.size("_added") > PAIRS)
+    wider = lambda o, r: (o["start"] <= r["start"]) & (o["end"] >= r["end"]) & (o["end"] - o["start"] > r["end"] - r["start"])
+    few = few.withColumn("found", F.filter("found", lambda r: _is_base(r) | ~F.exists("_added", lambda o: wider(o, r)))).drop("_added")
+    if many.isEmpty():
+        return few
+    spans = many.select("_id", F.explode(F.array_distinct("_added")).alias("r"))
+    before = Window.partitionBy("_id").orderBy("r.start", F.desc("r.end")).rowsBetween(Window.unboundedPreceding, -1)
+    kept = spans.withColumn("_most", F.max("r.end").over(before)).filter("_most is null or _most < r.end")
+    kept = kept.groupBy("_id").agg(F.collect_list("r").alias("_kept"))
+    swept = many.join(kept, "_id").withColumn("found", F.concat(F.filter("found", _is_base), "_kept"))
+    return few.unionByName(swept.select(*few.columns))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and found: array of (start, kind, end, random), in order, of each row of ``docs`` (doc_id, text). random: the battery's verdict."""
     text = F.translate(whole(F.col("text")), _OPEN + _MID + _CLOSE, "???")
@@ -228,17 +273,14 @@ def scan(docs: DataFrame) -> DataFrame:
     matched = {kind: _matches(F.col("_text"), kind, *spec) for kind, spec in PATTERNS.items()}
     matched["random"] = F.array_distinct(F.concat(*[_matches(F.col("_text"), "random", *spec) for spec in RANDOM]))
     rows = cut(rows.select("doc_id", F.concat(*[matched[k] for k in PATTERNS]).alias("base"), matched["random"].alias("runs")))
-    apart = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"])))
-    rows = cut(rows.select("doc_id", tested(F.concat("base", apart)).alias("found")))
+    rows = cut(_apart(rows).select("doc_id", tested(F.concat("base", "runs")).alias("found")))
     tests = rows.select(F.explode("found").alias("r")).filter("r.test is not null").select("r.test.*")
     limits = thresholds(tests)
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]) if limits else F.create_map().cast("map<string,int>")
     verdict = lambda r: F.coalesce(r["test"]["random"] & (r["test"]["bin"] >= F.element_at(limit, r["test"]["stratum"])), F.lit(False))
     spans = F.transform("found", lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end"), verdict(r).alias("random")))
-    is_base = lambda r: r["kind"] < len(PATTERNS)
-    rows = rows.select("doc_id", F.filter(spans, lambda r: is_base(r) | r["random"]).alias("found"))
-    wider = lambda o, r: ~is_base(o) & (o["start"] <= r["start"]) & (o["end"] >= r["end"]) & (o["end"] - o["start"] > r["end"] - r["start"])
-    return rows.select("doc_id", F.array_sort(F.filter("found", lambda r: is_base(r) | ~F.exists("found", lambda o: wider(o, r)))).alias("found"))
+    rows = rows.select("doc_id", F.filter(spans, lambda r: _is_base(r) | r["random"]).alias("found"))
+    return _outermost(rows).select("doc_id", F.array_sort("found").alias("found"))
 
 
 def _line(spans: Column) -> Column:
