@@ -30,7 +30,10 @@ def graph_bfs(spark: SparkSession, sf: str) -> DataFrame:
     return ops.reach(_edges(spark, sf), _starts(spark), hops=3)
 
 
-@query(None)
+@query(f"""
+WITH RECURSIVE {_BOTH}, c(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM u
+UNION (SELECT p.node, min(i.component) FROM recurring.c p JOIN u ON u.a = p.node JOIN c i ON i.node = u.b WHERE i.component < p.component GROUP BY p.node))
+SELECT node, component FROM c""")
 def graph_components(spark: SparkSession, sf: str) -> DataFrame:
     return connected_components(_edges(spark, sf))
 

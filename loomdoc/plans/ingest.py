@@ -165,13 +165,11 @@ def input_checks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("""SELECT event_id, NOT contains(props, '"k"') OR event_id % 2 = 1 AS kept FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 1 THEN '{"z":[' || event_id || ',{"a":"' || event_type || '"}]}' ELSE '{}' END AS props FROM events""")
 def json_key_removal(spark: SparkSession, sf: str) -> DataFrame:
-    body = F.when(F.col("event_id") % 2 == 1, F.concat(F.expr("left(props, length(props) - 1)"), F.lit(',"z":[1,{"a":"b"}]}'))).otherwise(F.col("props"))
-    gone = mutations.without_json_key(body, "k")
-    # what stays is the other key with its value, or nothing
-    ok = F.when(F.col("event_id") % 2 == 1, gone == '{"z":[1,{"a":"b"}]}').otherwise(gone != "{}")
-    return table(spark, sf, "events").select("event_id", ok.alias("kept"))
+    more = F.concat(F.expr("left(props, length(props) - 1)"), F.lit(',"z":['), F.col("event_id").cast("string"), F.lit(',{"a":"'), F.col("event_type"), F.lit('"}]}'))
+    body = F.when(F.col("event_id") % 2 == 1, more).otherwise(F.col("props"))
+    return table(spark, sf, "events").select("event_id", mutations.without_json_key(body, "k").alias("props"))
 
 
 @query("""SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'kept' ELSE 'open' END AS state FROM events GROUP BY user_id HAVING bool_or(event_type = 'click')""")

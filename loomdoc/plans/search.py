@@ -42,7 +42,7 @@ def chunk_function(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql("SELECT d.doc_id, c.n, c.chunk FROM {d} d, LATERAL chunk(d.text, 'recursive') c", d=docs)
 
 
-def _chunk_indexes(spark: SparkSession, sf: str) -> tuple[StoredIndex, vectorindex.VectorIndex]:
+def chunk_indexes(spark: SparkSession, sf: str) -> tuple[StoredIndex, vectorindex.VectorIndex]:
     """Both indexes of the chunks, written once."""
     key = files_key(spark, sf, ["documents"])
     chunks, path = stored_chunks(spark, sf), f"{shared_folder(spark)}/kept/chunk-postings-{key}"
@@ -57,7 +57,7 @@ def _chunk_indexes(spark: SparkSession, sf: str) -> tuple[StoredIndex, vectorind
 def question_hops(spark: SparkSession, sf: str) -> DataFrame:
     """Every benchmark item's first words as a question: both lists over the chunks of documents with a source, fused, and a second hop, in one flow."""
     asked = table(spark, sf, "benchmark").filter("item_id is not null").select(F.col("item_id").alias("query"), F.substring_index("text", " ", 8).alias("text"))
-    index, vectors = _chunk_indexes(spark, sf)
+    index, vectors = chunk_indexes(spark, sf)
     chunks = stored_chunks(spark, sf).select("id", "text", "source", F.col("doc_id").alias("section"), F.lit(None).cast("string").alias("title"))
     cells = vectors.quantizer.cells
     return retrieval.multi_hop(asked, index, vectors, chunks, k=5, only=chunks.filter("source is not null"), probes=max(1, cells // 4))

@@ -52,12 +52,14 @@ def math_functions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, turn, array_to_string(list_distinct(list_concat(
-  list_transform(range(1, length(role)), lambda i: substr(role, i, 2)), list_transform(range(1, length(role) - 1), lambda i: substr(role, i, 3)))), ',') IS NOT NULL AS has_grams,
-len(list_distinct(list_concat(list_transform(range(1, length(role)), lambda i: substr(role, i, 2)), list_transform(range(1, length(role) - 1), lambda i: substr(role, i, 3))))) AS grams FROM conversations""")
+SELECT conv_id, turn, array_to_string(list_concat(list_transform(range(1, length(w)), lambda i: substr(w, i, 2)), list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3))), ',') AS grams
+FROM (SELECT conv_id, turn, role || turn AS w FROM conversations) WHERE len(list_distinct(string_split(w, ''))) = length(w)
+UNION ALL SELECT conv_id, turn, NULL FROM (SELECT conv_id, turn, role || turn AS w FROM conversations) WHERE len(list_distinct(string_split(w, ''))) <> length(w)""")
 def character_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    grams = tx.ngrams(F.col("role"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", grams.isNotNull().alias("has_grams"), F.size(grams).cast("long").alias("grams"))
+    """The grams of role and turn; null where a letter comes twice, as the SQL doesn't keep the order of distinct grams."""
+    word = F.concat("role", F.col("turn").cast("string"))
+    once = F.size(F.array_distinct(F.split(word, ""))) == F.length(word)
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.when(once, F.array_join(tx.ngrams(word), ",")).alias("grams"))
 
 
 @query(None)

@@ -194,11 +194,14 @@ def parent_hits(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.best_parents(hits, 100, doc="lang").select("doc_id", "position")
 
 
-@query("""SELECT a.vec_id, round(CAST((0.4 * a.embedding[1] + 0.6 * b.embedding[1]) / sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(0.4 * CAST(a.embedding[i] AS DOUBLE) + 0.6 * CAST(b.embedding[i] AS DOUBLE), 2)))) AS DOUBLE), 4) AS first FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+@query("""WITH v AS (SELECT a.vec_id, list_transform(range(1, 65), lambda i: 0.4::DOUBLE * CAST(a.embedding[i] AS DOUBLE) + 0.6::DOUBLE * CAST(b.embedding[i] AS DOUBLE)) AS m FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, round(m[1] / n, 4) AS first, round(list_sum(list_transform(range(1, 65), lambda i: i * m[i])) / n, 4) AS weighed, round(list_max(m) / n, 4) AS most FROM (SELECT *, sqrt(list_sum(list_transform(m, lambda x: x * x))) AS n FROM v)""")
 def blended_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """All components, each by its place; the first and the greatest one too."""
     v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("f")), "vec_id")
-    return both.select("vec_id", F.round(F.get(ranking.blended(F.col("e"), F.col("f")), F.lit(0)), 4).alias("first"))
+    both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("f")), "vec_id").select("vec_id", ranking.blended(F.col("e"), F.col("f")).alias("m"))
+    weighed = F.aggregate(F.transform("m", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return both.select("vec_id", F.round(F.get("m", F.lit(0)), 4).alias("first"), F.round(weighed, 4).alias("weighed"), F.round(F.array_max("m"), 4).alias("most"))
 
 
 @query(None)
