@@ -167,3 +167,16 @@ def parsed_answer(text: Column) -> Column:
 def verified(evidence: Column, sources: Column) -> Column:
     """Array of (number, verified): whether a cited source exists."""
     return F.transform(evidence, lambda n: F.struct(n.alias("number"), ((n >= 1) & (n <= sources)).alias("verified")))
+
+
+# fixed values: where a card's markup has its body, the other class of bodies, its scenario, and the number before a body
+CARD_PARTS = {"body": r'(?s)<div class="question-body">(.*?)</div>', "qb": r'(?s)<div class="qb">(.*?)</div>', "scenario": r'(?s)<div class="scenario">(.*?)</div>\s*<ul class="choices"'}
+CARD_NUMBER = r'<span class="(?:q-num|qn)">\d+\.</span>\s*'
+
+
+def card_body(card: Column) -> Column:
+    """The body of a card that has a scenario (kept as markup below it) or a body of the class qb; null for others."""
+    part = {name: F.regexp_extract(card, pattern, 1) for name, pattern in CARD_PARTS.items()}
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, CARD_NUMBER, ""), r"\n\s+", " "))
+    scenario = F.concat(plain(part["body"]), F.lit('\n\n<div class="scenario">'), F.trim(part["scenario"]), F.lit("</div>"))
+    return F.when(card.rlike(CARD_PARTS["scenario"]), scenario).when(plain(part["qb"]) != "", plain(part["qb"]))

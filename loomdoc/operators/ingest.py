@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomdoc.functions import chunks as ch
 from loomdoc.functions import text as tx
 from loomdoc.functions import web
-from loomdoc.operators import knowledge, relational, search, textsearch
+from loomdoc.operators import knowledge, mutations, relational, search, textsearch
 from loomdoc.operators.containment import without
 
 
@@ -114,3 +114,16 @@ def answer_prompts(questions: DataFrame, hits: DataFrame, id_: str, question: st
     sources = top.groupBy(id_).agg(F.array_join(lines, "\n").alias("_sources"))
     rows = questions.join(sources, id_, "left")
     return rows.select(id_, tx.rendered(template, {"question": F.col(question), "sources": F.col("_sources")}).alias("prompt"))
+
+
+def summary_vectors(documents: DataFrame, summary: str, embed: Callable[[Column], Column]) -> DataFrame:
+    """``documents`` with summary_embedding, the vector of a summary that isn't blank (the one before, if there is one, where it is), and embedding_status done."""
+    kept = F.col("summary_embedding") if "summary_embedding" in documents.columns else F.lit(None).cast("array<double>")
+    given = tx.trimmed(F.coalesce(F.col(summary), F.lit(""))) != ""
+    return documents.withColumn("summary_embedding", F.when(given, embed(F.col(summary))).otherwise(kept)).withColumn("embedding_status", F.lit("done"))
+
+
+def repaired_questions(questions: DataFrame, cards: DataFrame, key: str, html: str) -> DataFrame:
+    """``questions`` (key, body) with the bodies that their cards' markup gives better: a scenario follows the body, and a body of the class qb takes its place. Other questions stay."""
+    found = cards.select(key, web.card_body(F.col(html)).alias("body")).filter("body is not null")
+    return mutations.patch(questions, found, key)

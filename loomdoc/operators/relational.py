@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,3 +135,19 @@ def keyset_page(df: DataFrame, at: str, key: str, before: Column, size: int) ->
     n = Window.partitionBy()  # of at most size + 1 rows
     ranked = more.withColumn("has_more", F.count(F.lit(1)).over(n) > size).withColumn("_r", F.row_number().over(n.orderBy(F.desc(at), F.desc(key))))
     return ranked.filter(F.col("_r") <= size).drop("_r").orderBy(at, key)
+
+
+def shuffled(rows: DataFrame, id_: str, by: Sequence[str] = (), seed: int = 0, name: str = "place") -> DataFrame:
+    """``rows`` with a place from 0 in a random order of each group that the seed fixes: that of a digest of seed and id."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_).cast("string")))
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(digest, id_)) - 1)
+
+
+def with_uuid(rows: DataFrame, name: str = "uuid") -> DataFrame:
+    return rows.withColumn(name, F.expr("uuid()"))
+
+
+def sampled(rows: DataFrame, id_: str, share: float, seed: int = 0) -> DataFrame:
+    """A share of the rows, the same ones each time, as for clean-up now and then."""
+    digest = F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_).cast("string"))), F.lit(8)), 16, 10).cast("long")
+    return rows.filter(digest < F.lit(int(share * 2**32)))

@@ -77,3 +77,15 @@ def multi_hop(questions: DataFrame, index: StoredIndex, vectors: VectorIndex, ch
         found = found.unionByName(linked_chunks(first, chunks, refs).withColumn("hop", F.lit(2)))
     once = found.groupBy("query", "id").agg(F.max("similarity").alias("similarity"), F.min("hop").alias("hop"))
     return _first(once, ["query"], [F.desc("similarity"), F.col("id")], k + 3, "place")
+
+
+def sources(hits: DataFrame) -> DataFrame:
+    """Hits as an answer cites them: text, document_title, document_id, category, the section's label, chapter, article_number and article_title ('' where it has none), similarity and the scores there are with four decimals.
+
+    ``hits``: text, document_title, document_id, category, metadata (a struct), similarity, and final_score or relevance_score if there are any. A null similarity counts 0.
+    """
+    held = hits.schema["metadata"].dataType.fieldNames()
+    field = lambda name: (F.coalesce(F.col(f"metadata.{name}").cast("string"), F.lit("")) if name in held else F.lit("")).alias(name)
+    decimals = lambda c: F.format_string("%.4f", F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c)
+    scores = [c for c in ("final_score", "relevance_score") if c in hits.columns]
+    return hits.select("text", "document_title", "document_id", "category", *map(field, ("label", "chapter", "article_number", "article_title")), decimals("similarity"), *map(decimals, scores))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from loomdoc.functions import text as tx
 from loomdoc.functions import web
 from loomdoc.operators import ingest as ops
-from loomdoc.operators import mutations, relational
+from loomdoc.operators import mutations, relational, retrieval
 from loomdoc.operators.containment import without
+from loomdoc.operators.search import hashed_embedding
 from loomdoc.plans.registry import query
 from loomdoc.session import spread, table
 from loomdoc.sources import statutes
@@ -242,3 +243,46 @@ def owner_list(spark: SparkSession, sf: str) -> DataFrame:
 def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
     found = relational.where(table(spark, sf, "customer"), c_name="Customer#000000011", c_nationkey=list(range(25)))
     return found.select("c_custkey", "c_name")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' asks' || chr(10) || chr(10) || '<div class="scenario"><b>' || p_type || '</b></div>' WHEN p_partkey % 3 = 1 THEN p_brand || ' says' ELSE 'old ' || p_size END AS body FROM part""")
+def repaired_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies of questions overwritten from their cards, where these have a scenario or a body of the other class."""
+    parts = table(spark, sf, "part")
+    scenario = F.expr("concat('<div class=\"question-body\"><span class=\"qn\">', p_size, '.</span> ', p_name, '\\n   asks</div><div class=\"scenario\"> <b>', p_type, '</b> </div> <ul class=\"choices\">')")
+    other = F.expr("concat('<div class=\"qb\"><span class=\"q-num\">', p_size, '.</span> ', p_brand, '\\n says</div><ul class=\"choices\">')")
+    plain = F.expr("concat('<div class=\"question-body\">', p_name, '</div><ul class=\"choices\">')")
+    cards = parts.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, scenario).when(F.col("p_partkey") % 3 == 1, other).otherwise(plain).alias("html"))
+    questions = parts.select("p_partkey", F.concat(F.lit("old "), F.col("p_size").cast("string")).alias("body"))
+    return ops.repaired_questions(questions, cards, "p_partkey", "html")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 > 0 AND length(text) > 0 THEN 64 END AS dims, 'done' AS status FROM documents""")
+def summary_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spread(table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 4 > 0, F.left("text", F.lit(200))).otherwise(F.lit(" \n")).alias("summary")))
+    found = ops.summary_vectors(docs, "summary", hashed_embedding)
+    return found.select("doc_id", F.when(F.col("summary_embedding").isNotNull(), F.size("summary_embedding")).alias("dims"), F.col("embedding_status").alias("status"))
+
+
+@query("""SELECT left(text, 20) AS text, source AS document_title, doc_id AS document_id, coalesce(lang, '') AS label, '' AS chapter, CASE WHEN doc_id % 3 = 0 THEN '' ELSE CAST(doc_id % 50 AS VARCHAR) END AS article_number, '' AS article_title, lang AS category,
+printf('%.4f', (n_chars + 0.0)::DOUBLE / (n_chars + 977)) AS similarity, printf('%.4f', CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE sqrt(doc_id + 2)::DOUBLE END) AS final_score FROM documents""")
+def answer_sources(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    meta = F.struct(F.col("lang").alias("label"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 50).alias("article_number"))
+    hits = docs.select(
+        F.left("text", F.lit(20)).alias("text"), F.col("source").alias("document_title"), F.col("doc_id").alias("document_id"), F.col("lang").alias("category"), meta.alias("metadata"),
+        (F.col("n_chars") / (F.col("n_chars") + 977)).alias("similarity"), F.when(F.col("doc_id") % 5 > 0, F.sqrt(F.col("doc_id") + 2)).alias("final_score"),
+    )
+    return retrieval.sources(hits)
+
+
+@query("""SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY md5('7:' || turn), turn) - 1 AS INTEGER) AS place FROM conversations""")
+def shuffled_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """The turns of each conversation in a random order that the seed fixes."""
+    return relational.shuffled(table(spark, sf, "conversations").select("conv_id", "turn"), "turn", ["conv_id"], 7)
+
+
+@query("""SELECT event_id FROM events WHERE CAST('0x' || left(md5('3:' || event_id), 8) AS BIGINT) < CAST(0.1 * 4294967296 AS BIGINT)""")
+def sampled_events(spark: SparkSession, sf: str) -> DataFrame:
+    """About a tenth of the rows, for clean-up now and then."""
+    return relational.sampled(table(spark, sf, "events"), "event_id", 0.1, 3).select("event_id")
