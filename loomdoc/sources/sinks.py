@@ -15,7 +15,7 @@ def append(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 
 def export_csv(df: DataFrame, path: str, label: str | None = None) -> None:
-    """CSV with a header; with ``label``, a last row that sums the numeric columns. The files follow Spark's partitions."""
+    """CSV with a header; with ``label``, a column, a last row with TOTAL in it and the sums of the numeric columns. The files follow Spark's partitions."""
     out = with_total(df, label) if label else df
     out.write.mode("overwrite").option("header", True).csv(path)
 
