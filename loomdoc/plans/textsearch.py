@@ -70,14 +70,14 @@ def _terms(spark: SparkSession) -> DataFrame:
     return ops.query_terms(spark.createDataFrame(_ASKED, "qid int, q string"), "qid", "q", use_ngrams=False)
 
 
-def _hits(spark: SparkSession, sf: str, terms: DataFrame) -> DataFrame:
-    return cut(stored_index(spark, sf).hits(terms, "qid").withColumnRenamed("id", "doc_id"))
+def _hits(spark: SparkSession, sf: str, terms: DataFrame, places: bool = True) -> DataFrame:
+    return stored_index(spark, sf).hits(terms, "qid", places).withColumnRenamed("id", "doc_id")
 
 
 @query(f"""WITH {_POSTINGS} SELECT 1 AS qid, doc_id FROM p GROUP BY doc_id HAVING bool_or(starts_with(token, 'the')) AND bool_or(starts_with(token, 'tion')) UNION ALL SELECT 2, doc_id FROM p GROUP BY doc_id HAVING bool_or(starts_with(token, 'and'))""")
 def match_all_words(spark: SparkSession, sf: str) -> DataFrame:
     terms = _terms(spark)
-    return ops.matches(_hits(spark, sf, terms), terms, "doc_id", "qid", all_words=True)
+    return ops.matches(_hits(spark, sf, terms, places=False), terms, "doc_id", "qid", all_words=True)
 
 
 @query(f"""WITH {_POSTINGS} SELECT qid, doc_id, round(c / (c + 1), 6) AS rank FROM (SELECT 1 AS qid, doc_id, 0.1 * count(*) AS c FROM p WHERE starts_with(token, 'the') OR starts_with(token, 'tion') GROUP BY doc_id UNION ALL SELECT 2, doc_id, 0.1 * count(*) FROM p WHERE starts_with(token, 'and') GROUP BY doc_id)""")
@@ -157,7 +157,7 @@ SELECT doc_id AS id, round(CAST(c / (c + 1) AS DOUBLE), 6) AS score FROM c ORDER
 def word_search(spark: SparkSession, sf: str) -> DataFrame:
     """A question with words goes by the index, its words by their parts too."""
     docs = table(spark, sf, "documents").withColumnRenamed("doc_id", "id")
-    return ops.text_search(docs, stored_index(spark, sf).postings(None, places=True), "the tion", 20).withColumn("score", F.round("score", 6))
+    return ops.text_search(docs, stored_index(spark, sf), "the tion", 20).withColumn("score", F.round("score", 6))
 
 
 @query("""SELECT doc_id AS id, 0.0 AS score FROM documents WHERE contains(lower(text), 'x') ORDER BY doc_id LIMIT 20""")
