@@ -67,3 +67,12 @@ def test_filters_and_references_of_a_document(spark):
     assert ops.filtered(rows, "law", "bet").count() == 1 and ops.filtered(rows).count() == 3
     refs = spark.createDataFrame([(1, 2, 10, 20, 0.9), (3, 4, 30, 10, 1.0), (5, 6, 30, 40, 1.0)], "source_section int, target_section int, source_document int, target_document int, confidence double")
     assert [r["source_section"] for r in ops.refs_of_document(refs, 10).collect()] == [3, 1]
+
+
+def test_graph_joins_stay_out_of_the_driver(spark):
+    """Mentions and sentences are more than Spark expects of their sections, so no join may send them to the driver."""
+    from loomdoc.operators import knowledge
+
+    sections = spark.range(20).selectExpr("id", "id % 3 doc", "'과태료는 보호위원회에 위임한다. 영향평가를 위반한 자는 과징금에 처한다.' txt")
+    for made in knowledge.build_graph(sections, "doc", "id", "txt"):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
