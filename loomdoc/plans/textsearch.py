@@ -21,7 +21,7 @@ _GRAMS = "list_distinct(list_concat(list_transform(range(1, length(w)), lambda i
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").selectExpr("p_partkey id", "concat(p_name, CASE p_partkey % 3 WHEN 0 THEN ' CCTV' WHEN 1 THEN ' 동의 pia' ELSE '' END) q")
+    return spread(table(spark, sf, "part").select("p_partkey", "p_name")).selectExpr("p_partkey id", "concat(p_name, CASE p_partkey % 3 WHEN 0 THEN ' CCTV' WHEN 1 THEN ' 동의 pia' ELSE '' END) q")
 
 
 @query(f"""WITH {_WORDS}, syn(k, s) AS (VALUES {_SYNONYMS}), x AS (SELECT id, word_no, lower(w) AS t FROM w UNION SELECT id, word_no, lower(unnest({_GRAMS})) FROM w WHERE length(w) >= 3 UNION SELECT id, word_no, unnest(string_split(lower(s), ' ')) FROM w JOIN syn ON k = lower(w))

@@ -113,3 +113,15 @@ def test_hybrid_filters_below_the_lists(spark):
     assert len(got) == 10 and all(r["kind"] == "a" and "<mark>alpha</mark>" in r["headline"] for r in got)
     short = search.hybrid(chunks, "alpha beta", 10, post_filter=F.col("kind") == "a", keep=["kind"]).collect()
     assert len(short) <= 10 and all(r["id"] % 2 for r in short)
+
+
+def test_terms_are_distinct_without_a_shuffle(spark):
+    terms = lambda rows: ops.query_terms(spark.createDataFrame(rows, "id int, q string"), "id", "q")
+    listed = lambda df: sorted((r["id"] or 0, r["word_no"], r["term"]) for r in df.collect())
+    plain = terms([(1, "anan 동의"), (2, "동의 pia PIA")])
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+    found = listed(plain)
+    assert len(found) == len(set(found)) and (1, 0, "an") in found and (2, 1, "영향평가") in found
+    # ids in several rows, null ones too
+    again = listed(terms([(1, "anan 동의"), (1, "anan other"), (None, "pia"), (None, "pia"), (2, "동의 pia PIA")]))
+    assert len(again) == len(set(again)) and set(found) < set(again)
