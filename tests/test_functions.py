@@ -187,3 +187,21 @@ def test_capitals_are_those_of_the_sql(spark):
     want = {t: con.execute("SELECT upper(?)", [t]).fetchone()[0] for t in texts}
     got = {r["t"]: r["u"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.simple_upper(F.col("t")).alias("u")).collect()}
     assert {t: (got[t], want[t]) for t in want if got[t] != want[t]} == {}
+
+
+def test_chunks_by_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts, held = ["One. Two? Three! " * 80, None, "", "end", "a b " * 400], []
+
+    def split(t):
+        held.append(t)
+        return ch.recursive(t) if t else []
+
+    monkeypatch.setattr(ch, "SLICE", 2)
+    kind = pa.list_(pa.string())
+    assert ch._by_slices(pa.array(texts), split, kind).to_pylist() == [ch.recursive(t) if t else [] for t in texts] and held == texts
+    assert ch._by_slices(pa.array([], pa.string()), split, kind).to_pylist() == []
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    assert [r["c"] for r in rows.select(ch.chunk(F.col("t"), "recursive").alias("c")).collect()] == [ch.recursive(t) if t else [] for t in texts]
+    assert [[tuple(x) for x in r["c"]] for r in rows.select(ch.parent_children(F.col("t")).alias("c")).collect()] == [ch.parents_and_children(t or "") for t in texts]
