@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdoc.functions import chunks as ch
 from loomdoc.functions import tables
 from loomdoc.functions import text as tx
 from loomdoc.operators import search as ops
@@ -19,8 +18,7 @@ WORDS = ["the", "tion", "ndre"]
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "source", "text"))
-    docs = docs.select("doc_id", "lang", "source", F.posexplode(ch.chunk(F.col("text"), "sentence")).alias("n", "text"))
-    return docs.withColumn("id", F.col("doc_id") * 100_000 + F.col("n")).withColumn("embedding", ops.hashed_embedding(F.col("text")))
+    return ops.embedded_chunks(docs).withColumn("id", F.col("doc_id") * 100_000 + F.col("n"))
 
 
 def stored_chunks(spark: SparkSession, sf: str) -> DataFrame:
