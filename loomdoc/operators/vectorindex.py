@@ -7,7 +7,8 @@ entry of its book: one byte a part. A row of the index is cell, id, code, and ho
 
 A search decodes the rows of the cells nearest to each query, keeps the best ``rerank`` of them by the decoded vectors, and scores
 only these with their own vectors. ``exact`` scores every row that the errors don't rule out: as the decoded product is
-off by the error at most, the result with all cells is that of a full scan.
+off by the error at most, the result with all cells is that of a full scan. The k-th of a first search of few cells is a floor: cells
+and rows that can't reach it are left out, and the others are scored where they lie, so that a block hands on k of each query.
 
 Rows of a cell are dealt into blocks of bounded size, as are the queries at a cell, so no cell is one task's. The index is a table
 sorted by cell; rows can be appended to it, coded by the same centroids.
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomdoc.operators.search import _matrix, cosine
+from loomdoc.operators.search import PRODUCT, _matrix, cosine
 from loomdoc.session import cut
 
 #: Rows that centroids and books are fitted on.
@@ -36,6 +37,12 @@ PART = 4
 LEAST_CENTROIDS, MOST_CENTROIDS = 4, 1_024
 #: Rows and queries of one cell that one task compares.
 ROW_BLOCK, QUERY_BLOCK = 32_768, 2_048
+#: The same of an exact search; small inputs are dealt into blocks of ``LEAST_BLOCK``, as long as there are cores without one.
+EXACT_BLOCK, LEAST_BLOCK = 16_384, 1_024
+#: Cells of the search that gives an exact one its floor.
+AHEAD = 8
+#: Rounding of products that are summed in another order.
+CLOSE = 1e-9
 BROADCAST_CELLS = 200_000
 
 
@@ -134,10 +141,12 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int, probes: int | None = None, rerank: int | None = None, exact: bool = False, counted: bool = False, same: bool = False) -> DataFrame:
         """query_id, id, similarity, rank: the k nearest rows of each query, its own row left out unless ``same`` (where the queries' ids are of another table). ``probes``: None for all cells.
 
-        ``rerank`` rows of each query, at least k (20 k by default), are scored; ``exact``: as many as the errors ask for. ``counted`` adds ``scored``, the number of them.
+        ``rerank`` rows of each query, at least k (20 k by default), are scored; ``exact``: those of all cells that the errors don't rule out. ``counted`` adds ``scored``, the number of rows that
+        met in the last choice.
         """
         rerank = max(k, rerank or 20 * k)
-        found = self._candidates(queries, k, min(probes or self.quantizer.cells, self.quantizer.cells), None if exact else rerank, same)
+        found = cut(self._exact(queries, k, same) if exact else self._candidates(queries, min(probes or self.quantizer.cells, self.quantizer.cells), rerank, same))
+        found = F.broadcast(found) if found.count() <= BROADCAST_CELLS else found
         q = queries.select(F.col(self.id_).alias("query_id"), F.col(self.vector).alias("_q"))
         scored = found.join(self.vectors, self.id_).join(q, "query_id").select("query_id", self.id_, cosine(F.col(self.vector), F.col("_q")).alias("similarity"))
         by = Window.partitionBy("query_id")
@@ -145,7 +154,7 @@ class VectorIndex:
         ranked = ranked.withColumn("scored", F.count(F.lit(1)).over(by)) if counted else ranked
         return ranked.filter(F.col("rank") <= k)
 
-    def _candidates(self, queries: DataFrame, k: int, probes: int, rerank: int | None, same: bool) -> DataFrame:
+    def _candidates(self, queries: DataFrame, probes: int, rerank: int, same: bool) -> DataFrame:
         """query_id, id: the rows to score. Each block of a cell hands on its best, and these meet by query."""
         quantizer, id_, vector = self.quantizer, self.id_, self.vector
         cells_of = F.pandas_udf(lambda v: pd.Series(list(quantizer.nearest(_matrix(v), probes).astype(np.int32)) if len(v) else [], dtype=object), "array<int>")
@@ -159,33 +168,75 @@ class VectorIndex:
         r = self.rows.join(sizes, "cell").withColumn("_b", block(id_, "_rows")).withColumn("_a", every("_queries")).drop("_rows", "_queries")
 
         def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            out = {"query_id": [], id_: [], "near": [], "error": []}
+            out = {"query_id": [], id_: [], "near": []}
             if len(a) and len(b):
                 b = b.sort_values(id_, ignore_index=True)  # ties go by id
                 decoded = quantizer.decode(b["cell"].to_numpy(), np.frombuffer(b"".join(b["code"]), np.uint8).reshape(len(b), -1))
-                own, error = b[id_].to_numpy(), b["error"].to_numpy()
-                for begin in range(0, len(a), 256):
-                    part = a.iloc[begin : begin + 256]
+                own = b[id_].to_numpy()
+                for begin in range(0, len(a), PRODUCT):
+                    part = a.iloc[begin : begin + PRODUCT]
                     asks = part["query_id"].to_numpy()
                     near = _matrix(part["_q"]) @ decoded.T
                     if not same:
                         near[asks[:, None] == own] = -np.inf
-                    kept = _kept(near, error, k, rerank)
-                    rows, columns = np.nonzero(kept & np.isfinite(near))
-                    for name, values in zip(out, (asks[rows], own[columns], near[rows, columns], error[columns])):
+                    rows, columns = np.nonzero(_best(near, rerank) & np.isfinite(near))
+                    for name, values in zip(out, (asks[rows], own[columns], near[rows, columns])):
                         out[name].append(values)
             return pd.DataFrame({name: np.concatenate(v) if v else [] for name, v in out.items()})
 
         kinds = dict(self.rows.dtypes)
-        schema = f"query_id {kinds[id_]}, {id_} {kinds[id_]}, near double, error double"
+        schema = f"query_id {kinds[id_]}, {id_} {kinds[id_]}, near double"
         keys = ["cell", "_a", "_b"]
         found = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(compare, schema)
-        by = Window.partitionBy("query_id")
-        if rerank is not None:
-            return found.withColumn("_n", F.row_number().over(by.orderBy(F.desc("near"), id_))).filter(F.col("_n") <= rerank).select("query_id", id_)
-        low = F.col("near") - F.col("error")
-        sure = found.withColumn("_low", low).withColumn("_n", F.row_number().over(by.orderBy(F.desc("_low"), id_))).filter(F.col("_n") == k).select("query_id", F.col("_low").alias("_least"))
-        return found.join(sure, "query_id", "left").filter(F.col("_least").isNull() | (F.col("near") + F.col("error") >= F.col("_least") - 1e-9)).select("query_id", id_)
+        by = Window.partitionBy("query_id").orderBy(F.desc("near"), id_)
+        return found.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= rerank).select("query_id", id_)
+
+    def _exact(self, queries: DataFrame, k: int, same: bool) -> DataFrame:
+        """query_id, id: the k nearest rows of each query, and those as near up to rounding."""
+        quantizer, id_, vector = self.quantizer, self.id_, self.vector
+        first = self.search(queries, k, min(AHEAD, quantizer.cells), same=same).groupBy("query_id").agg(F.min("similarity").alias("_least"), F.count(F.lit(1)).alias("_n"))
+        floors = first.filter(F.col("_n") == k).select("query_id", "_least")
+        asked = queries.filter(F.col(vector).isNotNull()).select(F.col(id_).alias("query_id"), F.col(vector).alias("_q")).join(floors, "query_id", "left")
+        asked = cut(asked.withColumn("_least", F.coalesce("_least", F.lit(-2.0))))
+        cores = asked.sparkSession.sparkContext.defaultParallelism
+        blocks = lambda n, size: max(1, -(-n // size), min(cores, n // LEAST_BLOCK))
+        q_blocks, r_blocks = blocks(asked.count(), EXACT_BLOCK), blocks(self.rows.count(), EXACT_BLOCK)
+        block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        q = asked.withColumn("_a", block("query_id", q_blocks)).withColumn("_b", every(r_blocks))
+        r = self.rows.join(self.vectors.select(id_, F.col(vector).alias("_v")), id_).withColumn("_b", block(id_, r_blocks)).withColumn("_a", every(q_blocks))
+
+        def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            out = {"query_id": [], id_: [], "near": []}
+            if len(a) and len(b):
+                # of equal vectors only the first k, and one more for a query that is one of them, can be among the best
+                b = b.sort_values(id_, ignore_index=True)
+                b = b[b.groupby([v.tobytes() for v in b["_v"]]).cumcount() <= k].reset_index(drop=True)
+                codes = np.frombuffer(b"".join(b["code"]), np.uint8).reshape(len(b), -1)
+                decoded, m = quantizer.decode(b["cell"].to_numpy(), codes), _matrix(b["_v"])
+                own, error = b[id_].to_numpy(), b["error"].to_numpy()
+                cells, at = np.unique(b["cell"].to_numpy(), return_inverse=True)
+                centroids, radius = quantizer._centroids(cells), np.zeros(len(cells))
+                np.maximum.at(radius, at, np.linalg.norm(m - centroids[at], axis=1))
+                for begin in range(0, len(a), PRODUCT):
+                    part = a.iloc[begin : begin + PRODUCT]
+                    asks, least, v = part["query_id"].to_numpy(), part["_least"].to_numpy()[:, None] - CLOSE, _matrix(part["_q"])
+                    reached = np.flatnonzero(((v @ centroids.T + radius) >= least).any(axis=0)[at])
+                    reached = reached[(v @ decoded[reached].T + error[reached] >= least).any(axis=0)]
+                    s = v @ m[reached].T
+                    s[s < least] = -np.inf
+                    if not same:
+                        s[asks[:, None] == own[reached]] = -np.inf
+                    rows, columns = np.nonzero(_best(s, k, CLOSE) & np.isfinite(s))
+                    for name, values in zip(out, (asks[rows], own[reached[columns]], s[rows, columns])):
+                        out[name].append(values)
+            return pd.DataFrame({name: np.concatenate(v) if v else [] for name, v in out.items()})
+
+        kinds = dict(self.rows.dtypes)
+        found = q.groupBy("_a", "_b").cogroup(r.groupBy("_a", "_b")).applyInPandas(compare, f"query_id {kinds[id_]}, {id_} {kinds[id_]}, near double")
+        by = Window.partitionBy("query_id").orderBy(F.desc("near"), id_).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        last = F.nth_value("near", k).over(by)
+        return found.withColumn("_least", last).filter(F.col("_least").isNull() | (F.col("near") >= F.col("_least") - CLOSE)).select("query_id", id_)
 
     def only(self, ids: DataFrame, column: str = "id") -> VectorIndex:
         """The index of the rows with these ids."""
@@ -211,13 +262,10 @@ class VectorIndex:
         return cls(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/vectors"), Quantizer(array("half"), array("book")), id_, vector)
 
 
-def _kept(near: np.ndarray, error: np.ndarray, k: int, rerank: int | None) -> np.ndarray:
-    """Which rows of a block may be among a query's best."""
-    n = near.shape[1]
-    if rerank is not None:
-        return np.ones_like(near, bool) if n <= rerank else near >= np.partition(near, n - rerank, axis=1)[:, n - rerank, None]
-    low = near - error
-    return np.ones_like(near, bool) if n <= k else near + error >= np.partition(low, n - k, axis=1)[:, n - k, None] - 1e-9
+def _best(near: np.ndarray, n: int, margin: float = 0.0) -> np.ndarray:
+    """Which rows of a block are among a query's n best of it, those as good as the n-th included."""
+    held = near.shape[1]
+    return np.ones_like(near, bool) if held <= n else near >= np.partition(near, held - n, axis=1)[:, held - n, None] - margin
 
 
 def _coded(vectors: DataFrame, quantizer: Quantizer, id_: str, vector: str) -> DataFrame:
