@@ -15,11 +15,13 @@ from loomdoc.operators.knowledge import reference_queries
 from loomdoc.operators.postings import StoredIndex, tokens_of
 from loomdoc.operators.search import RRF_K, hashed_embedding
 from loomdoc.operators.vectorindex import VectorIndex
+from loomdoc.session import cut
 
 #: Of the references that a question's hits name, so many are asked for, each for so many chunks.
 REFERENCES, REFERENCE_HITS = 3, 3
 #: Sections and chunks that stored references add to a question, from this confidence on.
 LINKED, LEAST_CONFIDENCE = 5, 0.8
+BROADCAST_HITS = 100_000
 
 
 def _first(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "_n") -> DataFrame:
@@ -46,7 +48,7 @@ def vector_list(questions: DataFrame, vectors: VectorIndex, k: int, only: DataFr
 def retrieve(questions: DataFrame, index: StoredIndex, vectors: VectorIndex, k: int = 5, only: DataFrame | None = None, probes: int | None = None, embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
     """The k best chunks of each question by both lists; see ``fused``. ``only``: id of the chunks that may be found."""
     terms = questions.select("query", F.explode(F.array_distinct(tokens_of(F.col("text")))).alias("token"))
-    return fused(vector_list(questions, vectors, 2 * k, only, probes, embed), index.top(terms, 2 * k, "query", only=only), k)
+    return fused(vector_list(questions, vectors, 2 * k, only, probes, embed), index.top_of_many(terms, 2 * k, "query", only), k)
 
 
 def linked_chunks(hits: DataFrame, chunks: DataFrame, refs: DataFrame) -> DataFrame:
@@ -64,13 +66,16 @@ def multi_hop(questions: DataFrame, index: StoredIndex, vectors: VectorIndex, ch
     ``chunks``: id, section, title, text; ``refs``: source and target section and document, confidence. A chunk found twice counts at its best. The frontier of the second hop is one more table of
     questions, at most ``REFERENCES`` for each, so the whole is a few plans whatever the number of questions.
     """
-    first = retrieve(questions, index, vectors, k, only, probes, embed)
-    named = first.select("query", "id", "place").join(chunks.select("id", "title", "text"), "id")
+    first = cut(retrieve(questions, index, vectors, k, only, probes, embed))
+    n = first.count()
+    # a small table of hits goes to the chunks, so that these aren't shuffled
+    hits = F.broadcast(first) if n <= BROADCAST_HITS else first
+    named = cut(hits.select("query", "id", "place").join(chunks.select("id", "title", "text"), "id"))
     named = named.join(reference_queries(named.select("id", "title", "text").dropDuplicates(["id"]), "id", "text", "title").withColumnRenamed("query", "reference"), "id")
     asked = named.groupBy("query", "reference").agg(F.min("place").alias("place"))
     asked = _first(asked, ["query"], [F.col("place"), F.col("reference")], REFERENCES).select("query", "_n", F.col("reference").alias("text"))
     # each reference is a question of its own
-    frontier = asked.withColumn("of", F.col("query")).withColumn("query", F.xxhash64("query", "_n"))
+    frontier = cut(asked.withColumn("of", F.col("query")).withColumn("query", F.xxhash64("query", "_n")))
     second = vector_list(frontier, vectors, REFERENCE_HITS, None, probes, embed).join(frontier.select("query", "of"), "query").select(F.col("of").alias("query"), "id", "similarity")
     found = first.select("query", "id", "similarity", F.lit(1).alias("hop")).unionByName(second.withColumn("hop", F.lit(2)))
     if refs is not None:
