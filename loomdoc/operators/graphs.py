@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdoc.operators.components import connected_components
-from loomdoc.session import cut
+from loomdoc.session import cut, shuffled
 
 MOST_HOPS = 5
 #: Chains, times those asked for, that the first search for the surest ones follows.
 BEAM = 8
 #: Links of a graph that one task takes, about 100 bytes each.
 SMALL_GRAPH = 1_000_000
+#: Links of the small components that one task takes together.
+BIN = 100_000
 #: Nodes that move to or from one community and are ordered by one task.
 MOVES = 50_000
 LEAST_GAIN = 1e-6
@@ -226,13 +228,13 @@ def _by_colour(links: DataFrame, of: DataFrame, keys: list[str], sweeps: int, re
     return of
 
 
-def _one_by_one(part: pd.DataFrame, sweeps: int, resolution: float, levels: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes, and the community of each (a number), of a small graph: each node in turn, in the order of ``part``, moves to the neighbouring community of greatest gain; then, for more levels, communities become nodes."""
+def _one_by_one(part: pd.DataFrame, sweeps: int, resolution: float, levels: int, m2: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes, and the community of each (a number), of a small graph, or of components of a graph whose links weigh ``m2``: each node in turn, in the order of ``part``, moves to the neighbouring community of greatest gain; then, for more levels, communities become nodes."""
     nodes, at = np.unique(part["node"].to_numpy(), return_inverse=True)
     other = np.searchsorted(nodes, part["other"].to_numpy())
     weight = part["w"].to_numpy(float)
     own = np.arange(len(nodes))
-    m2 = weight.sum()
+    m2 = weight.sum() if m2 is None else m2
     k = np.bincount(at, weight, len(nodes)).tolist()
     for _ in range(levels):
         order = np.argsort(at, kind="stable")
@@ -278,8 +280,8 @@ def _one_by_one(part: pd.DataFrame, sweeps: int, resolution: float, levels: int)
 def communities(edges: DataFrame, by: str, method: str = "louvain", sweeps: int = 10, resolution: float = 1.0, split: float = 0.3, levels: int = 1, small: int | None = None) -> DataFrame:
     """by, node, community: moves to the neighbouring community of greatest gain, for each document's graph. ``edges``: by, a < b, w.
 
-    Graphs of up to ``small`` (``SMALL_GRAPH``) links are a task's each, their nodes move one by one. In larger ones a sweep goes by colours: nodes of one colour have no link, so they
-    move together as if one by one. ``levels`` > 1: communities become nodes, and it goes on with them.
+    Graphs of up to ``small`` (``SMALL_GRAPH``) links are a task's each, their nodes move one by one. In larger ones so do those of a component of up to that many links, as no move looks beyond
+    a component but for the graph's weight. In larger components a sweep goes by colours: nodes of one colour have no link, so they move together as if one by one. ``levels`` > 1: communities become nodes, and it goes on with them.
     ``leiden`` then takes out, from communities of more than two, nodes with less than ``split`` of their weight inside, and parts communities that hang together no more.
     Communities are numbered from the largest; equal ones by their least node.
     """
@@ -291,14 +293,25 @@ def communities(edges: DataFrame, by: str, method: str = "louvain", sweeps: int
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["node", "other"], ignore_index=True)
-        nodes, own = _one_by_one(part, sweeps, resolution, levels)
+        nodes, own = _one_by_one(part, sweeps, resolution, levels, float(part["m2"].iloc[0]) if "m2" in part else None)
         first = np.full(own.max() + 1, len(nodes))
         np.minimum.at(first, own, np.arange(len(nodes)))
         return pd.DataFrame({by: part[by].iloc[0], "node": nodes, "community": nodes[first[own]]})
 
-    of = links.join(few.select(by), by, "left_semi").groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, node {kinds['node']}, community {kinds['node']}")
-    if not sizes.filter(F.col("_n") > 2 * small).isEmpty():
-        of = of.unionByName(_large(links, sizes.filter(F.col("_n") > 2 * small), by, sweeps, resolution, levels))
+    made = f"{by} {kinds[by]}, node {kinds['node']}, community {kinds['node']}"
+    of = links.join(few.select(by), by, "left_semi").groupBy(by).applyInPandas(run, made)
+    graphs = sizes.filter(F.col("_n") > 2 * small)
+    if not graphs.isEmpty():
+        held = _with_components(links.join(graphs.select(by, "m2"), by), by)
+        parts = cut(held.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n")))
+        within = parts.filter(F.col("_n") <= 2 * small)
+        # components, dealt into bins of about ``BIN`` links
+        bins = within.groupBy(by).agg(F.ceil(F.sum("_n") / BIN).alias("_bins"))
+        dealt = shuffled(held).join(within.select(by, "_part"), [by, "_part"]).join(bins, by).withColumn("_bin", F.pmod(F.xxhash64(F.lit(9), "_part"), F.col("_bins")))
+        of = of.unionByName(dealt.select(by, "_bin", "node", "other", "w", "m2").groupBy(by, "_bin").applyInPandas(run, made))
+        whole = parts.filter(F.col("_n") > 2 * small)
+        if not whole.isEmpty():
+            of = of.unionByName(_large(held.join(whole.select(by, "_part"), [by, "_part"]).select(by, "node", "other", "w"), graphs, by, sweeps, resolution, levels))
     of = cut(of)
     if method == "leiden":
         of = _refined(links, of, by, resolution, split)
@@ -308,6 +321,14 @@ def communities(edges: DataFrame, by: str, method: str = "louvain", sweeps: int
     return of.join(named, [by, "community"]).select(by, "node", F.col("number").alias("community"))
 
 
+def _with_components(links: DataFrame, by: str) -> DataFrame:
+    """``links`` with _part, the component that they are of. Nodes go by names of 64 bits; two of one name would only join their components."""
+    named = links.withColumn("_x", F.xxhash64(by, "node"))
+    ends = links.filter("node < other").select(F.xxhash64(by, "node").alias("_x"), F.xxhash64(by, "other").alias("_y"))
+    parts = connected_components(ends, "_x", "_y").select(F.col("node").alias("_x"), F.col("component").alias("_part"))
+    return cut(shuffled(named).join(parts, "_x").drop("_x"))
+
+
 def _large(links: DataFrame, graphs: DataFrame, by: str, sweeps: int, resolution: float, levels: int) -> DataFrame:
     """by, node, community of the graphs in ``graphs`` (by, m2), by colours and, for more levels, contraction."""
     held = cut(links.join(graphs.select(by), by, "left_semi"))

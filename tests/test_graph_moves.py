@@ -127,3 +127,15 @@ def test_containment_equals_brute_force(spark, most):
     assert sorted(r["id"] for r in rest.collect()) == sorted(i for i, body in texts if body is not None and not any(x in body for x in patterns if x and len(x) > 2))
     none = p.filter("name = 'no'")
     assert containment.contained(t, "id", "body", none, "name", most).collect() == [] and containment.without(t, "body", none, "name", most).count() == 83
+
+
+def test_small_components_of_a_large_graph_move_one_by_one(spark, monkeypatch):
+    """A large graph of small components needs no sweeps by colour, whose many plans filled the driver."""
+    monkeypatch.setattr(graphs, "_by_colour", lambda *a: pytest.fail("a component of few links went by colours"))
+    monkeypatch.setattr(graphs, "BIN", 40)
+    rows = [(g, 10 * c + i, 10 * c + j, 1.0 + (i * j) % 3) for g in "xy" for c in range(30) for i in range(8) for j in range(i + 1, 8) if (i < 4) == (j < 4) or (i, j) == (3, 4)]
+    edges = spark.createDataFrame(rows, "g string, a long, b long, w double")
+    of = {(r["g"], r["node"]): r["community"] for r in graphs.communities(edges, "g", small=30).collect()}
+    whole = {(r["g"], r["node"]): r["community"] for r in graphs.communities(edges, "g").collect()}
+    # two halves of each component, held together by one link
+    assert of == whole and len(set(of.values())) == 60 and len(of) == 480
