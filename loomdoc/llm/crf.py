@@ -58,9 +58,15 @@ class Chain:
             emits += np.bincount(padded[real], p[real], len(self.emit))
             first += p[0].sum()
             g = np.exp(self.emit)[padded[1:]] * b[1:]
-            pair = np.stack([[np.full_like(g, m[0, 0]), m[0, 1] * g], [f[:-1] * m[1, 0], f[:-1] * m[1, 1] * g]])
-            pair /= pair.sum(axis=(0, 1))
-            steps += (pair * real[1:]).sum(axis=(2, 3))
+            # one state after the other, so that few arrays of this size are held
+            g0, f0 = m[0, 1] * g, f[:-1] * m[1, 0]
+            g *= f[:-1]
+            g *= m[1, 1]
+            each = g0 + f0
+            each += g
+            each += m[0, 0]
+            np.divide(real[1:], each, out=each)
+            steps += [[m[0, 0] * each.sum(), np.vdot(g0, each)], [np.vdot(f0, each), np.vdot(g, each)]]
         return emits, steps, first
 
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,6 +44,8 @@ FIT_DOCS = 3_000
 #: The most words that become features.
 LEXICON = 2_000
 LEAST_TEXTS = 4
+#: Texts of the sample whose marginals the driver holds at once.
+SLICE = 500
 #: Characters of text that are scored at once.
 BATCH_CHARS = 4_000_000
 #: Words whose feature a task remembers.
@@ -170,18 +173,19 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, fit_
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"f": [encode(t) for t in b["text"]], "toxic": b["toxic"]})
+            yield pd.DataFrame({"f": [zlib.compress(encode(t).tobytes(), 1) for t in b["text"]], "toxic": b["toxic"]})
 
-    rows = sample.mapInPandas(encoded, "f array<int>, toxic int").toPandas()  # at most 2 * train_docs rows of bounded length
-    rows["f"] = [np.asarray(f, np.int32) for f in rows["f"]]
-    rows["key"] = [hashlib.blake2b(f.tobytes(), digest_size=8).hexdigest() for f in rows["f"]]  # any fixed order
+    # at most 2 * train_docs rows of bounded length; most tokens have no feature, so compressed they are small
+    rows = sample.mapInPandas(encoded, "f binary, toxic int").toPandas()
+    rows["key"] = [hashlib.blake2b(zlib.decompress(f), digest_size=8).hexdigest() for f in rows["f"]]  # any fixed order
     rows = rows.sort_values(["toxic", "key"], kind="stable")
-    sequences, toxic = list(rows["f"]), rows["toxic"].to_numpy()
+    sequences, toxic = [np.frombuffer(zlib.decompress(f), np.int32) for f in rows["f"]], rows["toxic"].to_numpy()
     part = np.linspace(0, len(rows) - 1, min(fit_docs, len(rows))).astype(int)  # evenly spaced places
     tags = [((s > 0) & (toxic[k] == 1)).astype(np.int64) for k, s in enumerate(sequences)]
     chain = fit([sequences[k] for k in part], [tags[k] for k in part], len(words) + 1)
     weight = np.where(toxic == 1, rates[1] / max(1, (toxic == 1).sum()), rates[0] / max(1, (toxic == 0).sum()))
-    return Model(Features(words), chain, _logistic(features(chain.marginals(sequences)), toxic, weight))
+    seen = [features(chain.marginals(sequences[k : k + SLICE])) for k in range(0, len(sequences), SLICE)]
+    return Model(Features(words), chain, _logistic(np.vstack(seen), toxic, weight))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
