@@ -278,11 +278,21 @@ def _coded(vectors: DataFrame, quantizer: Quantizer, id_: str, vector: str) -> D
     return vectors.mapInPandas(run, f"cell int, {id_} {dict(vectors.dtypes)[id_]}, code binary, error double")
 
 
+def _least(rows: DataFrame, id_: str, n: int, sample_rows: int) -> DataFrame:
+    """The ``sample_rows`` rows of least hash, of ``n``. Tasks leave out what is beyond a hash that somewhat more rows should be below, as each would hand the driver as many rows as are wanted of all."""
+    by, share = F.xxhash64(F.lit(5), id_), (sample_rows + 8 * sample_rows**0.5 + 8) / max(n, 1)
+    held = rows if share >= 1 else rows.filter(by <= F.lit(int(share * 2**64) - 2**63))
+    return held.orderBy(by, id_).limit(sample_rows)
+
+
 def build(vectors: DataFrame, id_: str = "id", vector: str = "embedding", sample_rows: int = SAMPLE_ROWS) -> VectorIndex:
     """Centroids and books from up to ``sample_rows`` rows (those of least hash); every row with a vector is coded."""
     rows = vectors.filter(F.col(vector).isNotNull()).select(id_, vector)
-    sample = rows.orderBy(F.xxhash64(F.lit(5), id_), id_).limit(sample_rows).toPandas()
-    quantizer = fit(_matrix(sample[vector]) if len(sample) else np.zeros((1, 2)), rows.count())
+    n = rows.count()
+    sample = _least(rows, id_, n, sample_rows).toPandas()
+    if len(sample) < min(n, sample_rows):  # hashes that aren't even, as of equal ids
+        sample = _least(rows, id_, sample_rows, sample_rows).toPandas()
+    quantizer = fit(_matrix(sample[vector]) if len(sample) else np.zeros((1, 2)), n)
     return VectorIndex(cut(_coded(rows, quantizer, id_, vector)), rows, quantizer, id_, vector)
 
 

@@ -44,7 +44,7 @@ def chunk_indexes(spark: SparkSession, sf: str) -> tuple[StoredIndex, vectorinde
     """Both indexes of the chunks, written once."""
     key = files_key(spark, sf, ["documents"])
     chunks, path = stored_chunks(spark, sf), f"{shared_folder(spark)}/kept/chunk-postings-{key}"
-    index = StoredIndex(spark, path) if StoredIndex.exists(spark, path) else StoredIndex.create(chunks.select("id", "text"), path)
+    index = StoredIndex(spark, path) if StoredIndex.exists(spark, path) else StoredIndex.create(chunks.select("id", "text"), path, postings=False)
     held = f"{shared_folder(spark)}/kept/chunk-vectors-{key}"
     if not exists(spark, f"{held}/quantizer/_SUCCESS"):
         vectorindex.build(chunks.select("id", "embedding")).write(held, "overwrite")

@@ -113,3 +113,16 @@ def test_copies_and_near_copies_lose_no_neighbour(spark, monkeypatch, block):
         found = {(r["query_id"], r["rank"]): r["similarity"] for r in got.collect()}
         at = {r[0]: i for i, r in enumerate(rows)}
         assert all(abs(found[a, n] - s[at[a], at[b]]) < 1e-6 for a, n, b in want)
+
+
+def test_a_sample_is_not_handed_over_by_every_task(spark):
+    """The rows of least hash, of which the tasks together hand on few more; equal ids, whose hashes aren't even, too."""
+    rows = spark.range(20_000).select("id", F.array(F.sin("id"), F.cos("id")).alias("embedding")).repartition(8)
+    by = F.xxhash64(F.lit(5), "id")
+    want = [r["id"] for r in rows.orderBy(by, "id").limit(500).collect()]
+    got = vectorindex._least(rows, "id", 20_000, 500)
+    assert [r["id"] for r in got.collect()] == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Filter") == 1
+    assert rows.filter(by <= F.lit(int((500 + 8 * 500**0.5 + 8) / 20_000 * 2**64) - 2**63)).count() < 900
+    same = rows.withColumn("id", F.lit(7).cast("long"))
+    assert vectorindex.build(same, sample_rows=500).rows.count() == 20_000
